@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort as _content_sort
-from . import packing, pieces, secrets
+from . import chosen_path, content_sort, language_id, packing, pieces, secrets, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +20,29 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _content_sort.content_sort(_table(spark, sf_dir, "documents"), keep="largest")
+    return content_sort.content_sort(_table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -37,14 +51,38 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_vector_dedup": op2_vector_dedup,
     "op3_content_sort": op3_content_sort,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_pieces": op8_pieces,
     "op9_secrets": op9_secrets,
+    "op10_chosen_path": op10_chosen_path,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_vector_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+            ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(x, y) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+        n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+        SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM embeddings e JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id""",
     "op3_content_sort": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

@@ -12,23 +12,23 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import held_out
 
-#: Words share this many slots (by CRC-32), which bounds the model.
-SLOTS = 1 << 18
+#: Sampled groups of documents that a word must occur in to get a weight of its own.
+LEAST_DOCUMENTS = 5
 #: Labelled rows that are learned from, about, by a hash of the identifier.
 TRAIN_ROWS = 20_000
 #: Total weight of the prior, least z-score that counts, drift, and the range of a weight.
-PRIOR, LEAST_Z, DRIFT, RANGE = 5_000.0, 3.0, 0.4, (-1.0, 5.0)
+PRIOR, LEAST_Z, DRIFT, RANGE = 5_000.0, 5.0, 0.4, (-1.0, 5.0)
 #: Segments are reported from this expected number of chance segments down.
 MOST_EXPECTED = 0.01
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
@@ -36,16 +36,16 @@ _PIECE = re.compile(r"\w+")
 _LEAST_X = -12.0
 
 
-def slot_of(word: str) -> int:
-    """The slot of a white-space separated word: lower case, letters, digits and underscores only."""
-    return zlib.crc32("".join(_PIECE.findall(word.lower())).encode()) & (SLOTS - 1)
+def key_of(word: str) -> int:
+    """A 63-bit hash of a white-space separated word: lower case, letters, digits and underscores only."""
+    return xxhash.xxh64_intdigest("".join(_PIECE.findall(word.lower()))) >> 1
 
 
 @dataclass
 class Model:
-    """Weights by slot, extreme-value parameters and calibration; weights None: nothing was learned."""
+    """Weights by word hash (others: minus the drift), extreme-value parameters, calibration; None: nothing was learned."""
 
-    weights: np.ndarray | None
+    weights: dict[int, float] | None
     scale: float = 1.0  # lambda
     search: float = 0.1  # K
     slope: float = 1.0
@@ -64,7 +64,7 @@ class Model:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Shrunk log-odds by slot; the prior is proportional to the counts of both classes together."""
+    """Shrunk log-odds by word; the prior is proportional to the counts of both classes together."""
     both = toxic + clean
     prior = PRIOR * (both + 0.01) / (both.sum() + 0.01 * len(both))
     n1, n0 = toxic.sum() + PRIOR, clean.sum() + PRIOR
@@ -115,6 +115,16 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high, _ in stack]
 
 
+def sketch(slots: np.ndarray) -> int:
+    """The least hash of three words in a row: near copies mostly share it."""
+    if len(slots) < 3:
+        return int(slots.sum()) if len(slots) else -1
+    mixed = slots.astype(np.uint64)
+    mixed = (mixed[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (mixed[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (mixed[2:] * np.uint64(0x165667B19E3779F9))
+    mixed ^= mixed >> np.uint64(29)
+    return int((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).min())
+
+
 class Scorer:
     """Scores whole texts with a cache of word weights."""
 
@@ -125,7 +135,7 @@ class Scorer:
         out = np.fromiter((self.known.get(w, np.nan) for w in words), np.float32, len(words))
         for k in np.flatnonzero(np.isnan(out)).tolist():
             word = words[k]
-            out[k] = weight = float(self.model.weights[slot_of(word)])
+            out[k] = weight = self.model.weights.get(key_of(word), -DRIFT)
             if len(self.known) < CACHE_WORDS and len(word) <= CACHE_CHARS:
                 self.known[word] = weight
         return out
@@ -151,28 +161,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn weights, extreme-value parameters and calibration from the sampled labelled rows."""
     train = training_rows(docs, labels, id_col, text_col, label_col)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        slots: dict[str, int] = {}
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys, sets = [], []
+            for text in batch.column(1).to_pylist():
                 words = text.split()
                 for w in words:
-                    if w not in slots and len(slots) < CACHE_WORDS:
-                        slots[w] = slot_of(w)
-                seen = np.fromiter((slots[w] if w in slots else slot_of(w) for w in words), np.int64, len(words))
-                np.add.at(toxic if label == 1 else clean, seen, 1)
-        on = np.flatnonzero(toxic + clean)
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(toxic[on]), pa.array(clean[on])], ["slot", "toxic", "clean"])
-
-    counted = train.mapInArrow(count, "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
-    toxic, clean = np.zeros(SLOTS), np.zeros(SLOTS)
-    at = counted.column("slot").to_numpy()
-    toxic[at], clean[at] = counted.column("toxic").to_numpy(), counted.column("clean").to_numpy()
+                    if w not in known and len(known) < CACHE_WORDS:
+                        known[w] = key_of(w)
+                seen = np.fromiter((known[w] if w in known else key_of(w) for w in words), np.int64, len(words))
+                keys.append(sketch(seen))
+                sets.append(np.unique(seen).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["toxic", "sketch", "slots"])
+
+    # words come in bursts and documents in copies, so a word counts once for each group of documents with one sketch
+    grouped = train.mapInArrow(slots, "toxic int, sketch long, slots array<long>").groupBy("sketch").agg(F.min(F.struct("toxic", "slots")).alias("one"))
+    counted = grouped.select(F.col("one.toxic").alias("toxic"), F.explode("one.slots").alias("slot")).groupBy("slot").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("clean")).where(F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS).toArrow()
+    toxic, clean = counted.column("toxic").to_numpy().astype(float), counted.column("clean").to_numpy().astype(float)
     if not toxic.sum() or not clean.sum():
         return Model(None)
     weights = log_odds(toxic, clean)
-    model = Model(weights, extreme_value_scale(weights, clean))
+    model = Model(dict(zip(counted.column("slot").to_pylist(), weights.tolist(), strict=True)), extreme_value_scale(weights, clean))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
