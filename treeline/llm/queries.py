@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chosen_path, content_sort, language_id, packing, pieces, secrets, toxicity, vector_dedup
+from . import chosen_path, content_sort, language_id, lm_scoring, packing, pieces, secrets, toxicity, vector_dedup, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,19 @@ def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit the archives of all pages against a replica that decayed: every 97th page has lost its last character."""
+    pages = _table(spark, sf_dir, "pages")
+    decayed = F.when(F.pmod("page_id", F.lit(97)) == 13, F.expr("substring(html, 1, length(html) - 1)")).otherwise(F.col("html"))
+    return warc_fixity.audit(warc_fixity.warc_records(pages), warc_fixity.warc_records(pages.withColumn("html", decayed)))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents by a model of the benchmark passages against one of the whole corpus."""
+    docs = _table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(_table(spark, sf_dir, "benchmark"), docs))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -59,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_vector_dedup": op2_vector_dedup,
     "op3_content_sort": op3_content_sort,
+    "op4_warc_fixity": op4_warc_fixity,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_pieces": op8_pieces,
@@ -90,4 +106,17 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op4_warc_fixity": """
+        WITH r AS (
+            SELECT page_id, html,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+                   || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html'
+                   || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)
+                   || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM pages),
+        h AS (SELECT page_id, html, page_id // 1000 AS archive, octet_length(encode(record)) AS length, sha256(record) AS record_sha256 FROM r)
+        SELECT page_id, archive,
+               CAST(sum(length) OVER (PARTITION BY archive ORDER BY page_id, record_sha256 ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset",
+               length, record_sha256, CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN 'changed' ELSE 'ok' END AS status
+        FROM h""",
 }
