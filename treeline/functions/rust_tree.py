@@ -52,6 +52,7 @@ PRIMITIVES = frozenset("u8 i8 u16 i16 u32 i32 u64 i64 u128 i128 isize usize f32
 KEYWORDS = frozenset("as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while".split())
 MARKS = ["<<=", ">>=", "...", "..=", "::", "->", "=>", "==", "!=", "<=", ">=", "&&", "||", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<", ">>", ".."]
 BINDING = [("||",), ("&&",), ("==", "!=", "<", ">", "<=", ">="), ("|",), ("^",), ("&",), ("<<", ">>"), ("+", "-"), ("*", "/", "%")]
+RESUMING = ("fn", "pub", "struct", "enum", "impl", "trait", "mod", "use", "const", "static", "type", "let")
 COMPOUND = frozenset("+= -= *= /= %= ^= &= |= <<= >>=".split())
 POWER = {op: k for k, ops in enumerate(BINDING) for op in ops}
 
@@ -204,19 +205,19 @@ class Parser:
 
     def recovering(self, rule, in_block: bool) -> Node:
         begin, k = self.now.start, self.k
-        saved = list(self.tokens[k : k + 1])
         try:
             return rule()
         except (Failure, RecursionError):
             self.k = k
-            if saved and self.tokens[k] is not saved[0]:
-                pass  # a mark was split; the parts still cover it
             depth = 0
             kids = []
             while self.now.kind != "end":
                 if in_block and depth == 0 and self.at("}"):
                     break
                 t = self.now
+                line = self.source[self.source.rfind(b"\n", 0, t.start) + 1 : t.start]
+                if kids and depth <= 0 and not line.strip() and self.at(*RESUMING):
+                    break
                 depth += (t.text in ("(", "[", "{") and t.kind == "mark") - (t.text in (")", "]", "}") and t.kind == "mark")
                 kids.append(self.leaf("identifier") if t.kind == "word" and t.text not in KEYWORDS else self.take())
                 if depth <= 0 and t.kind == "mark" and t.text in (";", "}"):

@@ -82,6 +82,13 @@ def _rendered(path: str, source: bytes, found: list[tuple], broken: bool, text_b
     return rows
 
 
+def _holding(files: DataFrame, compiled: rust_patterns.Pattern) -> DataFrame:
+    """Only files that hold every name and literal of a pattern; the others cannot match and are never parsed."""
+    for token in rust_patterns.required_tokens(compiled):
+        files = files.where(F.contains(F.col("source"), F.lit(bytearray(token))))
+    return files
+
+
 def search(files: DataFrame, pattern: str, text_bytes: int = 8192, before: int = 2, after: int = 2) -> DataFrame:
     """Matches of an expression pattern; a file beyond the candidate guard gives none."""
     compiled = rust_patterns.compile_pattern(pattern)
@@ -94,7 +101,7 @@ def search(files: DataFrame, pattern: str, text_bytes: int = 8192, before: int =
             return []
         return _rendered(path, source, [(0, n, c) for n, c in found], tree.broken, text_bytes, before, after)
 
-    return _arrow(files, ["path", "source"], rule, _MATCH_TYPES, MATCHES)
+    return _arrow(_holding(files, compiled), ["path", "source"], rule, _MATCH_TYPES, MATCHES)
 
 
 def search_query(files: DataFrame, query: str, text_bytes: int = 8192, before: int = 2, after: int = 2) -> DataFrame:
@@ -252,6 +259,7 @@ def replace(files: DataFrame, pattern: str, replacement: str, selection: DataFra
 
     types = [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.list_(_EDIT), pa.binary(), pa.string()]
     wanted = "array<struct<start_byte:long,end_byte:long,expected_text:string>>"
+    files = _holding(files, compiled)
     mode = F.col("mode") if "mode" in files.columns else F.lit(None).cast("int").alias("mode")
     if selection is None:
         rows = files.select("path", "source", mode, F.lit(None).cast(wanted).alias("chosen"))
@@ -270,3 +278,36 @@ def stale_selection(selection: DataFrame, matches: DataFrame) -> DataFrame:
 def plan_state(plan: DataFrame) -> DataFrame:
     """One row: whether the whole plan applies (no file is blocked), with counts."""
     return plan.agg(F.coalesce(F.bool_and("applicable"), F.lit(True)).alias("applicable"), F.coalesce(F.sum("matches"), F.lit(0)).alias("selected"), F.count_if(~F.col("applicable")).alias("blocked_files"))
+
+
+ADVICE = (
+    "path string, outcome string, units int, signals array<struct<kind:string,basis:string,items:array<int>,count:int,label:string>>, "
+    "candidates array<struct<items:array<int>,support:int,internal:int,boundary:int>>, drafts array<struct<kind:string,groups:array<array<int>>,names:array<string>>>, largest array<int>, dominant array<int>"
+)
+
+
+def advice(files: DataFrame, balanced: bool = False) -> DataFrame:
+    """Splitting advice for every file, in one pass; unit numbers are ordinals of :func:`items`."""
+    from treeline.functions.advice import advise
+
+    def rule(path, source):
+        source = bytes(source)
+        a = advise(path, rust_tree.parse(source), source, balanced)
+        signals = [{"kind": s.kind, "basis": s.basis, "items": s.items, "count": s.count, "label": s.label} for s in a["signals"]]
+        cores = [{"items": c.items, "support": c.support, "internal": c.internal, "boundary": c.boundary} for c in a["candidates"]]
+        drafts = [{"kind": d.kind, "groups": d.groups, "names": d.names} for d in a["drafts"]]
+        return [(path, a["outcome"], len(a["units"]), signals, cores, drafts, a["largest"], a["dominant"])]
+
+    i, s = pa.int32(), pa.string()
+    signal = pa.struct([("kind", s), ("basis", s), ("items", pa.list_(i)), ("count", i), ("label", s)])
+    core = pa.struct([("items", pa.list_(i)), ("support", i), ("internal", i), ("boundary", i)])
+    draft = pa.struct([("kind", s), ("groups", pa.list_(pa.list_(i))), ("names", pa.list_(s))])
+    return _arrow(files, ["path", "source"], rule, [s, s, i, pa.list_(signal), pa.list_(core), pa.list_(draft), pa.list_(i), pa.list_(i)], ADVICE)
+
+
+def move_item(files: DataFrame, origin: str, name: str, destination: str, module: dict[str, str], prelude: frozenset[str] = frozenset()):
+    """A move plan between two files; only those two reach the driver."""
+    from treeline.functions.moves import plan_move
+
+    two = {r["path"]: bytes(r["source"]) for r in files.where(F.col("path").isin(origin, destination)).select("path", "source").collect()}
+    return plan_move(two, origin, name, destination, module, prelude)
