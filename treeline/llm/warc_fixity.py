@@ -39,10 +39,10 @@ def levels(slots: int = ARCHIVE_SLOTS, fanout: int = FANOUT) -> int:
 
 
 def leaves(records: DataFrame, slots: int = ARCHIVE_SLOTS) -> DataFrame:
-    """(archive, slot, part, page_id, offset, length, hash) of every record; offsets run within an archive in slot order.
+    """(archive, slot, page_id, offset, length, hash) of every record; offsets run within an archive in slot order.
 
     Archives are ranges of identifiers; null identifiers share one archive (null).
-    Rows with one identifier are parts of one slot, ordered by hash.
+    Rows with one identifier share a slot and follow each other by hash.
     """
     rows = records.select(
         F.floor(F.col("page_id") / slots).alias("archive"),
@@ -52,9 +52,8 @@ def leaves(records: DataFrame, slots: int = ARCHIVE_SLOTS) -> DataFrame:
         F.sha2(F.col("record").cast("binary"), 256).alias("hash"),
     )
     order = Window.partitionBy("archive").orderBy("slot", "hash")
-    part = Window.partitionBy("archive", "slot").orderBy("hash")
     offset = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    return rows.withColumn("offset", offset).withColumn("part", F.row_number().over(part))
+    return rows.withColumn("offset", offset)
 
 
 def _ordered(level: DataFrame, node: Column) -> DataFrame:
@@ -69,8 +68,10 @@ def _ordered(level: DataFrame, node: Column) -> DataFrame:
 def tree(records: DataFrame, slots: int = ARCHIVE_SLOTS, fanout: int = FANOUT) -> DataFrame:
     """(archive, level, node, offset, length, records, hash): level 0 has the slots, the highest level one root an archive."""
     found = cut(leaves(records, slots))
+    piece = lambda at: F.conv(F.substring("hash", at, 12), 16, 10).cast("decimal(38,0)")
     slot = found.groupBy("archive", F.col("slot").alias("node")).agg(
-        F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("part", "hash"))), lambda p: p["hash"])).cast("binary"), 256).alias("hash"),
+        # a hash of the multiset of its records, so however many rows repeat an identifier, none are gathered
+        F.sha2(F.concat_ws(",", F.count("*"), F.min("hash"), F.max("hash"), F.sum(piece(1)), F.sum(piece(16)), F.sum(piece(31))).cast("binary"), 256).alias("hash"),
         F.sum("length").alias("length"), F.min("offset").alias("offset"), F.count("*").alias("records"),
     )
     out, level = [slot.withColumn("level", F.lit(0))], slot
