@@ -170,3 +170,23 @@ def test_moves():
     assert moves.plan_move(plain, "src/a.rs", "stay", "src/b.rs", module).applicable
     clash = moves.plan_move({**plain, "src/b.rs": b"fn go() {}\n"}, "src/a.rs", "go", "src/b.rs", module)
     assert ("destination_binding_conflict", "go") in clash.decisions
+
+
+def test_new_sibling_applies(tmp_path):
+    import subprocess
+
+    files = {"src/lib.rs": b"mod a;\n\n#[cfg(test)]\nmod t { }\n", "src/a.rs": b"/// doc\nfn go() -> u8 { 1 }\nfn stay() {}\n"}
+    module = {"src/lib.rs": "crate", "src/a.rs": "crate::a"}
+    for p, raw in files.items():
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_bytes(raw)
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    plan = moves.plan_new_sibling(files, "src/a.rs", "go", "b", "src/lib.rs", module)
+    assert plan.applicable
+    subprocess.run(["git", "apply", "-"], input=plan.patch.encode(), cwd=tmp_path, check=True)
+    assert (tmp_path / "src/b.rs").read_bytes() == b"/// doc\nfn go() -> u8 { 1 }\n"
+    assert (tmp_path / "src/lib.rs").read_bytes() == b"mod a;\nmod b;\n\n#[cfg(test)]\nmod t { }\n"
+    refusals = [moves.plan_new_sibling(files, "src/a.rs", "go", stem, parent, module).decisions[0][0] for stem, parent in [("fn", "src/lib.rs"), ("A", "src/lib.rs"), ("b", "src/x.rs"), ("t", "src/lib.rs")]]
+    assert refusals == ["INVALID_NEW_FILE_NAME", "DESTINATION_ALREADY_EXISTS", "INVALID_DECLARATION_PARENT", "MODULE_DECLARATION_CONFLICT"]
+    tree = rust_tree.parse(b"fn a() {}\n// c\n#[cfg(test)]\nmod t {}\n")
+    assert moves.declaration_point(tree, b"fn a() {}\n// c\n#[cfg(test)]\nmod t {}\n") == 10
