@@ -33,3 +33,11 @@ def test_stages_take_effect(spark, docs, tmp_path):
 def test_no_documents(spark, no_docs, tmp_path):
     no_docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_documents(spark, odd_docs, tmp_path):
+    odd_docs.unionByName(odd_docs.where("doc_id = 9")).write.parquet(str(tmp_path / "documents.parquet"))
+    first = corpus_pipeline.without_copies(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").collect()
+    assert sorted(str(r.doc_id) for r in first) == sorted(map(str, [1, 3, 4, 6, 7, None, 8, 9, 10, 11, 13]))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {9, 10, 11, 13, None} <= {r.doc_id for r in packed} and not {2, 4, 5, 12} & {r.doc_id for r in packed}
