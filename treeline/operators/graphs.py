@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.operators.scratch import settled
+
 
 def reach(edges: DataFrame, roots: DataFrame, limit: int = 32) -> DataFrame:
-    """(node, depth) reachable from ``roots`` (node) over ``edges`` (parent, child), at the least depth; stops at ``limit`` levels or a fixed point."""
+    """(node, depth) reachable from ``roots`` (node) over ``edges`` (parent, child), at the least depth; stops at ``limit`` levels or a fixed point.
+
+    Each level is settled, so level n costs one join with the level before it and not n of them.
+    """
     found = roots.select("node", F.lit(0).alias("depth"))
     level = found
     for depth in range(1, limit + 1):
         level = level.select("node").join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
-        level = level.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        level = settled(level.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         found = found.unionByName(level)
