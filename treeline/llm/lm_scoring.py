@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut
+
 #: Shared vocabulary: this many words, the most frequent ones; all others are one unknown word.
 VOCABULARY = 50_000
 #: Word pairs are counted in this many slots, which bounds the models; smoothing mass of the unigram below a pair.
@@ -90,8 +92,15 @@ def _counts(docs: DataFrame, text_col: str, vocabulary: dict[str, int]) -> tuple
 
 def fit(target: DataFrame, background: DataFrame, target_col: str = "text", background_col: str = "text", vocabulary: int = VOCABULARY) -> Models:
     """Count both corpora in full under the vocabulary of the most frequent words of both together."""
-    both = word_counts(background, background_col).unionByName(word_counts(target, target_col)).groupBy("word").agg(F.sum("n").alias("n"))
-    top = both.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()  # at most `vocabulary` rows
+    both = cut(word_counts(background, background_col).unionByName(word_counts(target, target_col)).groupBy("word").agg(F.sum("n").alias("n")))
+    # a histogram by octaves of the count says how far down the vocabulary reaches, so few words are sorted
+    step = F.floor(F.log2("n") * 8)
+    left, least = vocabulary, 0
+    for row in sorted(both.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows
+        least, left = row["step"], left - row["count"]
+        if left <= 0:
+            break
+    top = both.where(step >= least).orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()  # at most `vocabulary` rows
     ids = {w: k + 2 for k, w in enumerate(top.column("word").to_pylist())}
     counted = [_counts(target, target_col, ids), _counts(background, background_col, ids)]
     return Models(ids, [c[0] for c in counted], [c[1] for c in counted])
