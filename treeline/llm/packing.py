@@ -63,20 +63,25 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.two = [i.to_bytes(2, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known = _Known()
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        made = np.array([t.id for t in self.model.tokenize(letters)], "<u2").tobytes()
+        made = b"".join([self.two[t.id] for t in self.model.tokenize(letters)])
         if len(self.parts) < CACHE_WORDS and len(part) <= CACHE_CHARS:
             self.parts[part] = made
         return made
 
     def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
+        if not (word.isascii() or _PLAIN.fullmatch(word)) or not word.isprintable():
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-        lower = "".join([c.lower() for c in word])
+        lower = word.lower()
+        if lower.isalpha():
+            return self.parts.get(lower) or self._part(lower)
+        if lower[:-1].isalpha():  # a word and one mark
+            return b"".join([self.parts.get(p) or self._part(p) for p in (lower[:-1], lower[-1])])
         return b"".join([self.parts.get(p) or self._part(p) for p in _SPLIT.findall(lower)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
