@@ -124,7 +124,6 @@ def _signatures(words: int, runs: int, levels: int, threshold: float):
                 some = [k for k, s in enumerate(sets) if len(s)]
                 block = np.array([embed(sets[k]) for k in some], np.uint64).reshape(-1, WIDTH)
                 row, bucket = paths(block, runs, levels, threshold)
-                stop = np.searchsorted(row[np.argsort(row, kind="stable")], np.arange(len(some) + 1))
                 bucket = np.unique(np.stack([row.astype(np.int64), bucket.view(np.int64)], 1), axis=0)
                 stop = np.searchsorted(bucket[:, 0], np.arange(len(some) + 1))
                 brief = (_mix(block) >> np.uint64(56)).astype(np.uint8)
@@ -183,8 +182,14 @@ def _brute_force(coarse: float, same: float):
                         waiting[own >= same] = False
             a += [rep[s + x] for x, _ in pairs]
             b += [rep[s + y] for _, y in pairs]
-        sets = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1).astype(np.int64), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(sets[:, 0]), "b": pa.array(sets[:, 1])})
+        # what a task found is sent as a forest: one edge for each set at most, however many pairs met
+        ids = np.unique(rep)
+        sets = Union(len(ids))
+        if a:
+            sets.join_all(np.searchsorted(ids, a), np.searchsorted(ids, b))
+        root = ids[[sets.find(k) for k in range(len(ids))]] if len(ids) else ids
+        on = root != ids
+        return pa.table({"a": pa.array(ids[on].astype(np.int64)), "b": pa.array(root[on].astype(np.int64))})
 
     return run
 
