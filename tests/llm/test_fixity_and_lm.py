@@ -1,3 +1,7 @@
+import math
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from treeline.llm import lm_scoring, warc_fixity
@@ -35,3 +39,31 @@ def test_scores_order_documents_and_count_everything(spark, odd_docs, no_docs):
     assert models.words[1][models.vocabulary["stock"]] == 26
     assert lm_scoring.score(odd_docs, models).count() == odd_docs.count()
     assert lm_scoring.score(no_docs, lm_scoring.fit(no_docs, no_docs)).count() == 0
+
+
+def test_every_word_and_pair_counts_exactly(spark, monkeypatch):
+    """More distinct words and pairs than any fixed table had, against counts in Python; few rows are near, so most are joined."""
+    monkeypatch.setattr(lm_scoring, "NEAR_ROWS", 50)
+    texts = [" ".join(f"w{(k * 7919 + j * (1 + k % 3)) % 90_000}" for j in range(300)) + " the end" for k in range(700)] + ["The end", "the the the"]
+    wanted = texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    models = lm_scoring.fit(spark.createDataFrame([(t,) for t in wanted], "text string"), docs)
+    new = [(None, None), (-1, "the end"), (-1, "never seen the w5 w6 w7")]
+    got = lm_scoring.score(docs.union(spark.createDataFrame(new, docs.schema)), models).collect()
+    split = [[t.lower().split() for t in side] for side in (wanted, texts)]
+    words = [Counter(w for t in side for w in t) for side in split]
+    pairs = [Counter(p for t in side for p in zip(["", *t], t)) for side in split]
+    distinct, totals = len(words[0] | words[1]), [w.total() for w in words]
+    assert distinct > 50_000 and models.distinct == distinct
+
+    def mean(text, k):
+        t = text.lower().split()
+        before = lambda w: words[k][w] if w else len(split[k])
+        share = {w: (words[k][w] + 1) / (totals[k] + distinct + 1) for w in t}
+        return sum(-math.log((pairs[k][b, w] + lm_scoring.MASS * share[w]) / (before(b) + lm_scoring.MASS)) for b, w in zip(["", *t], t)) / len(t)
+
+    expected = sorted((i, len(t.split()), mean(t, 0), mean(t, 1)) for i, t in [*enumerate(texts), *new[1:]])
+    found = sorted((r.doc_id, r.n_tokens, r.ce_target, r.ce_background) for r in got if r.n_tokens)
+    assert len(found) == len(expected) == len(got) - 1 and np.allclose(np.array(found), np.array(expected), rtol=0, atol=1e-9)
+    for k, side in enumerate(lm_scoring.losses(models, new[2][1])):
+        assert abs(side.mean() - mean(new[2][1], k)) < 1e-9

@@ -3,6 +3,14 @@
 A target model (of a corpus one wants more of) and a background model (of the whole
 corpus) have one vocabulary, one order and one smoothing; the mean difference of
 their per-token losses scores each document. Lower is more like the target.
+
+Every word and every pair of words has an exact count in a distributed table that
+grows with the corpora. A loss is a sum of terms that depend on one row of it each,
+
+    log(c(b) + MASS) - log(MASS * s(w)) - log(1 + p(b, w) / (MASS * s(w))),
+
+with c the counts of words, s the smoothed share of a word and p the counts of pairs;
+so documents are scored by one join of what they contain with that table.
 """
 
 from __future__ import annotations
@@ -13,130 +21,295 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import cut
 
-#: Shared vocabulary: this many words, the most frequent ones; all others are one unknown word.
-VOCABULARY = 50_000
-#: Word pairs are counted in this many slots, which bounds the models; smoothing mass of the unigram below a pair.
-SLOTS, MASS = 1 << 20, 50.0
-#: Words that a counting task holds before it sends partial counts.
-HELD_WORDS = 200_000
-UNKNOWN, START = 0, 1
+#: Smoothing mass of the unigram below a pair.
+MASS = 50.0
+#: Words and tokens that a counting task holds before it sends partial counts, and characters of texts taken at once.
+HELD_WORDS, HELD_TOKENS, CHARS = 200_000, 2_000_000, 4_000_000
+#: Words that a task remembers the keys of, up to so many characters each.
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Frequent rows that tasks look up for themselves instead of joining, and frequent words that are dealt over so many places.
+NEAR_ROWS, HOT_WORDS, SALTS = 1 << 19, 4_096, 64
+#: What stands before a word: nothing (its own row), the start of a text, or that it is the last one of a text.
+ALONE, START, END = -1, -2, -3
+
+
+@dataclass
+class Words:
+    """Counts of one corpus by key of a word."""
+
+    table: DataFrame
+    side: str
+
+    def __getitem__(self, key: int) -> int:
+        row = self.table.where((F.col("b") == ALONE) & (F.col("w") == key)).first()
+        return row[self.side] if row else 0
+
+
+@dataclass
+class Vocabulary:
+    """Keys of words; different words of the corpora have different ones."""
+
+    seed: int
+
+    def __getitem__(self, word: str) -> int:
+        return xxhash.xxh64_intdigest(word, self.seed) >> 1
 
 
 @dataclass
 class Models:
-    vocabulary: dict[str, int]
-    #: For target and background: log unigram probabilities are derived from counts by word, pair counts by slot.
-    words: list[np.ndarray]
-    pairs: list[np.ndarray]
+    """Rows (b, w, t, g, wt, wg): counts of word w after b in target and background, and of w alone; counts of tokens and texts of both."""
+
+    table: DataFrame
+    vocabulary: Vocabulary
+    words: list[Words]
+    tokens: list[int]
+    texts: list[int]
+    distinct: int
+
+
+class Keys:
+    """Keys of the words of texts, with a cache."""
+
+    def __init__(self, seed: int):
+        self.seed, self.known = seed, {}
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = (text or "").lower().split()
+        known, out = self.known, np.empty(len(words), np.int64)
+        for k, word in enumerate(words):
+            key = known.get(word)
+            if key is None:
+                key = xxhash.xxh64_intdigest(word, self.seed) >> 1
+                if len(known) < CACHE_WORDS and len(word) <= CACHE_CHARS:
+                    known[word] = key
+            out[k] = key
+        return out
+
+
+def _mixed(b: np.ndarray, w: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    out = (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    if more is not None:
+        out ^= more.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
 
+def _together(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows as one with their number; what a hash of the rows leaves apart stays apart, nothing different is merged."""
+    order = np.argsort(_mixed(*columns))
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
 
-def pair_slots(ids: np.ndarray) -> np.ndarray:
-    """Slots of consecutive words, the first after the start mark."""
-    before = np.concatenate([[START], ids[:-1]]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    mixed ^= mixed >> np.uint64(32)
-    return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64) & (SLOTS - 1)
 
+def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(b, w) of one text that has words: each word after the one before it, and the last one."""
+    return np.concatenate([[START], keys[:-1], [END]]), np.append(keys, keys[-1])
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all whole texts; words are lower case and separated by white space."""
+
+def _slices(column: pa.Array, most: int = 256) -> Iterator[list]:
+    """Values in lists of not much more than CHARS characters."""
+    held, size = [], 0
+    for lo in range(0, len(column), most):
+        for text in column.slice(lo, most).to_pylist():
+            held.append(text)
+            size += len(text or "")
+            if size > CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def word_counts(docs: DataFrame, text_col: str = "text", seed: int = 0) -> DataFrame:
+    """(word, key, n), partial, over all whole texts; words are lower case and separated by white space; the word '' has the number of texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        vocabulary = Vocabulary(seed)
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([vocabulary[w] if w else START for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["word", "key", "n"])
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(lo, 256).to_pylist():
-                    held.update((text or "").lower().split())
+                    words = (text or "").lower().split()
+                    held.update(words)
+                    held[""] += bool(words)
                 if len(held) > HELD_WORDS:
                     yield send()
                     held.clear()
         yield send()
 
-    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "word string, key long, n long")
 
 
-def _ids(vocabulary: dict[str, int], text: str | None) -> np.ndarray:
-    get = vocabulary.get
-    return np.array([get(w, UNKNOWN) for w in (text or "").lower().split()], np.int64)
+def pair_counts(docs: DataFrame, text_col: str = "text", seed: int = 0) -> DataFrame:
+    """(b, w, n), partial, over all whole texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, size = Keys(seed), [], 0
 
-def _counts(docs: DataFrame, text_col: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by word id and by pair slot over all whole texts; two bounded vectors reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary) + 2
+        def send() -> pa.RecordBatch:
+            (b, w), n = _together(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(b), pa.array(w), pa.array(n)], ["b", "w", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = np.zeros(size, np.int64), np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                parts = [_ids(shared.value, t) for t in batch.column(0).slice(lo, 256).to_pylist()]
-                parts = [p for p in parts if len(p)]
-                if parts:
-                    words += np.bincount(np.concatenate(parts), minlength=size)
-                    np.add.at(pairs, np.concatenate([pair_slots(p) for p in parts]), 1)
-                    words[START] += len(parts)
-        w, p = np.flatnonzero(words), np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([w, p + size])), pa.array(np.concatenate([words[w], pairs[p]]))], ["k", "n"])
-
-    got = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(size + SLOTS)
-    flat[got.column("k").to_numpy()] = got.column("n").to_numpy()
-    return flat[:size], flat[size:]
-
-
-def fit(target: DataFrame, background: DataFrame, target_col: str = "text", background_col: str = "text", vocabulary: int = VOCABULARY) -> Models:
-    """Count both corpora in full under the vocabulary of the most frequent words of both together."""
-    both = cut(word_counts(background, background_col).unionByName(word_counts(target, target_col)).groupBy("word").agg(F.sum("n").alias("n")))
-    # a histogram by octaves of the count says how far down the vocabulary reaches, so few words are sorted
-    step = F.floor(F.log2("n") * 8)
-    left, least = vocabulary, 0
-    for row in sorted(both.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows
+            for texts in _slices(batch.column(0)):
+                for text in texts:
+                    if len(found := keys.of(text)):
+                        held.append([x[:-1] for x in _pairs(found)])
+                        size += len(found)
+                if size > HELD_TOKENS:
+                    yield send()
+                    held, size = [], 0
+        if held:
+            yield send()
+
+    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "b long, w long, n long")
+
+
+def _sides(target: DataFrame, background: DataFrame) -> DataFrame:
+    none = F.lit(0).cast("long")
+    return target.withColumns({"t": F.col("n"), "g": none}).drop("n").unionByName(background.withColumns({"t": none, "g": F.col("n")}).drop("n"))
+
+
+def _most(rows: DataFrame, n: Column, most: int) -> DataFrame:
+    """About the `most` rows with the largest n, never more; a histogram by octaves says how far down they reach, so few rows are sorted."""
+    step, left, least = F.floor(F.log2(n) * 8), most, 0
+    for row in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows
         least, left = row["step"], left - row["count"]
         if left <= 0:
             break
-    top = both.where(step >= least).orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()  # at most `vocabulary` rows
-    ids = {w: k + 2 for k, w in enumerate(top.column("word").to_pylist())}
-    counted = [_counts(target, target_col, ids), _counts(background, background_col, ids)]
-    return Models(ids, [c[0] for c in counted], [c[1] for c in counted])
+    return rows.where(step >= least).orderBy(n.desc(), "w").limit(most)
+
+
+def fit(target: DataFrame, background: DataFrame, target_col: str = "text", background_col: str = "text") -> Models:
+    """Count all words and pairs of words of both corpora in full."""
+    for seed in range(8):
+        both = _sides(word_counts(target, target_col, seed), word_counts(background, background_col, seed))
+        words = cut(both.repartition("key").groupBy("key", "word").agg(F.sum("t").alias("t"), F.sum("g").alias("g")))
+        counts = words.groupBy("key").agg(F.count("*").alias("same"), F.sum("t").alias("t"), F.sum("g").alias("g"))
+        word = F.col("key") >= 0
+        told = counts.agg(F.max("same"), *(F.sum(F.when(c, F.col(s))) for c in (word, ~word) for s in "tg"), F.count_if(word)).first()
+        if (told[0] or 0) <= 1:  # no two words have one key
+            break
+    else:
+        raise RuntimeError("different words have equal keys under every seed")
+    single = words.where(word).select(F.col("key").alias("w"), F.col("t").alias("wt"), F.col("g").alias("wg"))
+    hot = cut(_most(single, F.col("wt") + F.col("wg"), HOT_WORDS))  # at most HOT_WORDS rows
+
+    # pairs are dealt by their word, frequent words over SALTS places, so counting and the join need one exchange
+    pairs = _sides(pair_counts(target, target_col, seed), pair_counts(background, background_col, seed))
+    pairs = pairs.join(F.broadcast(hot.select("w", F.lit(True).alias("hot"))), "w", "left")
+    pairs = pairs.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(0).cast("int"))
+    pairs = pairs.repartition("w", "salt").groupBy("w", "salt", "b").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
+    dealt = single.withColumn("salt", F.lit(0)).unionByName(hot.select("w", "wt", "wg", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1))).alias("salt")))
+    order = ["b", "w", "t", "g", "wt", "wg"]
+    # every word ends some document that is scored, though it may end none of those counted
+    alone = single.select(F.explode(F.array(F.lit(ALONE).cast("long"), F.lit(END).cast("long"))).alias("b"), "w", F.col("wt").alias("t"), F.col("wg").alias("g"), "wt", "wg")
+    table = cut(pairs.join(dealt.hint("shuffle_hash"), ["w", "salt"]).select(*order).unionByName(alone))
+    tokens, texts = [[n or 0 for n in told[k : k + 2]] for k in (1, 3)]
+    return Models(table, Vocabulary(seed), [Words(table, "t"), Words(table, "g")], tokens, texts, told[5])
 
 
 def losses(models: Models, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Per-token losses (nats) of one whole text under target and background."""
-    ids = _ids(models.vocabulary, text)
-    if not len(ids):
+    """Per-token losses (nats) of one whole text under target and background, looked up on the driver."""
+    keys = Keys(models.vocabulary.seed).of(text)
+    if not len(keys):
         return np.zeros(0), np.zeros(0)
-    slots, before = pair_slots(ids), np.concatenate([[START], ids[:-1]])
+    mine = models.table.sparkSession.createDataFrame([(k,) for k in set(keys.tolist())], "w long")
+    firsts = [START, ALONE, *set(keys.tolist())]
+    rows = models.table.join(F.broadcast(mine), "w", "left_semi").where(F.col("b").isin(firsts)).collect()  # at most the pairs of the text's words
+    counts = {(r.b, r.w): (r.t, r.g) for r in rows}
     out = []
-    for words, pairs in zip(models.words, models.pairs, strict=True):
-        total = words.sum() - words[START]
-        single = (words[ids] + 1) / (total + len(words) - 1)
-        out.append(-np.log((np.minimum(pairs[slots], words[before]) + MASS * single) / (words[before] + MASS)))
+    for side in (0, 1):
+        of = lambda b, w: counts.get((b, w), (0, 0))[side]  # noqa: B023, E731
+        loss = []
+        for b, w in zip([START, *keys[:-1].tolist()], keys.tolist(), strict=True):
+            before = models.texts[side] if b == START else of(ALONE, b)
+            share = (of(ALONE, w) + 1) / (models.tokens[side] + models.distinct + 1)
+            loss.append(-np.log((of(b, w) + MASS * share) / (before + MASS)))
+        out.append(np.array(loss))
     return out[0], out[1]
 
 
+def _terms(models: Models, b: Column, side: int, n: Column, of_word: Column) -> Column:
+    """What one occurrence of a row adds to the sum of losses of a text."""
+    share = (of_word + 1) / (models.tokens[side] + models.distinct + 1)
+    return F.when(b == ALONE, F.log(of_word + MASS) - F.log(MASS * share)).when(b == END, -F.log(of_word + MASS)).otherwise(-F.log1p(n / (MASS * share)))
+
+
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ce_target, ce_background, score (their difference).
 
     Null and empty texts have no tokens and score 0 with null entropies. Repeated and
     null identifiers pass through; other columns are ignored; an empty table gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    b, zero = F.col("b"), F.lit(0)
+    table = models.table.select("b", "w", *(_terms(models, b, k, F.col(s), F.col(f"w{s}")).alias(f"l{s}") for k, s in enumerate("tg")))
+    # rows that many documents ask for are looked up in the task; all others are joined
+    often = _most(models.table, F.col("t") + F.col("g"), NEAR_ROWS).select("b", "w", *(_terms(models, b, k, F.col(s), F.col(f"w{s}")).alias(f"l{s}") for k, s in enumerate("tg"))).toArrow()  # at most NEAR_ROWS rows
+    near = [often.column(c).to_numpy() for c in ("b", "w", "lt", "lg")]
+    mixed = _mixed(near[0], near[1])
+    order = np.argsort(mixed)
+    shared = docs.sparkSession.sparkContext.broadcast([mixed[order], *(c[order] for c in near)])
+    seed, start = models.vocabulary.seed, [float(np.log(n + MASS)) for n in models.texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = Keys(seed)
+        hashes, near_b, near_w, near_t, near_g = shared.value
         for batch in batches:
-            rows = []
-            for lo in range(0, batch.num_rows, 256):
-                for text in batch.column(1).slice(lo, 256).to_pylist():
-                    a, b = losses(shared.value, text)
-                    rows.append((len(a), float(a.mean()), float(b.mean()), float((a - b).mean())) if len(a) else (0, None, None, 0.0))
-            n, a, b, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(d, pa.float64())], ["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
-
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+            at = 0
+            for texts in _slices(batch.column(2)):
+                rid, doc = batch.column(0).slice(at, len(texts)).to_numpy(), batch.column(1).slice(at, len(texts))
+                at += len(texts)
+                bs, ws, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+                rows = np.zeros(len(texts), np.int64)
+                for k, text in enumerate(texts):
+                    found = keys.of(text)
+                    tokens[k] = len(found)
+                    if len(found):
+                        first, word = _pairs(found)
+                        bs += [first, np.full(len(found), ALONE)]
+                        ws += [word, found]
+                        rows[k] = 2 * len(found) + 1
+                bs, ws, of = np.concatenate(bs), np.concatenate(ws), np.repeat(np.arange(len(texts)), rows)
+                sums, far = [s * (tokens > 0) for s in start], np.ones(len(bs), bool)
+                if len(hashes):
+                    place = np.minimum(np.searchsorted(hashes, _mixed(bs, ws)), len(hashes) - 1)
+                    far = (near_b[place] != bs) | (near_w[place] != ws)
+                    place, mine = place[~far], of[~far]
+                    sums = [s + np.bincount(mine, v[place], len(texts)) for s, v in zip(sums, (near_t, near_g), strict=True)]
+                (bs, ws, of), n = _together(bs[far], ws[far], of[far])
+                # a document's own row has no word: it joins with nothing and brings what is known of it
+                size = len(bs)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rid[of], rid])), pa.concat_arrays([pa.nulls(size, pa.int64()), doc]), pa.array(np.concatenate([bs, rid])), pa.array(np.concatenate([ws, np.full(len(rid), -1)])),
+                        pa.array(np.concatenate([n, np.zeros(len(rid), np.int64)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(size, np.int64), tokens])), *(pa.array(np.concatenate([np.zeros(size), s])) for s in sums),
+                    ],
+                    ["rid", "doc_id", "b", "w", "n", "n_tokens", "at", "ag"],
+                )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = rows.mapInArrow(run, "rid long, doc_id long, b long, w long, n int, n_tokens long, at double, ag double")
+    # words and pairs that neither corpus has count zero
+    rows = rows.join(table, ["b", "w"], "left")
+    unseen = [F.when(F.col("w") < 0, 0.0).otherwise(_terms(models, b, k, zero, zero)) for k in (0, 1)]
+    sums = rows.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
+        *(F.sum(F.col(f"a{s}") + F.col("n") * F.coalesce(F.col(f"l{s}"), unseen[k])).alias(f"s{s}") for k, s in enumerate("tg")),
+    )
+    some, mean = F.col("n_tokens") > 0, lambda x: F.try_divide(x, F.col("n_tokens"))
+    return sums.select(
+        "doc_id", "n_tokens", F.when(some, mean(F.col("st"))).alias("ce_target"), F.when(some, mean(F.col("sg"))).alias("ce_background"),
+        F.when(some, mean(F.col("st") - F.col("sg"))).otherwise(0.0).alias("score"),
+    )
