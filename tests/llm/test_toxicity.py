@@ -37,3 +37,35 @@ def test_held_out_documents(spark, odd_docs, no_docs):
     none = tx.fit(no_docs, labels.limit(0))
     assert {r.score for r in tx.score(odd_docs, none).collect()} == {0.0}
     assert tx.score(no_docs, model).count() == 0
+
+
+BAD = "idiot scum moron trash worthless pathetic stupid vile filthy rotten".split()
+
+
+def test_rare_toxic_class_and_few_labels(spark):
+    draw = np.random.default_rng(5)
+    rows = []
+    for k in range(4_000):
+        words = [f"w{j}" for j in draw.integers(0, 400, 40)]
+        if toxic := k % 100 == 7:  # 1 %
+            words += list(draw.choice(BAD, 5, replace=False))
+        rows.append((k, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = tx.fit(docs, docs)
+    assert all(model.weights[tx.key_of(w)] > 0 for w in BAD)
+    assert sum(v > 0 for v in model.weights.values()) <= len(BAD) + 2
+    got = tx.score(docs, model).join(docs.select("doc_id", "toxic"), "doc_id").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.999
+    d = "/root/testdata/sf0.01"
+    model = tx.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    found = [w for w in ("trash", "idiot", "scum", "moron", "worthless", "pathetic") if model.weights.get(tx.key_of(w), -1) > 0]
+    print(found, sum(v > 0 for v in model.weights.values()), len(model.weights))
+    assert len(found) > 1
+
+
+def test_training_rows_are_drawn_by_class(spark, monkeypatch):
+    monkeypatch.setattr(tx, "TRAIN_ROWS", 1_000)
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'a b c' as text", "cast(id % 100 = 7 as int) as toxic")
+    train, drawn = tx.training_rows(docs, docs, "doc_id", "text", "toxic")
+    toxic = train.where("toxic = 1").count()
+    assert drawn[1] == 1.0 and toxic > 120 and 700 < train.count() - toxic < 950

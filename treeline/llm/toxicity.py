@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Token weights are log-odds of the two classes under an informative Dirichlet
-prior, shrunk by their own standard error, less a drift that makes the expected
+prior, of the words that a likelihood-ratio test tells apart (false discoveries are
+controlled over the vocabulary, whatever the classes' shares), less a drift that makes the expected
 weight of clean text negative. A linear scan finds every maximal-scoring segment
 of a text; a segment's score is compared with what chance gives in a clean text of
 that length (extreme-value parameters from the clean weights), and the most
@@ -25,10 +26,10 @@ from .language_id import held_out
 
 #: Sampled groups of documents that a word must occur in to get a weight of its own.
 LEAST_DOCUMENTS = 5
-#: Labelled rows that are learned from, about, by a hash of the identifier.
+#: Labelled rows that are learned from, about, by a hash of the identifier; up to half are toxic.
 TRAIN_ROWS = 20_000
-#: Total weight of the prior, least z-score that counts, drift, and the range of a weight.
-PRIOR, LEAST_Z, DRIFT, RANGE = 5_000.0, 5.0, 0.4, (-1.0, 5.0)
+#: Total weight of the prior, share of false discoveries among words with a weight, drift, and the range of a weight.
+PRIOR, FALSE_SHARE, DRIFT, RANGE = 5_000.0, 0.01, 0.4, (-1.0, 5.0)
 #: Segments are reported from this expected number of chance segments down.
 MOST_EXPECTED = 0.01
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
@@ -63,16 +64,23 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * x + self.offset))))
 
 
+def told_apart(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Words whose share of toxic counts differs from that of all words: Benjamini-Hochberg over Chernoff's bound of the binomial tail."""
+    both, p = toxic + clean, toxic.sum() / (toxic.sum() + clean.sum())
+    ratio = toxic * np.log(np.maximum(toxic, 1e-300) / (both * p)) + clean * np.log(np.maximum(clean, 1e-300) / (both * (1 - p)))
+    chance = np.sort(log_p := np.log(2) - ratio)
+    passed = np.flatnonzero(chance <= np.log(FALSE_SHARE * np.arange(1, len(chance) + 1) / len(chance)))
+    return log_p <= chance[passed[-1]] if len(passed) else np.zeros(len(chance), bool)
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Shrunk log-odds by word; the prior is proportional to the counts of both classes together."""
+    """Log-odds by word, of words that are told apart; the prior is proportional to the counts of both classes together."""
     both = toxic + clean
     prior = PRIOR * (both + 0.01) / (both.sum() + 0.01 * len(both))
     n1, n0 = toxic.sum() + PRIOR, clean.sum() + PRIOR
     a, b = toxic + prior, clean + prior
     delta = np.log(a / np.maximum(n1 - a, 1e-9)) - np.log(b / np.maximum(n0 - b, 1e-9))
-    z = delta / np.sqrt(1 / a + 1 / b)
-    shrunk = np.where(np.abs(z) >= LEAST_Z, delta * (1 - (LEAST_Z / np.maximum(np.abs(z), LEAST_Z)) ** 2), 0.0)
-    return (np.clip(shrunk, *RANGE) - DRIFT).astype(np.float32)
+    return (np.clip(np.where(told_apart(toxic, clean), delta, 0.0), *RANGE) - DRIFT).astype(np.float32)
 
 
 def extreme_value_scale(weights: np.ndarray, clean: np.ndarray) -> float:
@@ -146,20 +154,25 @@ class Scorer:
         return max((s for _, _, s in found), default=0.0), len(words), found
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(toxic, text) of about TRAIN_ROWS labelled documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, list[float]]:
+    """(toxic, text) of about TRAIN_ROWS labelled documents that are not held out, drawn by class, and the share drawn of clean and toxic ones."""
     told = labels.where(labels[label_col].isNotNull() & ~held_out(labels[id_col])).select(labels[id_col].cast("long").alias("i"), labels[label_col].cast("int").alias("toxic"))
-    rows = told.count()
+    told = told.groupBy("i").agg(F.max("toxic").alias("toxic"))
+    toxic = F.col("toxic") == 1
+    n1, n0 = told.agg(F.count_if(toxic), F.count_if(~toxic)).first()
+    # a class that needs less than half leaves the rest to the other one
+    most = [max(TRAIN_ROWS // 2, TRAIN_ROWS - n) for n in (n1, n0)]
+    drawn = [min(1.0, m / max(1, n)) for m, n in zip(most, (n0, n1), strict=True)]
     luck = F.pmod(F.xxhash64("i", F.lit("train")), F.lit(1_000_003)) / 1_000_003
-    some = told.where(luck < min(1.0, TRAIN_ROWS / max(1, rows))).groupBy("i").agg(F.max("toxic").alias("toxic"))
+    some = told.where(luck < F.when(toxic, drawn[1]).otherwise(drawn[0]))
     text = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].cast("string").alias("text"))
     # about TRAIN_ROWS rows of 12 bytes, whatever the input's size
-    return text.where(F.col("text").isNotNull()).join(F.broadcast(some), "i").select("toxic", "text")
+    return text.where(F.col("text").isNotNull()).join(F.broadcast(some), "i").select("toxic", "text"), drawn
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn weights, extreme-value parameters and calibration from the sampled labelled rows."""
-    train = training_rows(docs, labels, id_col, text_col, label_col)
+    train, drawn = training_rows(docs, labels, id_col, text_col, label_col)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -192,20 +205,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.model.significance(b, n) for b, n in best], pa.float64())], ["toxic", "x"])
 
     seen = train.mapInArrow(measure, "toxic int, x double").toArrow()  # about TRAIN_ROWS rows
-    model.slope, model.offset = calibrate(seen.column("x").to_numpy(), (seen.column("toxic").to_numpy() == 1).astype(float))
+    toxic = seen.column("toxic").to_numpy() == 1
+    # rows count for all those of their class, so probabilities hold for the labels as they are
+    model.slope, model.offset = calibrate(seen.column("x").to_numpy(), toxic.astype(float), np.where(toxic, 1 / drawn[1], 1 / drawn[0]))
     return model
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Logistic slope (not negative) and offset by Newton steps with a weak ridge."""
     w = np.zeros(2)
     a = np.stack([x, np.ones(len(x))], 1)
     order = np.lexsort((y, x))
-    a, y = a[order], y[order]
+    a, y, weight = a[order], y[order], weight[order]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        g = a.T @ (p - y) + 1e-2 * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
+        g = a.T @ (weight * (p - y)) + 1e-2 * w
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 4 / max(1e-9, float(np.abs(step).max())))
     return max(0.0, float(w[0])), float(w[1])
