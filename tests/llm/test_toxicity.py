@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
 from treeline.llm import toxicity as tx
 
@@ -22,13 +25,16 @@ def test_maximal_segments_are_exact():
 
 
 def test_held_out_documents(spark, odd_docs, no_docs):
+    """Recall among texts that have any evidence; about 6 % of toxic labels are on texts without a word of the toxic vocabulary."""
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = tx.fit(docs, labels)
-    got = tx.score(docs, model).drop("passages").join(labels, "doc_id").where("held_out").toPandas()
+    got = tx.score(docs, model).drop("passages").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
-    assert (got[got.toxic == 0].predicted == 0).mean() > 0.99
-    assert (got[got.toxic == 1].predicted == 1).mean() > 0.5  # the other labels are noise: such texts hold no toxic word
+    assert (got[got.toxic == 1].predicted == 1).mean() >= 0.9
+    for lang, part in got.groupby("lang"):
+        assert (part[part.toxic == 0].predicted == 1).mean() < 0.01, lang
+        assert (part[part.toxic == 1].predicted == 1).mean() >= 0.8, lang
     rows = tx.score(odd_docs, model).collect()
     assert len(rows) == odd_docs.count() and {r.predicted for r in rows} == {0}
     planted = spark.createDataFrame([(1, "nice words here then you idiot scum moron worthless trash and more nice words")], "doc_id long, text string")
@@ -39,6 +45,44 @@ def test_held_out_documents(spark, odd_docs, no_docs):
     assert tx.score(no_docs, model).count() == 0
 
 
+def test_counts_of_features_against_brute_force():
+    draw = np.random.default_rng(3)
+    texts = [" ".join(draw.choice(["abcde", "abcdf", "abc", "xy", "Xy!", "--", "zzzzzzzzzzz"], int(draw.integers(0, 9)))) for _ in range(60)]
+    toxic, fold = draw.integers(0, 2, 60).tolist(), draw.integers(0, 2, 60).tolist()
+    want = {}
+    for t, f, text in zip(toxic, fold, texts, strict=True):
+        mine = Counter(x for w in text.split() for x in tx.features(w))
+        for x, n in mine.items():
+            row = want.setdefault(x, [0] * 8)
+            row[4 * f + (t != 1)] += 1
+            row[4 * f + (t != 1) + 2] += n
+    got = {}
+    batch = pa.record_batch([pa.array(toxic), pa.array(fold), pa.array(texts)], ["toxic", "fold", "text"])
+    for part in tx._counted(iter([batch.slice(0, 25), batch.slice(25)])):
+        for row in part.to_pylist():
+            old = got.setdefault(row["feature"], [0] * 8)
+            got[row["feature"]] = [a + row[c] for a, c in zip(old, tx._COUNTS, strict=True)]
+    assert got == want
+
+
+def test_stems_with_many_endings(spark):
+    """No toxic word recurs, only its beginning does; ordinary beginnings stay clean."""
+    draw = np.random.default_rng(8)
+    end = lambda: "".join(draw.choice(list("aeioulmnrst"), 4))
+    rows = []
+    for k in range(3_000):
+        words = [f"{draw.choice(['haus', 'baum', 'wald', 'berg'])}{end()}" for _ in range(60)]
+        if toxic := k % 20 == 7:
+            for at in draw.choice(60, 3, replace=False):
+                words[at] = "vrax" + end()
+        rows.append((k, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = tx.fit(docs, docs)
+    assert model.weights["vrax"] > 1 and not any(f.startswith(("haus", "baum", "wald", "berg")) for f in model.weights)
+    got = tx.score(docs, model).where("held_out").join(docs.select("doc_id", "toxic"), "doc_id").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.99
+
+
 BAD = "idiot scum moron trash worthless pathetic stupid vile filthy rotten".split()
 
 
@@ -52,14 +96,13 @@ def test_rare_toxic_class_and_few_labels(spark):
         rows.append((k, " ".join(words), int(toxic)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = tx.fit(docs, docs)
-    assert all(model.weights[tx.key_of(w)] > 0 for w in BAD)
-    assert sum(v > 0 for v in model.weights.values()) <= len(BAD) + 2
+    assert all(model.weights[w + "$"] > 0 for w in BAD)
+    assert sum(f.endswith("$") for f in model.weights) <= len(BAD) + 2
     got = tx.score(docs, model).join(docs.select("doc_id", "toxic"), "doc_id").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.999
     d = "/root/testdata/sf0.01"
     model = tx.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
-    found = [w for w in ("trash", "idiot", "scum", "moron", "worthless", "pathetic") if model.weights.get(tx.key_of(w), -1) > 0]
-    print(found, sum(v > 0 for v in model.weights.values()), len(model.weights))
+    found = [w for w in ("trash", "idiot", "scum", "moron", "worthless", "pathetic") if model.weights.get(w + "$", -1) > 0]
     assert len(found) > 1
 
 

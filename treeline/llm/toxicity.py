@@ -1,56 +1,72 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Token weights are log-odds of the two classes under an informative Dirichlet
-prior, of the words that a likelihood-ratio test tells apart (false discoveries are
-controlled over the vocabulary, whatever the classes' shares), less a drift that makes the expected
-weight of clean text negative. A linear scan finds every maximal-scoring segment
-of a text; a segment's score is compared with what chance gives in a clean text of
-that length (extreme-value parameters from the clean weights), and the most
-significant one is calibrated to a probability.
+What a token is judged by are whole words and productive beginnings of words (those
+with several endings). Those that a likelihood-ratio test on documents tells apart
+(false discoveries are controlled over all of them, whatever the classes' shares)
+have log-odds of their occurrences in the two classes under an informative
+Dirichlet prior, less a drift that makes the expected weight of clean text
+negative. A linear scan finds every maximal-scoring segment of a text; a segment's
+score is compared with what chance gives in a clean text of that length
+(extreme-value parameters from the clean weights), and the most significant one is
+calibrated to a probability on rows that its weights were not learned from.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import held_out
+from .runtime import cut, drop_cut
 
-#: Sampled groups of documents that a word must occur in to get a weight of its own.
-LEAST_DOCUMENTS = 5
+#: Sampled groups of documents that a feature must occur in, and different words that a beginning must begin, to be judged.
+LEAST_DOCUMENTS, LEAST_WORDS = 5, 5
+#: Characters of a beginning.
+BEGINNINGS = range(3, 9)
 #: Labelled rows that are learned from, about, by a hash of the identifier; up to half are toxic.
 TRAIN_ROWS = 20_000
-#: Total weight of the prior, share of false discoveries among words with a weight, drift, and the range of a weight.
-PRIOR, FALSE_SHARE, DRIFT, RANGE = 5_000.0, 0.01, 0.4, (-1.0, 5.0)
+#: Total weight of the prior, share of false discoveries among features with a weight, drift, and the range of a weight.
+PRIOR, FALSE_SHARE, DRIFT, RANGE = 500.0, 0.01, 0.05, (-1.0, 5.0)
+#: Least weight of a feature; tokens without one weigh minus the drift.
+LEAST_WEIGHT = 1.0
 #: Segments are reported from this expected number of chance segments down.
 MOST_EXPECTED = 0.01
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Features that a counting task holds before it sends partial counts.
+HELD_FEATURES = 400_000
 _PIECE = re.compile(r"\w+")
 _LEAST_X = -12.0
+_COUNTS = [f"{c}{f}" for f in (0, 1) for c in ("toxic_docs", "clean_docs", "toxic_times", "clean_times")]
 
 
-def key_of(word: str) -> int:
-    """A 63-bit hash of a white-space separated word: lower case, letters, digits and underscores only."""
-    return xxhash.xxh64_intdigest("".join(_PIECE.findall(word.lower()))) >> 1
+def features(word: str) -> list[str]:
+    """The whole word (it ends in ``$``) and its beginnings, longest first: lower case, letters, digits and underscores only."""
+    word = "".join(_PIECE.findall(word.lower()))
+    return [word + "$", *(word[:k] for k in reversed(BEGINNINGS) if k < len(word))] if word else []
 
 
 @dataclass
 class Model:
-    """Weights by word hash (others: minus the drift), extreme-value parameters, calibration; None: nothing was learned."""
+    """Weight by feature (a token has the weight of its longest one, or minus the drift), extreme-value parameters, calibration; None: nothing was learned."""
 
-    weights: dict[int, float] | None
+    weights: dict[str, float] | None
     scale: float = 1.0  # lambda
     search: float = 0.1  # K
     slope: float = 1.0
     offset: float = 0.0
+    least: float = 0.0  # probability of a text without any segment
+
+    def weight(self, word: str) -> float:
+        return next((self.weights[f] for f in features(word) if f in self.weights), -DRIFT)
 
     def significance(self, best: float, tokens: int) -> float:
         """How far the best segment is beyond chance: minus the log of the expected number of such segments."""
@@ -61,26 +77,31 @@ class Model:
     def probability(self, x: float) -> float:
         if self.weights is None:
             return 0.0
+        if x <= _LEAST_X:
+            return self.least
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * x + self.offset))))
 
 
-def told_apart(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Words whose share of toxic counts differs from that of all words: Benjamini-Hochberg over Chernoff's bound of the binomial tail."""
-    both, p = toxic + clean, toxic.sum() / (toxic.sum() + clean.sum())
-    ratio = toxic * np.log(np.maximum(toxic, 1e-300) / (both * p)) + clean * np.log(np.maximum(clean, 1e-300) / (both * (1 - p)))
-    chance = np.sort(log_p := np.log(2) - ratio)
-    passed = np.flatnonzero(chance <= np.log(FALSE_SHARE * np.arange(1, len(chance) + 1) / len(chance)))
-    return log_p <= chance[passed[-1]] if len(passed) else np.zeros(len(chance), bool)
+def chance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Log of Chernoff's bound of the binomial tail: how likely counts are this uneven though their toxic share is ``share``."""
+    both = toxic + clean
+    return np.log(2) - toxic * np.log(np.maximum(toxic, 1e-300) / np.maximum(both * share, 1e-300)) - clean * np.log(np.maximum(clean, 1e-300) / np.maximum(both * (1 - share), 1e-300))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Log-odds by word, of words that are told apart; the prior is proportional to the counts of both classes together."""
-    both = toxic + clean
-    prior = PRIOR * (both + 0.01) / (both.sum() + 0.01 * len(both))
-    n1, n0 = toxic.sum() + PRIOR, clean.sum() + PRIOR
+def told_apart(log_p: np.ndarray, tested: int) -> np.ndarray:
+    """Benjamini-Hochberg; ``log_p`` needs only those of the ``tested`` that are FALSE_SHARE at most."""
+    order = np.sort(log_p)
+    passed = np.flatnonzero(order <= np.log(FALSE_SHARE * np.arange(1, len(order) + 1) / max(1, tested)))
+    return log_p <= order[passed[-1]] if len(passed) else np.zeros(len(order), bool)
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> np.ndarray:
+    """Log-odds of features by their occurrences; the prior is proportional to those of both classes together."""
+    prior = PRIOR * (toxic + clean + 0.01) / (all_toxic + all_clean)
+    n1, n0 = all_toxic + PRIOR, all_clean + PRIOR
     a, b = toxic + prior, clean + prior
     delta = np.log(a / np.maximum(n1 - a, 1e-9)) - np.log(b / np.maximum(n0 - b, 1e-9))
-    return (np.clip(np.where(told_apart(toxic, clean), delta, 0.0), *RANGE) - DRIFT).astype(np.float32)
+    return np.clip(delta, *RANGE) - DRIFT
 
 
 def extreme_value_scale(weights: np.ndarray, clean: np.ndarray) -> float:
@@ -123,6 +144,11 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high, _ in stack]
 
 
+def key_of(word: str) -> int:
+    """A 63-bit hash of a white-space separated word."""
+    return xxhash.xxh64_intdigest("".join(_PIECE.findall(word.lower()))) >> 1
+
+
 def sketch(slots: np.ndarray) -> int:
     """The least hash of three words in a row: near copies mostly share it."""
     if len(slots) < 3:
@@ -143,7 +169,7 @@ class Scorer:
         out = np.fromiter((self.known.get(w, np.nan) for w in words), np.float32, len(words))
         for k in np.flatnonzero(np.isnan(out)).tolist():
             word = words[k]
-            out[k] = weight = self.model.weights.get(key_of(word), -DRIFT)
+            out[k] = weight = self.model.weight(word)
             if len(self.known) < CACHE_WORDS and len(word) <= CACHE_CHARS:
                 self.known[word] = weight
         return out
@@ -170,45 +196,159 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return text.where(F.col("text").isNotNull()).join(F.broadcast(some), "i").select("toxic", "text"), drawn
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in batches:
+        keys = []
+        for text in batch.column(1).to_pylist():
+            words = text.split()
+            for w in words:
+                if w not in known and len(known) < CACHE_WORDS:
+                    known[w] = key_of(w)
+            keys.append(sketch(np.fromiter((known[w] if w in known else key_of(w) for w in words), np.int64, len(words))))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["toxic", "text", "sketch"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts by feature: documents of each class and fold, and occurrences."""
+    number: dict[str, int] = {}
+    known: dict[str, np.ndarray] = {}
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    totals, size = np.zeros((len(_COUNTS), 0), np.int64), 0
+
+    def add() -> None:
+        """Count what is held: a document counts once for each of its features."""
+        nonlocal totals, size
+        totals = np.pad(totals, ((0, 0), (0, len(number) - totals.shape[1])))
+        if held:
+            doc = np.repeat(np.arange(len(held)), [len(f) for _, f, _ in held])
+            feature, n = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            order = np.argsort(key := doc * len(number) + feature, kind="stable")
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            n, at = np.add.reduceat(n, first), np.array([h[0] for h in held])[key[first] // len(number)]
+            np.add.at(totals, (at, key[first] % len(number)), 1)
+            np.add.at(totals, (at + 2, key[first] % len(number)), n)
+        held.clear()
+        size = 0
+
+    def send() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), *(pa.array(c) for c in totals)], ["feature", *_COUNTS])
+
+    for batch in batches:
+        for toxic, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = Counter(text.split())
+            for word in words:
+                if word not in known:
+                    known[word] = np.array([number.setdefault(f, len(number)) for f in features(word)], np.int64)
+            if words:
+                mine = [known[w] for w in words]
+                held.append((4 * fold + (toxic != 1), np.concatenate(mine), np.repeat(list(words.values()), [len(f) for f in mine])))
+                size += len(held[-1][1])
+            if size > 4 * HELD_FEATURES:
+                add()
+            if len(number) > HELD_FEATURES:
+                add()
+                yield send()
+                number.clear(), known.clear()
+                totals = totals[:, :0]
+    add()
+    yield send()
+
+
+def _judged(counts: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:
+    """Totals, and weights by feature, of all rows and of the rows of fold 1 and of fold 0.
+
+    A beginning is tested without the documents of its most toxic word, which has a
+    weight of its own.
+    """
+    folds, names = [(0, 1), (1,), (0,)], ("toxic_docs", "clean_docs", "toxic_times", "clean_times")
+    word, of = F.col("feature").endswith("$"), lambda name, on: sum((F.col(f"{name}{f}") for f in on), F.lit(0))
+    begun = counts.where(word).select("toxic_docs0", "toxic_docs1", F.explode(F.sequence(F.lit(BEGINNINGS.start), F.lit(BEGINNINGS.stop - 1))).alias("k"), "feature")
+    begun = begun.where(F.length("feature") - 1 > F.col("k")).groupBy(F.expr("left(feature, k)").alias("feature"))
+    begun = begun.agg(F.count("*").alias("words"), *(F.max(of("toxic_docs", on)).alias(f"most{k}") for k, on in enumerate(folds)))
+    eligible = counts.join(begun, "feature", "left").where(word | (F.col("words") >= LEAST_WORDS))
+    eligible = cut(eligible.withColumns({f"tested{k}": F.when(word, of("toxic_docs", on)).otherwise(F.greatest(F.lit(0), of("toxic_docs", on) - F.col(f"most{k}"))) for k, on in enumerate(folds)}))
+    enough = lambda k: F.col(f"tested{k}") + of("clean_docs", folds[k]) >= LEAST_DOCUMENTS
+    told = eligible.agg(*(F.sum(F.when(word, of(n, on))).cast("double").alias(f"{n}_{k}") for k, on in enumerate(folds) for n in names), *(F.count_if(enough(k)).alias(f"features_{k}") for k in range(len(folds)))).first().asDict()
+    told = {k: v or 0.0 for k, v in told.items()}
+    share = [min(max(told[f"toxic_docs_{k}"] / max(1.0, told[f"toxic_docs_{k}"] + told[f"clean_docs_{k}"]), 1e-9), 1 - 1e-9) for k in range(len(folds))]
+
+    def unlikely(k: int) -> Column:
+        toxic, clean = F.col(f"tested{k}"), of("clean_docs", folds[k])
+        part = lambda n, p: F.when(n > 0, n * F.log(n / ((toxic + clean) * p))).otherwise(0.0)
+        return enough(k) & (math.log(2) - part(toxic, share[k]) - part(clean, 1 - share[k]) <= math.log(FALSE_SHARE))
+
+    # a share of the features of TRAIN_ROWS rows: those that could pass the test
+    table = eligible.where(unlikely(0) | unlikely(1) | unlikely(2)).orderBy("feature").toArrow()
+    drop_cut(eligible)
+    feature, out = table.column("feature").to_pylist(), []
+    for k, on in enumerate(folds):
+        _, clean_docs, toxic, clean = (sum(table.column(f"{n}{f}").to_numpy().astype(float) for f in on) for n in names)
+        tested = table.column(f"tested{k}").to_numpy().astype(float)
+        log_p = chance(tested, clean_docs, share[k])
+        log_p[(tested + clean_docs < LEAST_DOCUMENTS) | (tested < share[k] * (tested + clean_docs))] = 0.0  # only what speaks for toxicity
+        weight = log_odds(toxic, clean, told[f"toxic_times_{k}"], told[f"clean_times_{k}"])
+        good = np.flatnonzero(told_apart(log_p, int(told[f"features_{k}"])) & (weight >= LEAST_WEIGHT))
+        out.append({feature[j]: float(weight[j]) for j in good.tolist()} if told[f"toxic_docs_{k}"] and told[f"clean_docs_{k}"] else {})
+    return told, out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn weights, extreme-value parameters and calibration from the sampled labelled rows."""
+    """Learn weights, extreme-value parameters and calibration from the sampled labelled rows.
+
+    Documents come in copies, so each group of documents with one sketch counts
+    once. Every group is in one of two folds; calibration scores it with the
+    weights of the other fold.
+    """
     train, drawn = training_rows(docs, labels, id_col, text_col, label_col)
+    grouped = train.mapInArrow(_sketched, "toxic int, text string, sketch long").groupBy("sketch").agg(F.min(F.struct("toxic", "text")).alias("one"), *(F.count_if(F.col("toxic") == k).alias(f"rows{k}") for k in (0, 1)))
+    grouped = cut(grouped.select("one.toxic", F.pmod(F.xxhash64("sketch"), F.lit(2)).cast("int").alias("fold"), "one.text", "rows0", "rows1"))
+    counts = grouped.select("toxic", "fold", "text").mapInArrow(_counted, ", ".join(["feature string", *(f"{c} long" for c in _COUNTS)])).groupBy("feature").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+    counts = cut(counts)
+    totals, weights = _judged(counts)
+    drop_cut(counts)
+    if not totals["toxic_docs_0"] or not totals["clean_docs_0"]:
+        drop_cut(grouped)
+        return Model(None)
+    models = [Model(w) for w in weights]
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each weight occurs in clean rows, under each model."""
+        scorers, seen = [Scorer(m) for m in shared.value], [Counter() for _ in shared.value]
         for batch in batches:
-            keys, sets = [], []
-            for text in batch.column(1).to_pylist():
-                words = text.split()
-                for w in words:
-                    if w not in known and len(known) < CACHE_WORDS:
-                        known[w] = key_of(w)
-                seen = np.fromiter((known[w] if w in known else key_of(w) for w in words), np.int64, len(words))
-                keys.append(sketch(seen))
-                sets.append(np.unique(seen).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["toxic", "sketch", "slots"])
-
-    # words come in bursts and documents in copies, so a word counts once for each group of documents with one sketch
-    grouped = train.mapInArrow(slots, "toxic int, sketch long, slots array<long>").groupBy("sketch").agg(F.min(F.struct("toxic", "slots")).alias("one"))
-    counted = grouped.select(F.col("one.toxic").alias("toxic"), F.explode("one.slots").alias("slot")).groupBy("slot").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("clean")).where(F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS).toArrow()
-    toxic, clean = counted.column("toxic").to_numpy().astype(float), counted.column("clean").to_numpy().astype(float)
-    if not toxic.sum() or not clean.sum():
-        return Model(None)
-    weights = log_odds(toxic, clean)
-    model = Model(dict(zip(counted.column("slot").to_pylist(), weights.tolist(), strict=True)), extreme_value_scale(weights, clean))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if toxic != 1:
+                    words = text.split()
+                    for scorer, held in zip(scorers, seen, strict=True):
+                        held.update(np.round(scorer.weights(words), 3).tolist())
+        rows = [(k, w, n) for k, held in enumerate(seen) for w, n in held.items()]
+        yield pa.RecordBatch.from_pylist([{"model": k, "weight": w, "n": n} for k, w, n in rows], pa.schema([("model", pa.int32()), ("weight", pa.float64()), ("n", pa.int64())]))
+
+    # at most some thousand rows: weights have three decimals
+    usual = grouped.select("toxic", "fold", "text").mapInArrow(weigh, "model int, weight double, n long").groupBy("model", "weight").agg(F.sum("n").alias("n")).toArrow()
+    for k, m in enumerate(models):
+        on = usual.column("model").to_numpy() == k
+        m.scale = extreme_value_scale(usual.column("weight").to_numpy()[on], usual.column("n").to_numpy()[on].astype(float))
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorers = [Scorer(m) for m in shared.value[1:]]
         for batch in batches:
-            best = [scorer.best(t)[:2] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.model.significance(b, n) for b, n in best], pa.float64())], ["toxic", "x"])
+            made = [(scorers[f], *scorers[f].best(t)[:2]) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([s.model.significance(b, n) for s, b, n in made], pa.float64()), batch.column(3), batch.column(4)], ["x", "rows0", "rows1"])
 
-    seen = train.mapInArrow(measure, "toxic int, x double").toArrow()  # about TRAIN_ROWS rows
-    toxic = seen.column("toxic").to_numpy() == 1
+    seen = grouped.select("toxic", "fold", "text", "rows0", "rows1").mapInArrow(measure, "x double, rows0 long, rows1 long").toArrow()  # at most about TRAIN_ROWS rows
+    drop_cut(grouped)
+    x, clean, toxic = seen.column("x").to_numpy(), seen.column("rows0").to_numpy(), seen.column("rows1").to_numpy()
     # rows count for all those of their class, so probabilities hold for the labels as they are
-    model.slope, model.offset = calibrate(seen.column("x").to_numpy(), toxic.astype(float), np.where(toxic, 1 / drawn[1], 1 / drawn[0]))
-    return model
+    final = models[0]
+    toxic, clean, some = toxic / drawn[1], clean / drawn[0], x > _LEAST_X
+    # texts without any segment have a share of their own: labels may err, and theirs must not flatten the slope
+    final.slope, final.offset = calibrate(np.tile(x[some], 2), np.repeat([1.0, 0.0], some.sum()), np.concatenate([toxic[some], clean[some]]))
+    final.least = min(final.probability(_LEAST_X + 1e-9), float(toxic[~some].sum() / max(1.0, (toxic + clean)[~some].sum())))
+    return final
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
