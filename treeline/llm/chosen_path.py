@@ -3,8 +3,9 @@
 Sets of five-word shingles are embedded in WIDTH min-hash tokens. A run splits the
 embedded sets recursively: each bucket samples tokens, as many as keep a pair at
 the threshold together in expectation, and sets that hold a sampled token go on
-together. Buckets at the bottom are compared by brute force on the embedded
-tokens, and runs repeat until a pair at the threshold is met with the target
+together; buckets that are still large after LEVELS are split further. Buckets at
+the bottom are compared by brute force on the embedded tokens, and there are as
+many runs as meet a pair at the threshold at the deepest level with the target
 probability. Bucket mates that may be similar form coarse groups; inside each
 coarse group every pair is then compared exactly on whole shingle sets, block by
 block, so what a task emits is counts and a spanning forest, never all pairs.
@@ -25,8 +26,10 @@ from .components import Union, components
 from .runtime import cut, drop_cut
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Embedded tokens of a set, levels of splitting, and the probability with which a pair at the threshold must share a bucket.
-WIDTH, LEVELS, RECALL = 128, 2, 0.999
+#: Embedded tokens of a set, levels of splitting, further ones of large buckets, and the probability with which a pair at the threshold must share a bucket.
+WIDTH, LEVELS, MORE_LEVELS, RECALL = 128, 2, 1, 0.999
+#: Sets from which a bucket is split further.
+SPLIT_ABOVE = 4096
 #: Estimated similarity from which bucket mates join a coarse group, and the one beyond which a set needs no comparisons of its own.
 COARSE, SAME = 0.6, 0.85
 #: Sets of a block, in buckets and in coarse groups.
@@ -97,23 +100,45 @@ def embed(tokens: np.ndarray) -> np.ndarray:
     return low
 
 
+def _limit(threshold: float) -> np.uint64:
+    return np.uint64(int((2**64 - 1) / (threshold * WIDTH)))
+
+
 def paths(embedded: np.ndarray, runs: int, levels: int = LEVELS, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every chosen path of a (sets, WIDTH) block after ``levels`` splits in each of ``runs`` runs."""
-    tokens = _mix(embedded ^ np.arange(1, WIDTH + 1, dtype=np.uint64) * _M2)
-    limit = np.uint64(int((2**64 - 1) / (threshold * WIDTH)))
     row = np.repeat(np.arange(len(embedded)), runs)
     state = np.tile(_mix(np.arange(1, runs + 1, dtype=np.uint64)), len(embedded))
     for _ in range(levels):
-        rows, states = [], []
-        for lo in range(0, len(row), 8192):
-            drawn = _mix(tokens[row[lo : lo + 8192]] ^ state[lo : lo + 8192, None])
-            at, k = np.nonzero(drawn < limit)
-            rows.append(row[lo + at])
-            states.append(_mix(drawn[at, k]))
-        row, state = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int64), (states, np.uint64)))
+        row, state = _split(embedded, row, state, threshold)
     return row, state
 
 
+def _split(embedded: np.ndarray, row: np.ndarray, state: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """One level: sets of buckets ``state`` go on with each of their tokens that the bucket samples."""
+    tokens = _mix(embedded ^ np.arange(1, WIDTH + 1, dtype=np.uint64) * _M2)
+    rows, states = [], []
+    for lo in range(0, len(row), 8192):
+        drawn = _mix(tokens[row[lo : lo + 8192]] ^ state[lo : lo + 8192, None])
+        at, k = np.nonzero(drawn < _limit(threshold))
+        rows.append(row[lo + at])
+        states.append(_mix(drawn[at, k]))
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int64), (states, np.uint64)))
+
+
+def _split_buckets(threshold: float):
+    """One more level for rows of large buckets, by their marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                marks = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.uint64)
+                row, state = _split(marks, np.arange(part.num_rows), part.column(1).to_numpy().view(np.uint64), threshold)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(state.view(np.int64))], ["cls", "bucket"])
+
+    return run
+
+
 def _signatures(words: int, runs: int, levels: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -133,8 +158,8 @@ def _signatures(words: int, runs: int, levels: int, threshold: float):
                     keys[k] = (xxhash.xxh64_intdigest(raw) - 2**63, xxhash.xxh64_intdigest(raw, 1) - 2**63, len(sets[k]), brief[n].tobytes(), bucket[stop[n] : stop[n + 1], 1].tolist())
                 k1, k2, size, mark, buckets = zip(*keys, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int64()), pa.array(mark, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                    ["doc_id", "k1", "k2", "shingles", "mark", "buckets"],
+                    [part.column(0), part.column(2), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int64()), pa.array(mark, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+                    ["doc_id", "sha", "k1", "k2", "shingles", "mark", "buckets"],
                 )
 
     return run
@@ -162,10 +187,10 @@ def coarse_edges(marks: np.ndarray, coarse: float = COARSE, same: float = SAME)
 def _brute_force(coarse: float, same: float):
     def run(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        bucket, rep, block = (table.column(c).to_numpy() for c in ("bucket", "rep", "block"))
+        bucket, cls, block = (table.column(c).to_numpy() for c in ("bucket", "cls", "block"))
         marks = np.frombuffer(b"".join(table.column("mark").to_pylist()), np.uint8).reshape(-1, WIDTH)
-        order = np.lexsort((rep, block, bucket))
-        bucket, rep, block, marks = bucket[order], rep[order], block[order], marks[order]
+        order = np.lexsort((cls, block, bucket))
+        bucket, cls, block, marks = bucket[order], cls[order], block[order], marks[order]
         a, b = [], []
         starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
         for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False):
@@ -180,10 +205,10 @@ def _brute_force(coarse: float, same: float):
                         pairs += [(k, int(j)) for j in second[estimate >= coarse]]
                         own = (marks[s:e][first] == marks[s + k]).mean(axis=1)
                         waiting[own >= same] = False
-            a += [rep[s + x] for x, _ in pairs]
-            b += [rep[s + y] for _, y in pairs]
+            a += [cls[s + x] for x, _ in pairs]
+            b += [cls[s + y] for _, y in pairs]
         # what a task found is sent as a forest: one edge for each set at most, however many pairs met
-        ids = np.unique(rep)
+        ids = np.unique(cls)
         sets = Union(len(ids))
         if a:
             sets.join_all(np.searchsorted(ids, a), np.searchsorted(ids, b))
@@ -218,11 +243,11 @@ def shared_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarr
 def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        group, rep, size, block = (table.column(c).to_numpy() for c in ("coarse", "rep", "size", "block"))
+        group, cls, size, block = (table.column(c).to_numpy() for c in ("coarse", "cls", "size", "block"))
         raw = table.column("tokens").to_pylist()
-        order = np.lexsort((rep, group))
-        links = np.zeros(len(rep), np.int64)
-        root = rep.copy()
+        order = np.lexsort((cls, group))
+        links = np.zeros(len(cls), np.int64)
+        root = cls.copy()
         starts = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(order)]])
         for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False):
             own = order[s:e]
@@ -239,12 +264,12 @@ def _verify(threshold: float):
                 x, y = x[x < y], y[x < y]
             np.add.at(links, own[x], size[own[y]])
             np.add.at(links, own[y], size[own[x]])
-            sets = Union(len(own))  # own is in the order of identifiers
+            sets = Union(len(own))  # own is in the order of classes
             if len(x):
                 sets.join_all(x, y)
-            root[own] = rep[own][[sets.find(k) for k in range(len(own))]]
+            root[own] = cls[own][[sets.find(k) for k in range(len(own))]]
         on = links > 0
-        return pa.table({"rep": pa.array(rep[on]), "links": pa.array(links[on]), "root": pa.array(root[on])})
+        return pa.table({"cls": pa.array(cls[on]), "links": pa.array(links[on]), "root": pa.array(root[on])})
 
     return run
 
@@ -256,7 +281,7 @@ def _sets(words: int):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 tokens = [shingler.set_of(t).tobytes() for t in part.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(tokens, pa.binary())], ["rep", "size", "coarse", "blocks", "tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(tokens, pa.binary())], ["cls", "size", "coarse", "blocks", "tokens"])
 
     return run
 
@@ -265,7 +290,7 @@ def _dealt(rows: DataFrame, key: str, count: str, block: int, tasks: int) -> Dat
     """Rows with (task, lo, hi, block): large groups as pairs of blocks, small ones dealt over ``tasks`` by hash."""
     rows = rows.withColumn("blocks", F.ceil(F.col(count) / block).cast("int"))
     rows = rows.withColumn("task", F.when(F.col("blocks") > 1, F.xxhash64(key)).otherwise(F.pmod(F.xxhash64(key), F.lit(tasks))))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
 
@@ -279,47 +304,68 @@ def jaccard_join(
     recall: float = RECALL,
     levels: int = LEVELS,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links, component_id, kept.
+    """One row per document: doc_id, class_id, class_size, n_links, component_id, kept, text_sha256.
 
     Documents with equal shingle sets are one class (class_id: its smallest
-    identifier). n_links counts the other documents, copies included, whose exact
-    Jaccard similarity reaches ``threshold``; component_id is the smallest
-    identifier reachable by links, and kept marks that document. A text of fewer
-    words than a shingle is one shingle of all its words; null and empty texts have
-    no shingle and link with nothing, as does a null identifier (never kept). Rows
-    that repeat an identifier share class and component. Other columns are ignored;
-    an empty table gives no rows.
+    identifier; it is null where no document of a class has one). n_links counts the
+    other documents, copies included, whose exact Jaccard similarity reaches
+    ``threshold``; component_id is the smallest identifier reachable by links. Of
+    each component one document is kept: that with the smallest identifier (null:
+    last) and of those the smallest hash of its text; rows that repeat both are kept
+    or dropped together. A text of fewer words than a shingle is one shingle of all
+    its words; null and empty texts have no shingle, link with nothing and are kept.
+    Rows that repeat an identifier with other texts are documents of their own. Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    signed = cut(rows.mapInArrow(_signatures(words, runs_for(recall, levels), levels, threshold), "doc_id long, k1 long, k2 long, shingles long, mark binary, buckets array<long>"))
-    usable = signed.where(F.col("shingles") > 0).where(F.col("doc_id").isNotNull())
-    classes = cut(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min("mark").alias("mark"), F.min("buckets").alias("buckets")))
-    chosen = cut(classes.select("rep", F.explode("buckets").alias("bucket")))
-    shared = cut(chosen.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1"))
+    depth = levels + MORE_LEVELS
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).alias("sha"))
+    signed = cut(rows.mapInArrow(_signatures(words, runs_for(recall, depth), levels, threshold), "doc_id long, sha binary, k1 long, k2 long, shingles long, mark binary, buckets array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("first")
+    classes = signed.where("shingles > 0").groupBy("k1", "k2").agg(first, F.count("*").alias("size"), F.min("mark").alias("mark"), F.min("buckets").alias("buckets"))
+    # classes are named once, as they are written: different classes may have one smallest identifier
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    chosen = cut(classes.select("cls", F.explode("buckets").alias("bucket")))
+    sizes = cut(chosen.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1"))
+    for _ in range(levels, depth):
+        large = cut(sizes.where(F.col("sets") > SPLIT_ABOVE).select("bucket"))
+        if large.isEmpty():
+            drop_cut(large)
+            break
+        more = chosen.join(large, "bucket").join(classes.select("cls", "mark"), "cls").select("cls", "bucket", "mark").mapInArrow(_split_buckets(threshold), "cls long, bucket long").distinct()
+        split = cut(chosen.join(large, "bucket", "left_anti").select("cls", "bucket").unionByName(more))
+        for old in (chosen, sizes, large):
+            drop_cut(old)
+        chosen = split
+        sizes = cut(chosen.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1"))
     tasks = TASKS * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    mates = cut(chosen.join(shared, "bucket"))
-    marked = mates.join(classes.select("rep", "mark"), "rep")
+    mates = cut(chosen.join(sizes, "bucket"))
+    marked = mates.join(classes.select("cls", "mark"), "cls")
     compared = _dealt(marked, "bucket", "sets", BUCKET_BLOCK, tasks).groupBy("task", "lo", "hi").applyInArrow(_brute_force(COARSE, SAME), "a long, b long")
-    coarse = cut(components(compared).select(F.col("node").alias("rep"), F.col("component").alias("coarse")))
+    coarse = cut(components(compared).select(F.col("node").alias("cls"), F.col("component").alias("coarse")))
     counted = cut(coarse.groupBy("coarse").agg(F.count("*").alias("members")))
-    members = cut(coarse.join(counted, "coarse").join(classes.select("rep", "size"), "rep").select("rep", "size", "coarse", "members"))
-    texts = rows.where(F.col("text").isNotNull()).join(members, rows["doc_id"] == members["rep"]).select("rep", "size", "coarse", F.col("members").alias("blocks"), "text")
-    sets = texts.mapInArrow(_sets(words), "rep long, size long, coarse long, blocks long, tokens binary").withColumnRenamed("blocks", "members")
-    verified = cut(_dealt(sets, "coarse", "members", EXACT_BLOCK, tasks).groupBy("task", "lo", "hi").applyInArrow(_verify(threshold), "rep long, links long, root long"))
-    links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    of_class = classes.select("k1", "k2", "rep", "size").join(links, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = cut(of_class.select("k1", "k2", "rep", "size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
-    for old in (chosen, shared, mates, coarse, counted, members, verified):
+    members = cut(coarse.join(counted, "coarse").join(classes.select("cls", "size", "first.doc_id", "first.sha"), "cls").select("cls", "size", "coarse", F.col("members").alias("blocks"), "doc_id", "sha"))
+    # one text of each class; rows that repeat an identifier and its text are the same one
+    mine = rows.where("text is not null").alias("r").join(members.alias("m"), F.col("r.sha").eqNullSafe(F.col("m.sha")) & F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")))
+    texts = mine.groupBy("cls", "size", "coarse", "blocks").agg(F.min("text").alias("text"))
+    sets = texts.mapInArrow(_sets(words), "cls long, size long, coarse long, blocks long, tokens binary").withColumnRenamed("blocks", "members")
+    verified = cut(_dealt(sets, "coarse", "members", EXACT_BLOCK, tasks).groupBy("task", "lo", "hi").applyInArrow(_verify(threshold), "cls long, links long, root long"))
+    links = verified.groupBy("cls").agg(F.sum("links").alias("links"))
+    found = components(verified.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
+    keepers = found.join(classes.select("cls", "first"), "cls").groupBy("component").agg(F.min("first").alias("keeper"))
+    linked = found.join(keepers, "component").select("cls", "keeper")
+    of_class = classes.select("k1", "k2", "cls", "size", "first").join(links, "cls", "left").join(linked, "cls", "left")
+    of_class = cut(of_class.select("k1", "k2", "size", F.col("first.doc_id").alias("rep"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("keeper", "first").alias("keeper")))
+    for old in (chosen, sizes, mates, coarse, counted, members, verified):
         drop_cut(old)
-    plain = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2")
-    component = F.coalesce("component", "doc_id")
-    return plain.join(of_class, ["k1", "k2"], "left").select(
+    some = F.col("keeper").isNotNull()
+    return signed.select("doc_id", "sha", "k1", "k2").join(of_class, ["k1", "k2"], "left").select(
         "doc_id",
-        F.coalesce("rep", "doc_id").alias("class_id"),
+        F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        F.when(some, F.col("keeper.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("sha") == F.col("keeper.sha"))).otherwise(True).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )

@@ -12,11 +12,13 @@ from .runtime import cut, drop_cut
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node long, component long) of every node that has an edge; the component is its smallest node.
 
-    Each round points every node at the smallest of itself and its neighbours, jumps
-    once more along these pointers and contracts the edges, so the nodes left at
-    least halve. Every table is cut into the shared folder; both sides of each join
-    are shuffled from there, so adaptive execution can split the node that a third
-    of all edges touch.
+    Each round points every node at the smallest of itself and its neighbours, follows
+    these pointers to their ends by doubling, and contracts the edges. A node that
+    neither moves nor is pointed at has only smaller neighbours in the next round, so
+    the nodes left at least halve in two rounds, and a chain of n nodes ends in one
+    round of log n doublings. Every table is cut into the shared folder; both sides of
+    each join are shuffled from there, so adaptive execution can split the node that a
+    third of all edges touch.
     """
     ends = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     left = cut(edges.select(*ends(F.col(a).cast("long"), F.col(b).cast("long"))).where("a < b").distinct())
@@ -25,16 +27,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
         point = cut(both.groupBy("node").agg(F.min("other").alias("to")).select("node", F.least("node", "to").alias("to")))
-        jumped = cut(point.join(point.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "label"))
+        while True:
+            jumped = cut(point.join(point.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", F.col("label").alias("to"), (F.col("label") < F.col("to")).alias("moved")))
+            moved = not jumped.where("moved").isEmpty()
+            drop_cut(point)
+            point = jumped
+            if not moved:
+                break
         if found is None:
-            now = jumped.select("node", F.col("label").alias("component"))
+            now = point.select("node", F.col("to").alias("component"))
         else:
-            step = jumped.select(F.col("node").alias("component"), "label")
-            now = found.join(step, "component", "left").select("node", F.coalesce("label", "component").alias("component"))
+            step = point.select(F.col("node").alias("component"), "to")
+            now = found.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         now = cut(now)
-        of = lambda end, to: jumped.select(F.col("node").alias(end), F.col("label").alias(to))
+        of = lambda end, to: point.select(F.col("node").alias(end), F.col("to").alias(to))  # noqa: B023, E731
         fewer = cut(left.join(of("a", "x"), "a").join(of("b", "y"), "b").select(*ends(F.col("x"), F.col("y"))).where("a < b").distinct())
-        for old in (left, point, jumped, *([] if found is None else [found])):
+        for old in (left, point, *([] if found is None else [found])):
             drop_cut(old)
         left, found = fewer, now
     drop_cut(left)
