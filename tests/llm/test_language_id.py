@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from treeline.llm import language_id as li
@@ -31,6 +33,7 @@ def test_held_out_accuracy_and_odd_rows(spark, odd_docs, no_docs):
     assert li.identify(no_docs, net).count() == 0
     assert li.keep_identified(odd_docs, net, 0.0).count() == odd_docs.count() - 4
     nothing = li.fit(no_docs)
+    assert li.keep_identified(odd_docs, nothing).count() == odd_docs.count() - 4  # no labels are no reason to drop clean texts
     assert {r.lang_pred for r in li.identify(odd_docs, nothing).collect()} == {"und"}
 
 
@@ -42,3 +45,12 @@ def test_long_texts_are_read_whole():
     assert np.allclose(one[0], two[0], atol=1e-5) and np.allclose(one[1], 0.5)
     changed = li.document_probabilities(net, [text[:-1] + b"\xff"])
     assert not np.allclose(changed[0], two[0], atol=1e-9)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"text {k} " + "abcdefghij"[k % 10] * (1 + k % 7), f"l{k % 90}") for k in range(1800)] + [(5_000 + k, "wort", "rare") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = li.training_sample(docs, "doc_id", "text", "lang")
+    named = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert {lang for _, lang in sample} == named and len(named) > 64
+    assert li.train(sample, steps=2).labels == sorted(named)

@@ -15,12 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT, HIDDEN = 128, 8
-#: The training sample: documents for each language, segments from each, and languages at most.
-SAMPLE_DOCS, SAMPLE_SEGMENTS, MAX_LANGUAGES = 300, 4, 64
+#: The training sample: documents for each language, segments from each, and documents in total (one of each language at least).
+SAMPLE_DOCS, SAMPLE_SEGMENTS, SAMPLE_TOTAL = 300, 4, 19_200
 STEPS, BATCH, RATE, SEED = 180, 192, 0.03, 11
 #: Segments that advance together when texts are scored.
 TOGETHER = 4096
@@ -178,12 +178,13 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
     net = new_network(labels, hidden, seed)
     if len(labels) < 2:
         return net
+    steps = max(steps, steps * len(labels) // 48)
     by = {label: [s for s, own in samples if own == label and s] for label in labels}
     draw = np.random.default_rng(seed)
     first, second = [np.zeros_like(w) for w in net.weights()], [np.zeros_like(w) for w in net.weights()]
     for k in range(1, steps + 1):
         chosen, target = [], []
-        for j in range(BATCH):  # every language as often
+        for j in range(k * BATCH, (k + 1) * BATCH):  # every language as often
             pool = by[labels[j % len(labels)]]
             chosen.append(pool[int(draw.integers(len(pool)))][:SEGMENT])
             target.append(j % len(labels))
@@ -191,7 +192,7 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
         rows = np.zeros((int(lengths.max()), len(chosen)), np.uint8)
         for j, c in enumerate(chosen):
             rows[: len(c), j] = np.frombuffer(c, np.uint8)
-        _, grads = _backward(net, rows[:64], np.minimum(lengths, 64), np.array(target))
+        _, grads = _backward(net, rows, lengths, np.array(target))
         norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
         rate = RATE * min(1.0, 10 * (1 - k / (steps + 1)), k / 10)
         for w, g, a, b in zip(net.weights(), grads, first, second, strict=True):
@@ -203,21 +204,24 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
-    """Segments of at most SAMPLE_DOCS documents (about, by hash) of each of the MAX_LANGUAGES most frequent languages."""
+    """Segments of at most SAMPLE_DOCS documents of every language, fewer where there are many languages."""
     named = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~held_out(docs[id_col]))
-    counts = named.groupBy(named[lang_col].cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], min(1.0, SAMPLE_DOCS / row["count"]))])
-    luck = F.pmod(F.xxhash64(named[id_col].cast("string"), F.lit("train")), F.lit(1_000_003)) / 1_000_003
     raw = F.encode(named[text_col].cast("string"), "UTF-8")
     length = F.octet_length(raw)
     at = [F.greatest(F.lit(1), ((length - SEGMENT) * k / max(1, SAMPLE_SEGMENTS - 1)).cast("int")) for k in range(SAMPLE_SEGMENTS)]
-    picked = named.where(luck < F.element_at(share, named[lang_col].cast("string"))).select(
-        named[id_col].cast("long").alias("i"), named[lang_col].cast("string").alias("lang"), *[F.substring(raw, a, F.lit(SEGMENT)).alias(f"s{k}") for k, a in enumerate(at)]
-    )
-    rows = sorted(picked.limit(2 * SAMPLE_DOCS * MAX_LANGUAGES).collect(), key=lambda r: (r["i"], r["lang"], r["s0"]))
-    return [(bytes(r[f"s{k}"]), r["lang"]) for r in rows for k in range(SAMPLE_SEGMENTS) if r[f"s{k}"]]
+    key, lang = F.xxhash64(named[id_col].cast("string"), F.lit("train")), named[lang_col].cast("string").alias("lang")
+    rows = named.where(length > 0).select(named[id_col].cast("long").alias("i"), lang, (F.pmod(key, F.lit(1_000_003)) / 1_000_003).alias("luck"), *[F.substring(raw, a, F.lit(SEGMENT)).alias(f"s{k}") for k, a in enumerate(at)])
+    counts = rows.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
+        return []
+    wanted = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // languages))
+    # a few times what is wanted of each language, so no language is sorted whole and none is missing
+    some = rows.join(counts, "lang").where(F.col("luck") < (2 * wanted + 16) / F.col("count"))
+    first = Window.partitionBy("lang").orderBy("luck", "i", "s0")
+    picked = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= wanted).drop("n", "luck", "count").collect()  # SAMPLE_TOTAL rows, or one of each language
+    picked = sorted(picked, key=lambda r: (r["i"], r["lang"], r["s0"]))
+    return [(bytes(r[f"s{k}"]), r["lang"]) for r in picked for k in range(SAMPLE_SEGMENTS) if r[f"s{k}"]]
 
 
 def held_out(identifier):
@@ -261,15 +265,22 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
     return langs, scores
 
 
-def keep_identified(docs: DataFrame, net: Network, least: float = 0.4, text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that the network rejects: undetermined ones, and those scored below ``least``."""
+def keep_identified(docs: DataFrame, net: Network, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """``docs`` without those that have no language: null, empty and letterless texts, and what the network scores below ``least``.
+
+    Where no labelled rows taught the network a language, it rejects nothing else.
+    """
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                langs, scores = predict(net, part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays(part.columns, names).filter(pa.array([a != UNDETERMINED and s >= least for a, s in zip(langs, scores, strict=True)]))
+                texts = part.column(at).to_pylist()
+                if net.labels:
+                    keep = [a != UNDETERMINED and s >= least for a, s in zip(*predict(net, texts), strict=True)]
+                else:
+                    keep = [bool(t) and _LETTER.search(t) is not None for t in texts]
+                yield pa.RecordBatch.from_arrays(part.columns, names).filter(pa.array(keep, pa.bool_()))
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, docs.schema)
