@@ -50,8 +50,8 @@ def test_odd_rows(odd_docs, no_docs):
 
 def test_words_are_those_of_the_tokenizer():
     tokenizer = Tokenizer.from_file(PATH)
-    texts = ["it's I'm 'tis don't", "hello\x1cworld a\x85b c\xa0d", "İstanbul ſ ΟΔΟΣ ﬁ é", "x1y22 __a--b!? ½²", "日本語 🤖", "<|endoftext|> a", "naïve ŒUVRE"]
-    tokenizer.encode_special_tokens = True
+    texts = ["it's I'm 'tis don't", "hello\x1cworld a\x85b c\xa0d", "İstanbul ſ ΟΔΟΣ ﬁ é", "x1y22 __a--b!? ½²", "日本語 🤖", "<|endoftext|> a", "naïve ŒUVRE", "<|endoftext|> hi", "x<|startoftext|>y", "<|ENDOFTEXT|>", "a <|endoftext|>b<|endoftext|>", "<| endoftext |>", "<|end\u00adoftext|>"]
+    texts += ["plain", "", "<|endoftext|>"]
     for text, ids in zip(texts, packing.WordIds(PATH).encode(texts), strict=True):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
@@ -66,3 +66,11 @@ def test_least_squares_and_plan():
     lengths = np.random.default_rng(0).integers(1, 2048, 500)
     plan = packing.plan(lengths)
     assert sum(n for s in plan for _, _, n in s) == lengths.sum()
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None, "one and the same text")] * 600, "doc_id long, text string")
+    got = packing.pack(docs, PATH, shard_docs=100).collect()
+    assert len(got) >= 600 and len({p.sequence_id >> 32 for p in got}) > 2
+    tokens = len(Tokenizer.from_file(PATH).encode("one and the same text", add_special_tokens=False).ids) + 1
+    assert sum(p.length for p in got) == 600 * tokens

@@ -6,8 +6,9 @@ fill a window are enumerated once, non-negative least squares gives how often
 each should repeat, the rounded counts are laid out, and residual pieces are
 packed greedily into gaps and further windows, cut where a window ends. The last
 tokens of a shard go to sequences whose lengths are powers of two, which need no
-padding. Shards are dealt by a hash of the identifier and hold a bounded number
-of documents, so no task grows with the input.
+padding. Shards are dealt by a hash of the row, its place included, and hold a
+bounded number of documents, so no task grows with the input, even where rows
+repeat each other.
 """
 
 from __future__ import annotations
@@ -53,14 +54,17 @@ def _byte_letters() -> dict[int, str]:
 class WordIds:
     """Ids of texts, exactly as the tokenizer gives them, by a bounded cache of white-space separated words.
 
-    The tokenizer drops white space before it merges, so words are independent.
+    The tokenizer drops white space before it merges, so words are independent. Only
+    its added tokens may be found across words and inside them, so a text that holds
+    the spelling of one goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.two = [i.to_bytes(2, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -85,6 +89,13 @@ class WordIds:
         return b"".join([self.parts.get(p) or self._part(p) for p in _SPLIT.findall(lower)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = {k for k, t in enumerate(texts) if self.added and self.added.search(t)}
+        if whole:
+            rest = iter(self._encode([t for k, t in enumerate(texts) if k not in whole]))
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if k in whole else next(rest) for k, t in enumerate(texts)]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_SPACE.findall(t) if any(c in t for c in _ODD_SPACE) else t.split() for t in texts]
         extra = {w: self._word(w) for w in set(chain.from_iterable(split)).difference(self.known)}
         room = CACHE_WORDS - len(self.known)
@@ -298,7 +309,7 @@ def pack(
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         text.alias("text"),
-        F.pmod(F.xxhash64(docs[id_col].cast("long"), F.length(text), F.substring(text, 1, 64)), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64(docs[id_col].cast("long"), F.length(text), F.substring(text, 1, 64), F.monotonically_increasing_id()), F.lit(shards)).alias("shard"),
     )
     pieces = rows.mapInArrow(_tokenise(tokenizer_path, window, end_id), "shard long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
     return pieces.groupBy("shard").applyInArrow(_lay_out(window, unit, depth), PIECES)
