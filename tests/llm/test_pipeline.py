@@ -40,4 +40,16 @@ def test_odd_documents(spark, odd_docs, tmp_path):
     first = corpus_pipeline.without_copies(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").collect()
     assert sorted(str(r.doc_id) for r in first) == sorted(map(str, [1, 3, 4, 6, 7, None, 8, 9, 10, 11, 13]))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {9, 10, 11, 13, None} <= {r.doc_id for r in packed} and not {2, 4, 5, 12} & {r.doc_id for r in packed}
+    assert {1, 9, 10, 11, 13, None} <= {r.doc_id for r in packed} and not {2, 4, 5, 12} & {r.doc_id for r in packed}
+
+
+def test_rows_that_share_an_identifier_do_not_fall_together(spark, docs):
+    a, e = " ".join(f"w{k}" for k in range(40)), "words of its own that nobody else has"
+    near = a.replace("w39", "other")
+    rows = [(3, a), (7, a), (7, e), (7, a), (None, a), (None, near), (3, near), (8, ""), (9, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    copies = corpus_pipeline.without_copies(spark, table, "")
+    assert sorted((r.doc_id, r.text or "") for r in copies.collect()) == sorted([(3, a), (3, near), (7, e), (8, "")])
+    left = corpus_pipeline.without_near_copies(spark, table, "").collect()
+    assert len(left) == 4 and {(r.doc_id, r.text) for r in left} >= {(7, e), (8, ""), (9, None)}
+    assert [r.text for r in left if r.doc_id == 3] in ([a], [near])
