@@ -27,43 +27,74 @@ def test_audit_of_odd_pages(spark):
     assert warc_fixity.audit(records.limit(0), records.limit(0)).count() == 0
 
 
-def test_scores_order_documents_and_count_everything(spark, odd_docs, no_docs):
+def brute(docs, target, background=None):
+    """(tokens, loss under target, loss under background) of each text, from counts in Python."""
+    background = docs if background is None else background
+    split = [[(t or "").lower().split() for t in side] for side in (target, background)]
+    words = [Counter(w for t in side for w in t) for side in split]
+    pairs = [Counter(p for t in side for p in zip(["", *t], t)) for side in split]
+    texts = [sum(map(bool, side)) for side in split]
+    distinct = len(words[0] | words[1])
+    out = []
+    for text in docs:
+        t, means = (text or "").lower().split(), []
+        for k in (0, 1):
+            share = {w: (words[k][w] + 1) / (words[k].total() + distinct + 1) for w in t}
+            loss = [-math.log((pairs[k][b, w] + lm_scoring.MASS * share[w]) / ((words[k][b] if b else texts[k]) + lm_scoring.MASS)) for b, w in zip(["", *t], t)]
+            means.append(sum(loss) / len(t) if t else None)
+        out.append((len(t), *means))
+    return out
+
+
+def agrees(rows, want):
+    got = {r.doc_id: r for r in rows}
+    assert len(got) == len(rows) == len(want)
+    for k, (n, a, b) in enumerate(want):
+        r = got[k]
+        assert r.n_tokens == n and (r.ce_target is None) == (a is None)
+        if n:
+            assert abs(r.ce_target - a) < 2e-5 and abs(r.ce_background - b) < 2e-5 and abs(r.score - (a - b)) < 4e-5
+        else:
+            assert r.score == 0 and r.ce_background is None
+
+
+def test_scores_order_documents(spark, odd_docs, no_docs):
     target = spark.createDataFrame([("the cat sat on the mat",)] * 5, "text string")
     docs = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "stock prices fell today again"), (3, None), (4, "")] + [(k, "stock prices fell today") for k in range(5, 30)], "doc_id long, text string")
-    models = lm_scoring.fit(target, docs)
-    got = {r.doc_id: r for r in lm_scoring.score(docs, models).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score(docs, target).collect()}
     assert got[1].score < 0 < got[2].score
     assert got[3].n_tokens == got[4].n_tokens == 0 and got[3].ce_target is None
-    a, b = lm_scoring.losses(models, "the cat")
-    assert len(a) == len(b) == 2 and (a < b).all()
-    assert models.words[1][models.vocabulary["stock"]] == 26
-    assert lm_scoring.score(odd_docs, models).count() == odd_docs.count()
-    assert lm_scoring.score(no_docs, lm_scoring.fit(no_docs, no_docs)).count() == 0
+    assert lm_scoring.score(odd_docs, odd_docs).count() == odd_docs.count()
+    assert {r.score for r in lm_scoring.score(odd_docs, odd_docs).collect()} == {0.0}  # two models of one corpus
+    assert lm_scoring.score(odd_docs, no_docs, no_docs).count() == odd_docs.count()
+    assert lm_scoring.score(no_docs, no_docs).count() == 0
+
+
+def test_real_documents_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs, target = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id"), spark.read.parquet(f"{d}/benchmark.parquet")
+    texts = [r.text for r in docs.collect()]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    agrees(lm_scoring.score(table, target).collect(), brute(texts, [r.text for r in target.collect()]))
 
 
 def test_every_word_and_pair_counts_exactly(spark, monkeypatch):
-    """More distinct words and pairs than any fixed table had, against counts in Python; few rows are near, so most are joined."""
-    monkeypatch.setattr(lm_scoring, "NEAR_ROWS", 50)
-    texts = [" ".join(f"w{(k * 7919 + j * (1 + k % 3)) % 90_000}" for j in range(300)) + " the end" for k in range(700)] + ["The end", "the the the"]
-    wanted = texts[:20]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
-    models = lm_scoring.fit(spark.createDataFrame([(t,) for t in wanted], "text string"), docs)
-    new = [(None, None), (-1, "the end"), (-1, "never seen the w5 w6 w7")]
-    got = lm_scoring.score(docs.union(spark.createDataFrame(new, docs.schema)), models).collect()
-    split = [[t.lower().split() for t in side] for side in (wanted, texts)]
-    words = [Counter(w for t in side for w in t) for side in split]
-    pairs = [Counter(p for t in side for p in zip(["", *t], t)) for side in split]
-    distinct, totals = len(words[0] | words[1]), [w.total() for w in words]
-    assert distinct > 50_000 and models.distinct == distinct
-
-    def mean(text, k):
-        t = text.lower().split()
-        before = lambda w: words[k][w] if w else len(split[k])
-        share = {w: (words[k][w] + 1) / (totals[k] + distinct + 1) for w in t}
-        return sum(-math.log((pairs[k][b, w] + lm_scoring.MASS * share[w]) / (before(b) + lm_scoring.MASS)) for b, w in zip(["", *t], t)) / len(t)
-
-    expected = sorted((i, len(t.split()), mean(t, 0), mean(t, 1)) for i, t in [*enumerate(texts), *new[1:]])
-    found = sorted((r.doc_id, r.n_tokens, r.ce_target, r.ce_background) for r in got if r.n_tokens)
-    assert len(found) == len(expected) == len(got) - 1 and np.allclose(np.array(found), np.array(expected), rtol=0, atol=1e-9)
-    for k, side in enumerate(lm_scoring.losses(models, new[2][1])):
-        assert abs(side.mean() - mean(new[2][1], k)) < 1e-9
+    """Many distinct words and pairs, small chunks and parts, few and many near pairs, against counts in Python."""
+    texts = [" ".join(f"w{(k * 7919 + j * (1 + k % 3)) % 90_000}" for j in range(300)) + " the end" for k in range(400)] + ["The end", "the the the", None, "", "the"]
+    wanted, other = texts[:20], [*texts[10:300], "words of another corpus", None, "the end the end"]
+    monkeypatch.setattr(lm_scoring, "HELD_TOKENS", 5_000)
+    monkeypatch.setattr(lm_scoring, "HELD_WORDS", 3_000)
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 10_000)
+    table = lambda side: spark.createDataFrame(list(enumerate(side)), "doc_id long, text string").repartition(5)
+    docs = table(texts)
+    for share in (64, 1 << 18):
+        monkeypatch.setattr(lm_scoring, "NEAR_SHARE", share)
+        monkeypatch.setattr(lm_scoring, "HOT_SHARE", share)
+        agrees(lm_scoring.score(docs, table(wanted)).collect(), brute(texts, wanted))
+    agrees(lm_scoring.score(docs, table(wanted), table(other)).collect(), brute(texts, wanted, other))
+
+
+def test_planes_round_trip():
+    for arrays in ([np.arange(5, dtype=np.int64)], [np.zeros(0, np.uint32), np.array([1.5, -2], np.float32), np.array([7], np.uint8)]):
+        back = lm_scoring._arrays(lm_scoring._planes(*arrays))
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, back, strict=True))

@@ -4,73 +4,49 @@ A target model (of a corpus one wants more of) and a background model (of the wh
 corpus) have one vocabulary, one order and one smoothing; the mean difference of
 their per-token losses scores each document. Lower is more like the target.
 
-Every word and every pair of words has an exact count in a distributed table that
-grows with the corpora. A loss is a sum of terms that depend on one row of it each,
-
-    log(c(b) + MASS) - log(MASS * s(w)) - log(1 + p(b, w) / (MASS * s(w))),
-
-with c the counts of words, s the smoothed share of a word and p the counts of pairs;
-so documents are scored by one join of what they contain with that table.
+Every word and every pair of words of both corpora is counted exactly; nothing is
+hashed together, and what is gathered grows with the corpora. The loss of a text is
+
+    log(texts + MASS) + sum over its words w after b of
+        log(c(w) + MASS) - log(MASS * s(w)) - log(1 + p(b, w) / (MASS * s(w)))
+    - log(c(last word) + MASS),
+
+with c the counts of words, s the smoothed share of a word and p the counts of pairs.
+Each pair's term needs the counts of the pair and of its second word only, so pairs
+of all corpora are dealt by their second word (frequent words by the pair) over
+parts of bounded size; a part counts its pairs and sends every chunk of documents
+the sums of their terms. Pairs that make up a fixed share of the tokens are counted
+first and looked up in the task, so none of them meets in one part.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import cut
 
 #: Smoothing mass of the unigram below a pair.
 MASS = 50.0
-#: Words and tokens that a counting task holds before it sends partial counts, and characters of texts taken at once.
-HELD_WORDS, HELD_TOKENS, CHARS = 200_000, 2_000_000, 4_000_000
+#: Words and tokens that a counting task holds before it sends what it has.
+HELD_WORDS, HELD_TOKENS = 200_000, 2_000_000
 #: Words that a task remembers the keys of, up to so many characters each.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
-#: Frequent rows that tasks look up for themselves instead of joining, and frequent words that are dealt over so many places.
-NEAR_ROWS, HOT_WORDS, SALTS = 1 << 19, 4_096, 64
-#: What stands before a word: nothing (its own row), the start of a text, or that it is the last one of a text.
-ALONE, START, END = -1, -2, -3
-
-
-@dataclass
-class Words:
-    """Counts of one corpus by key of a word."""
-
-    table: DataFrame
-    side: str
-
-    def __getitem__(self, key: int) -> int:
-        row = self.table.where((F.col("b") == ALONE) & (F.col("w") == key)).first()
-        return row[self.side] if row else 0
-
-
-@dataclass
-class Vocabulary:
-    """Keys of words; different words of the corpora have different ones."""
-
-    seed: int
-
-    def __getitem__(self, word: str) -> int:
-        return xxhash.xxh64_intdigest(word, self.seed) >> 1
-
-
-@dataclass
-class Models:
-    """Rows (b, w, t, g, wt, wg): counts of word w after b in target and background, and of w alone; counts of tokens and texts of both."""
-
-    table: DataFrame
-    vocabulary: Vocabulary
-    words: list[Words]
-    tokens: list[int]
-    texts: list[int]
-    distinct: int
+#: One token in so many makes a pair near (looked up in the task), a word frequent: there can't be more of either.
+NEAR_SHARE, HOT_SHARE = 1 << 18, 1 << 18
+#: Tokens of a part at most, as far as shares go, and at least where there are fewer parts than shuffle partitions.
+PART_TOKENS, LEAST_PART_TOKENS = 6_000_000, 500_000
+#: What stands before a word: the start of a text, or that it is the last one of a text.
+START, END = -2, -3
+#: Counts near pairs are sent in slices of.
+SLICE = 4_096
+_TARGET, _BACKGROUND, _DOCS, _WORDS, _CHUNK = range(5)
 
 
 class Keys:
@@ -85,30 +61,31 @@ class Keys:
         for k, word in enumerate(words):
             key = known.get(word)
             if key is None:
-                key = xxhash.xxh64_intdigest(word, self.seed) >> 1
+                key = key_of(word, self.seed)
                 if len(known) < CACHE_WORDS and len(word) <= CACHE_CHARS:
                     known[word] = key
             out[k] = key
         return out
 
 
-def _mixed(b: np.ndarray, w: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+def key_of(word: str, seed: int) -> int:
+    """A key that is checked to differ between all words of the corpora."""
+    return xxhash.xxh64_intdigest(word, seed) >> 1
+
+
+def _mixed(b: np.ndarray, w: np.ndarray) -> np.ndarray:
     out = (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    if more is not None:
-        out ^= more.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
     out ^= out >> np.uint64(32)
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _together(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows as one with their number; what a hash of the rows leaves apart stays apart, nothing different is merged."""
-    order = np.argsort(_mixed(*columns))
-    columns = [c[order] for c in columns]
+def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts equal rows together, and where each group begins."""
+    order = np.lexsort(columns[::-1])
     new = np.ones(len(order), bool)
     if len(order):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+        new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
+    return order, np.flatnonzero(new)
 
 
 def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,200 +93,312 @@ def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[START], keys[:-1], [END]]), np.append(keys, keys[-1])
 
 
-def _slices(column: pa.Array, most: int = 256) -> Iterator[list]:
-    """Values in lists of not much more than CHARS characters."""
-    held, size = [], 0
-    for lo in range(0, len(column), most):
-        for text in column.slice(lo, most).to_pylist():
-            held.append(text)
-            size += len(text or "")
-            if size > CHARS:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, those of one significance together, so what is mostly zero compresses."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize, ord(a.dtype.kind)))], np.int64)
+    return b"".join([head.tobytes(), *(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays)])
+
+
+def _arrays(raw: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(-1, 3).tolist(), 8 * (1 + 3 * n), []
+    for length, size, kind in head:
+        planes = np.frombuffer(raw, np.uint8, length * size, at).reshape(size, length)
+        out.append(np.ascontiguousarray(planes.T).view(f"{chr(kind)}{size}").reshape(-1))
+        at += length * size
+    return out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], keys: Keys, columns: int, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Rows (all columns but the text, which is the last) and keys of their words, about ``most`` tokens at a time."""
+    rows, found, size = [], [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            texts = part.column(columns - 1).to_pylist()
+            rows += zip(*(part.column(k).to_pylist() for k in range(columns - 1)), strict=True) if columns > 1 else [()] * len(texts)
+            found += [keys.of(t) for t in texts]
+            size += sum(map(len, found[-len(texts) :]))
+            if size > most:
+                yield rows, found
+                rows, found, size = [], [], 0
+    if rows:
+        yield rows, found
+
+
+def _flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(b, w, text) of all pairs of some texts."""
+    pairs = [(k, *_pairs(keys)) for k, keys in enumerate(found) if len(keys)]
+    none = [np.zeros(0, np.int64)]
+    return *(np.concatenate([p[c] for p in pairs] or none) for c in (1, 2)), np.repeat([p[0] for p in pairs] or [0], [len(p[1]) for p in pairs] or [0])
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", seed: int = 0) -> DataFrame:
-    """(word, key, n), partial, over all whole texts; words are lower case and separated by white space; the word '' has the number of texts with words."""
+    """(word, key, b, n), partial, over all whole texts; words are lower case and separated by white space.
+
+    The word '' has the number of texts with words. Rows without a word are pairs
+    (key after b) that make up a share of some chunk's tokens: candidates to be near.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        vocabulary = Vocabulary(seed)
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([vocabulary[w] if w else START for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["word", "key", "n"])
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                for text in batch.column(0).slice(lo, 256).to_pylist():
-                    words = (text or "").lower().split()
-                    held.update(words)
-                    held[""] += bool(words)
-                if len(held) > HELD_WORDS:
-                    yield send()
-                    held.clear()
-        yield send()
+        schema = pa.schema([("word", pa.string()), ("key", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
-    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "word string, key long, n long")
+        def send() -> pa.RecordBatch:
+            columns = [list(held), [key_of(w, seed) if w else START for w in held], [0] * len(held), list(held.values())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            """The same batches, their words counted on the way."""
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    for text in part.column(0).to_pylist():
+                        words = (text or "").lower().split()
+                        held.update(words)
+                        held[""] += bool(words)
+                    yield part
+                    if len(held) > HELD_WORDS:
+                        waiting.append(send())
+                        held.clear()
+
+        waiting: list[pa.RecordBatch] = []
+        for _, found in _chunks(seen(), Keys(seed), 1, HELD_TOKENS):
+            yield from waiting
+            waiting.clear()
+            b, w, _ = _flat(found)
+            order, first = _grouped(w, b)
+            n = np.diff(np.append(first, len(order)))
+            often = np.flatnonzero(n >= max(2, len(order) // NEAR_SHARE))
+            at = order[first[often]]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(w[at]), pa.array(b[at]), pa.array(n[often])], schema=schema)
+        yield from waiting
+        yield send()
 
+    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "word string, key long, b long, n long")
 
-def pair_counts(docs: DataFrame, text_col: str = "text", seed: int = 0) -> DataFrame:
-    """(b, w, n), partial, over all whole texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, size = Keys(seed), [], 0
+class Model:
+    """Totals of both corpora (target first), and the terms that one occurrence of a pair adds to a text's loss."""
 
-        def send() -> pa.RecordBatch:
-            (b, w), n = _together(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
-            return pa.RecordBatch.from_arrays([pa.array(b), pa.array(w), pa.array(n)], ["b", "w", "n"])
+    def __init__(self, seed: int, tokens: list[int], texts: list[int], distinct: int):
+        self.seed, self.tokens, self.texts, self.distinct = seed, tokens, texts, distinct
 
-        for batch in batches:
-            for texts in _slices(batch.column(0)):
-                for text in texts:
-                    if len(found := keys.of(text)):
-                        held.append([x[:-1] for x in _pairs(found)])
-                        size += len(found)
-                if size > HELD_TOKENS:
-                    yield send()
-                    held, size = [], 0
-        if held:
-            yield send()
+    def start(self, side: int) -> float:
+        return float(np.log(self.texts[side] + MASS))
 
-    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "b long, w long, n long")
+    def terms(self, side: int, b: np.ndarray, pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
+        mass = MASS * (words + 1.0) / (self.tokens[side] + self.distinct + 1)
+        known = np.log(words + MASS)
+        return np.where(b == END, -known, known - np.log(mass) - np.log1p(pairs / mass))
 
 
-def _sides(target: DataFrame, background: DataFrame) -> DataFrame:
-    none = F.lit(0).cast("long")
-    return target.withColumns({"t": F.col("n"), "g": none}).drop("n").unionByName(background.withColumns({"t": none, "g": F.col("n")}).drop("n"))
+class Near:
+    """Pairs that are looked up in the task: sorted by a mixed key, compared in full."""
 
+    def __init__(self, b: np.ndarray, w: np.ndarray):
+        self.mixed = _mixed(b, w)
+        self.order = np.argsort(self.mixed, kind="stable")
+        self.mixed, self.b, self.w = self.mixed[self.order], b[self.order], w[self.order]
 
-def _most(rows: DataFrame, n: Column, most: int) -> DataFrame:
-    """About the `most` rows with the largest n, never more; a histogram by octaves says how far down they reach, so few rows are sorted."""
-    step, left, least = F.floor(F.log2(n) * 8), most, 0
-    for row in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows
-        least, left = row["step"], left - row["count"]
-        if left <= 0:
-            break
-    return rows.where(step >= least).orderBy(n.desc(), "w").limit(most)
+    def find(self, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Position of each pair, -1 where it isn't near."""
+        if not len(self.mixed):
+            return np.full(len(b), -1)
+        at = np.minimum(np.searchsorted(self.mixed, _mixed(b, w)), len(self.mixed) - 1)
+        return np.where((self.b[at] == b) & (self.w[at] == w), at, -1)
 
 
-def fit(target: DataFrame, background: DataFrame, target_col: str = "text", background_col: str = "text") -> Models:
-    """Count all words and pairs of words of both corpora in full."""
+def _gather(target: DataFrame, background: DataFrame, target_col: str, background_col: str) -> tuple[DataFrame, Model, Near, np.ndarray, pa.Table]:
+    """Exact counts of all words, totals, near pairs with the counts of their second word, and frequent words."""
+    none = F.lit(0).cast("long")
     for seed in range(8):
-        both = _sides(word_counts(target, target_col, seed), word_counts(background, background_col, seed))
-        words = cut(both.repartition("key").groupBy("key", "word").agg(F.sum("t").alias("t"), F.sum("g").alias("g")))
-        counts = words.groupBy("key").agg(F.count("*").alias("same"), F.sum("t").alias("t"), F.sum("g").alias("g"))
+        a, b = word_counts(target, target_col, seed), word_counts(background, background_col, seed)
+        both = a.withColumns({"t": F.col("n"), "g": none}).unionByName(b.withColumns({"t": none, "g": F.col("n")}))
+        counts = cut(both.groupBy("key", "b", "word").agg(F.sum("t").alias("t"), F.sum("g").alias("g")))
+        told = counts.where("word is not null").groupBy("key").agg(F.count("*").alias("same"), F.sum("t").alias("t"), F.sum("g").alias("g"))
         word = F.col("key") >= 0
-        told = counts.agg(F.max("same"), *(F.sum(F.when(c, F.col(s))) for c in (word, ~word) for s in "tg"), F.count_if(word)).first()
+        told = told.agg(F.max("same"), *(F.sum(F.when(c, F.col(s))) for c in (word, ~word) for s in "tg"), F.count_if(word)).first()
         if (told[0] or 0) <= 1:  # no two words have one key
             break
     else:
         raise RuntimeError("different words have equal keys under every seed")
-    single = words.where(word).select(F.col("key").alias("w"), F.col("t").alias("wt"), F.col("g").alias("wg"))
-    hot = cut(_most(single, F.col("wt") + F.col("wg"), HOT_WORDS))  # at most HOT_WORDS rows
-
-    # pairs are dealt by their word, frequent words over SALTS places, so counting and the join need one exchange
-    pairs = _sides(pair_counts(target, target_col, seed), pair_counts(background, background_col, seed))
-    pairs = pairs.join(F.broadcast(hot.select("w", F.lit(True).alias("hot"))), "w", "left")
-    pairs = pairs.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(0).cast("int"))
-    pairs = pairs.repartition("w", "salt").groupBy("w", "salt", "b").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
-    dealt = single.withColumn("salt", F.lit(0)).unionByName(hot.select("w", "wt", "wg", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1))).alias("salt")))
-    order = ["b", "w", "t", "g", "wt", "wg"]
-    # every word ends some document that is scored, though it may end none of those counted
-    alone = single.select(F.explode(F.array(F.lit(ALONE).cast("long"), F.lit(END).cast("long"))).alias("b"), "w", F.col("wt").alias("t"), F.col("wg").alias("g"), "wt", "wg")
-    table = cut(pairs.join(dealt.hint("shuffle_hash"), ["w", "salt"]).select(*order).unionByName(alone))
-    tokens, texts = [[n or 0 for n in told[k : k + 2]] for k in (1, 3)]
-    return Models(table, Vocabulary(seed), [Words(table, "t"), Words(table, "g")], tokens, texts, told[5])
-
-
-def losses(models: Models, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Per-token losses (nats) of one whole text under target and background, looked up on the driver."""
-    keys = Keys(models.vocabulary.seed).of(text)
-    if not len(keys):
-        return np.zeros(0), np.zeros(0)
-    mine = models.table.sparkSession.createDataFrame([(k,) for k in set(keys.tolist())], "w long")
-    firsts = [START, ALONE, *set(keys.tolist())]
-    rows = models.table.join(F.broadcast(mine), "w", "left_semi").where(F.col("b").isin(firsts)).collect()  # at most the pairs of the text's words
-    counts = {(r.b, r.w): (r.t, r.g) for r in rows}
-    out = []
-    for side in (0, 1):
-        of = lambda b, w: counts.get((b, w), (0, 0))[side]  # noqa: B023, E731
-        loss = []
-        for b, w in zip([START, *keys[:-1].tolist()], keys.tolist(), strict=True):
-            before = models.texts[side] if b == START else of(ALONE, b)
-            share = (of(ALONE, w) + 1) / (models.tokens[side] + models.distinct + 1)
-            loss.append(-np.log((of(b, w) + MASS * share) / (before + MASS)))
-        out.append(np.array(loss))
-    return out[0], out[1]
-
-
-def _terms(models: Models, b: Column, side: int, n: Column, of_word: Column) -> Column:
-    """What one occurrence of a row adds to the sum of losses of a text."""
-    share = (of_word + 1) / (models.tokens[side] + models.distinct + 1)
-    return F.when(b == ALONE, F.log(of_word + MASS) - F.log(MASS * share)).when(b == END, -F.log(of_word + MASS)).otherwise(-F.log1p(n / (MASS * share)))
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    model = Model(seed, [told[1] or 0, told[2] or 0], [told[3] or 0, told[4] or 0], told[5])
+    words = counts.where((F.col("word") != "") & F.col("word").isNotNull()).select("key", "t", "g")
+    tokens, most = sum(model.tokens), F.col("t") + F.col("g")
+    hot = words.where(most >= max(1, tokens // HOT_SHARE)).orderBy("key").toArrow()  # about HOT_SHARE words at most
+    # pairs are about as many as tokens, so about NEAR_SHARE of them at most
+    often = counts.where(F.col("word").isNull() & (most >= max(2, tokens // NEAR_SHARE))).select("key", "b")
+    often = often.join(words, "key", "left").select("key", "b", F.coalesce("t", none).alias("t"), F.coalesce("g", none).alias("g")).orderBy("key", "b").toArrow()
+    near = Near(often.column("b").to_numpy(), often.column("key").to_numpy())
+    of_word = np.stack([often.column(s).to_numpy() for s in "tg"])[:, near.order]
+    return words, model, near, of_word, hot
+
+
+def _near_counts(corpora: list[tuple[DataFrame, str, int]], model: Model, near: Near) -> np.ndarray:
+    """Exact counts of the near pairs in both corpora."""
+    out = np.zeros((2, len(near.mixed)), np.int64)
+    if not len(near.mixed):
+        return out
+    spark = corpora[0][0].sparkSession
+    shared, seed = spark.sparkContext.broadcast(near), model.seed
+
+    def counted(side: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near, total = shared.value, None
+            for _, found in _chunks(batches, Keys(seed), 1, HELD_TOKENS):
+                b, w, _ = _flat(found)
+                at = near.find(b, w)
+                n = np.bincount(at[at >= 0], minlength=len(near.mixed))
+                total = n if total is None else total + n
+            if total is not None:
+                slices = range(0, len(total), SLICE)
+                yield pa.RecordBatch.from_arrays([pa.array([lo // SLICE for lo in slices], pa.int64()), pa.array([side] * len(slices), pa.int32()), pa.array([_planes(total[lo : lo + SLICE]) for lo in slices], pa.binary())], ["slice", "side", "raw"])
+
+        return run
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(_arrays(raw)[0] for raw in table.column("raw").to_pylist())
+        return pa.table({"slice": table.column("slice").slice(0, 1), "side": table.column("side").slice(0, 1), "raw": pa.array([_planes(total)], pa.binary())})
+
+    schema = "slice long, side int, raw binary"
+    parts = None
+    for docs, column, side in corpora:
+        mine = docs.select(docs[column].cast("string").alias("text")).mapInArrow(counted(side), schema)
+        parts = mine if parts is None else parts.unionByName(mine)
+    for row in parts.groupBy("slice", "side").applyInArrow(added, schema).toLocalIterator():  # two counts for each near pair
+        lo = row["slice"] * SLICE
+        out[row["side"], lo : lo + SLICE] = _arrays(row["raw"])[0]
+    return out
+
+
+def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", background_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ce_target, ce_background, score (their difference).
 
+    ``background`` is the corpus of the background model; by default all of ``docs``.
     Null and empty texts have no tokens and score 0 with null entropies. Repeated and
-    null identifiers pass through; other columns are ignored; an empty table gives none.
+    null identifiers pass through; other columns are ignored; an empty table gives
+    none. ``docs`` should be a table, as it is read several times. Sums travel in
+    single precision, so entropies hold to about 1e-5.
     """
-    b, zero = F.col("b"), F.lit(0)
-    table = models.table.select("b", "w", *(_terms(models, b, k, F.col(s), F.col(f"w{s}")).alias(f"l{s}") for k, s in enumerate("tg")))
-    # rows that many documents ask for are looked up in the task; all others are joined
-    often = _most(models.table, F.col("t") + F.col("g"), NEAR_ROWS).select("b", "w", *(_terms(models, b, k, F.col(s), F.col(f"w{s}")).alias(f"l{s}") for k, s in enumerate("tg"))).toArrow()  # at most NEAR_ROWS rows
-    near = [often.column(c).to_numpy() for c in ("b", "w", "lt", "lg")]
-    mixed = _mixed(near[0], near[1])
-    order = np.argsort(mixed)
-    shared = docs.sparkSession.sparkContext.broadcast([mixed[order], *(c[order] for c in near)])
-    seed, start = models.vocabulary.seed, [float(np.log(n + MASS)) for n in models.texts]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Keys(seed)
-        hashes, near_b, near_w, near_t, near_g = shared.value
+    spark, own = docs.sparkSession, background is None
+    corpora = [(target, target_col, 0), (docs, text_col, 1) if own else (background, background_col, 1)]
+    words, model, near, of_word, hot = _gather(target, corpora[1][0], target_col, corpora[1][1])
+    of_pair = _near_counts(corpora, model, near)
+    near_terms = [model.terms(side, near.b, of_pair[side], of_word[side]) for side in (0, 1)]
+    tokens = sum(model.tokens)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(1, -(-tokens // PART_TOKENS), min(width, tokens // LEAST_PART_TOKENS))
+    frequent = [hot.column(c).to_numpy() for c in ("key", "t", "g")]
+    shared = spark.sparkContext.broadcast((near, near_terms, frequent))
+    part_schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.int64()), ("t", pa.int64()), ("g", pa.int64()), ("raw", pa.binary())])
+    ddl = "part long, kind int, chunk long, key long, t long, g long, raw binary"
+
+    def part_of(b: np.ndarray, w: np.ndarray, hot_keys: np.ndarray) -> np.ndarray:
+        """By the second word; pairs of frequent ones by the pair."""
+        spread = np.isin(w, hot_keys)
+        return (_mixed(np.where(spread, b, 0), w) >> np.uint64(33)).astype(np.int64) % parts
+
+    def postings(kind: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near, terms, (hot_keys, _, _) = shared.value
+            for rows, found in _chunks(batches, Keys(model.seed), 3 if kind == _DOCS else 1, HELD_TOKENS):
+                b, w, text = _flat(found)
+                chunk = rows[0][0] if kind == _DOCS else 0
+                at = near.find(b, w)
+                out = []
+                if kind == _DOCS:
+                    mine, of = at[at >= 0], text[at >= 0]
+                    size = np.array([len(f) for f in found], np.int64)
+                    sums = [np.bincount(of, terms[side][mine], len(rows)) + model.start(side) * (size > 0) for side in (0, 1)]
+                    ids = [r[1] for r in rows]
+                    known = np.array([i is not None for i in ids], np.uint8)
+                    out.append((chunk % parts, _CHUNK, chunk, _planes(np.array([i or 0 for i in ids], np.int64), known, size, *sums)))
+                    b, w, text = (x[at < 0] for x in (b, w, text))
+                else:
+                    keep = (at < 0) & (b != END)
+                    b, w, text = b[keep], w[keep], np.zeros(keep.sum(), np.int64)
+                part = part_of(b, w, hot_keys)
+                order, first = _grouped(part, w, b, text)
+                n = np.diff(np.append(first, len(order))).astype(np.uint32)
+                order = order[first]
+                part, b, w, text = part[order], b[order], w[order], text[order].astype(np.uint32)
+                edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+                for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    new = np.flatnonzero(np.diff(w[lo:hi], prepend=w[lo] - 1))
+                    out.append((int(part[lo]), kind, chunk, _planes(w[lo:hi][new], np.diff(np.append(new, hi - lo)).astype(np.uint32), b[lo:hi], text[lo:hi], n[lo:hi])))
+                for lo in range(0, len(out), 64):
+                    p, k, c, raw = zip(*out[lo : lo + 64], strict=True)
+                    none = pa.nulls(len(p), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(k, pa.int32()), pa.array(c, pa.int64()), none, none, none, pa.array(raw, pa.binary())], schema=part_schema)
+
+        return run
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words that are not frequent, to their parts."""
+        hot_keys = shared.value[2][0]
         for batch in batches:
-            at = 0
-            for texts in _slices(batch.column(2)):
-                rid, doc = batch.column(0).slice(at, len(texts)).to_numpy(), batch.column(1).slice(at, len(texts))
-                at += len(texts)
-                bs, ws, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
-                rows = np.zeros(len(texts), np.int64)
-                for k, text in enumerate(texts):
-                    found = keys.of(text)
-                    tokens[k] = len(found)
-                    if len(found):
-                        first, word = _pairs(found)
-                        bs += [first, np.full(len(found), ALONE)]
-                        ws += [word, found]
-                        rows[k] = 2 * len(found) + 1
-                bs, ws, of = np.concatenate(bs), np.concatenate(ws), np.repeat(np.arange(len(texts)), rows)
-                sums, far = [s * (tokens > 0) for s in start], np.ones(len(bs), bool)
-                if len(hashes):
-                    place = np.minimum(np.searchsorted(hashes, _mixed(bs, ws)), len(hashes) - 1)
-                    far = (near_b[place] != bs) | (near_w[place] != ws)
-                    place, mine = place[~far], of[~far]
-                    sums = [s + np.bincount(mine, v[place], len(texts)) for s, v in zip(sums, (near_t, near_g), strict=True)]
-                (bs, ws, of), n = _together(bs[far], ws[far], of[far])
-                # a document's own row has no word: it joins with nothing and brings what is known of it
-                size = len(bs)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([rid[of], rid])), pa.concat_arrays([pa.nulls(size, pa.int64()), doc]), pa.array(np.concatenate([bs, rid])), pa.array(np.concatenate([ws, np.full(len(rid), -1)])),
-                        pa.array(np.concatenate([n, np.zeros(len(rid), np.int64)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(size, np.int64), tokens])), *(pa.array(np.concatenate([np.zeros(size), s])) for s in sums),
-                    ],
-                    ["rid", "doc_id", "b", "w", "n", "n_tokens", "at", "ag"],
-                )
+            key = batch.column(0).to_numpy()
+            rest = np.flatnonzero(~np.isin(key, hot_keys))
+            n = len(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(key[rest], key[rest], hot_keys)), pa.array([_WORDS] * n, pa.int32()), pa.array([0] * n, pa.int64()), *(c.take(pa.array(rest)) for c in batch.columns), pa.nulls(n, pa.binary())], schema=part_schema)
+
+    def settle(table: pa.Table) -> pa.Table:
+        """Count the pairs of one part; send every chunk the sums of its documents."""
+        kind, chunk, raw = (table.column(c).to_pylist() for c in ("kind", "chunk", "raw"))
+        mine = np.flatnonzero(np.array(kind) == _WORDS)
+        known = [np.concatenate([h, table.column(c).to_numpy()[mine]]) for h, c in zip(shared.value[2], ("key", "t", "g"), strict=True)]
+        known = [k[o] for o in [np.argsort(known[0])] for k in known]
+        held: list[list[np.ndarray]] = [[] for _ in range(5)]
+        chunks: list[int] = []
+        out = [(c, r) for k, c, r in zip(kind, chunk, raw, strict=True) if k == _CHUNK]
+        for k, c, r in zip(kind, chunk, raw, strict=True):
+            if k in (_TARGET, _BACKGROUND, _DOCS):
+                w, times, b, text, n = _arrays(r)
+                for column, value in zip(held, (np.repeat(w, times), b, text, n, np.full(len(b), len(chunks) if k == _DOCS else -1 - k, np.int32)), strict=True):
+                    column.append(value)
+                chunks.append(c)
+        if chunks:
+            w, b, text, n, source = (np.concatenate(c) for c in held)
+            order, first = _grouped(w, b)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            w, b, text, n, source = (x[order] for x in (w, b, text, n, source))
+            place = np.searchsorted(known[0], w[first])
+            place = np.minimum(place, max(0, len(known[0]) - 1))
+            there = known[0][place] == w[first] if len(known[0]) else np.zeros(len(first), bool)
+            counted = [source == -1 - _TARGET, (source >= 0) if own else source == -1 - _BACKGROUND]
+            sums = []
+            for side in (0, 1):
+                pairs = np.bincount(group, np.where(counted[side], n, 0), len(first))
+                of_words = np.where(there, known[1 + side][place], 0) if len(known[0]) else np.zeros(len(first))
+                sums.append(model.terms(side, b[first], pairs, of_words)[group] * n)
+            scored = np.flatnonzero(source >= 0)
+            order, first = _grouped(source[scored], text[scored])
+            order = scored[order]
+            sums = [np.add.reduceat(s[order], first).astype(np.float32) if len(first) else np.zeros(0, np.float32) for s in sums]
+            source, text = source[order][first], text[order][first]
+            edges = np.flatnonzero(np.diff(source, prepend=-1, append=-1))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                out.append((chunks[source[lo]], _planes(np.diff(text[lo:hi].astype(np.int64), prepend=0).astype(np.uint32), *(s[lo:hi] for s in sums))))
+        c, r = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"chunk": pa.array(c, pa.int64()), "raw": pa.array(r, pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        """The documents of one chunk, with what all parts say of them."""
+        found = [_arrays(r) for r in table.column("raw").to_pylist()]
+        ids, known, size, *sums = next(f for f in found if len(f) == 5)
+        sums = [s.copy() for s in sums]
+        for text, *more in (f for f in found if len(f) == 3):
+            for s, x in zip(sums, more, strict=True):
+                s[np.cumsum(text.astype(np.int64))] += x
+        mean = [pa.array(s / np.maximum(size, 1), pa.float64(), mask=size == 0) for s in sums]
+        diff = np.where(size > 0, (sums[0] - sums[1]) / np.maximum(size, 1), 0.0)
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known == 0), "n_tokens": pa.array(size), "ce_target": mean[0], "ce_background": mean[1], "score": pa.array(diff)})
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.mapInArrow(run, "rid long, doc_id long, b long, w long, n int, n_tokens long, at double, ag double")
-    # words and pairs that neither corpus has count zero
-    rows = rows.join(table, ["b", "w"], "left")
-    unseen = [F.when(F.col("w") < 0, 0.0).otherwise(_terms(models, b, k, zero, zero)) for k in (0, 1)]
-    sums = rows.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        *(F.sum(F.col(f"a{s}") + F.col("n") * F.coalesce(F.col(f"l{s}"), unseen[k])).alias(f"s{s}") for k, s in enumerate("tg")),
-    )
-    some, mean = F.col("n_tokens") > 0, lambda x: F.try_divide(x, F.col("n_tokens"))
-    return sums.select(
-        "doc_id", "n_tokens", F.when(some, mean(F.col("st"))).alias("ce_target"), F.when(some, mean(F.col("sg"))).alias("ce_background"),
-        F.when(some, mean(F.col("st") - F.col("sg"))).otherwise(0.0).alias("score"),
-    )
+    dealt_rows = rows.mapInArrow(postings(_DOCS), ddl).unionByName(words.mapInArrow(dealt, ddl))
+    for (corpus, column, _), kind in zip(corpora, (_TARGET, _BACKGROUND), strict=True):
+        if kind == _TARGET or not own:
+            dealt_rows = dealt_rows.unionByName(corpus.select(corpus[column].cast("string").alias("text")).mapInArrow(postings(kind), ddl))
+    settled = dealt_rows.groupBy("part").applyInArrow(settle, "chunk long, raw binary")
+    return settled.groupBy("chunk").applyInArrow(summed, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")

@@ -43,8 +43,7 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents by a model of the benchmark passages against one of the whole corpus."""
-    docs = _table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, lm_scoring.fit(_table(spark, sf_dir, "benchmark"), docs))
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
