@@ -346,8 +346,9 @@ def jaccard_join(
     coarse = cut(components(compared).select(F.col("node").alias("cls"), F.col("component").alias("coarse")))
     counted = cut(coarse.groupBy("coarse").agg(F.count("*").alias("members")))
     members = cut(coarse.join(counted, "coarse").join(classes.select("cls", "size", "first.doc_id", "first.sha"), "cls").select("cls", "size", "coarse", F.col("members").alias("blocks"), "doc_id", "sha"))
-    # one text of each class; rows that repeat an identifier and its text are the same one
-    mine = rows.where("text is not null").alias("r").join(members.alias("m"), F.col("r.sha").eqNullSafe(F.col("m.sha")) & F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")))
+    # one text of each class; rows that repeat an identifier and its text are the same one. The members
+    # grow with the input, so both sides are shuffled at every size
+    mine = rows.where("text is not null").alias("r").hint("merge").join(members.alias("m"), F.col("r.sha").eqNullSafe(F.col("m.sha")) & F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")))
     texts = mine.groupBy("cls", "size", "coarse", "blocks").agg(F.min("text").alias("text"))
     sets = texts.mapInArrow(_sets(words), "cls long, size long, coarse long, blocks long, tokens binary").withColumnRenamed("blocks", "members")
     verified = cut(_dealt(sets, "coarse", "members", EXACT_BLOCK, tasks).groupBy("task", "lo", "hi").applyInArrow(_verify(threshold), "cls long, links long, root long"))
