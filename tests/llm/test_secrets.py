@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from treeline.llm import secrets as se
@@ -30,13 +31,78 @@ def test_base_spans(docs, odd_docs, no_docs):
     assert [r.n_access for r in got if r.doc_id == 13] == [1]
 
 
+S = "Zk81qq72mm10"
+LEXED = {
+    'KEY = "s3cr3t-value-99x"\ndb_pwd = KEY\n':["s3cr3t-value-99x"],
+    '{"client_secret": "a8f5k2l9x0q1"}':["a8f5k2l9x0q1"],
+    "export AUTH_TOKEN=zx81kq72mm10pp\n":["zx81kq72mm10pp"],
+    'title = "the quick brown fox"\npassword = "changeme"\npwd = "${PWD_VAR}"\n':[],
+    "if a == b: pass":[],
+    f'password: str = "{S}"':[S],
+    f'db_pwd: Optional[str] = "{S}"':[S],
+    f'let password: &str = "{S}";':[S],
+    f"const DB_PWD: &'static str = \"{S}\";":[S],
+    f'var dbPwd string = "{S}"':[S],
+    f'final String dbPassword = "{S}";':[S],
+    f'char *password = "{S}";':[S],
+    f'const char password[] = "{S}";':[S],
+    f'db.setPassword("{S}");':[S],
+    f'<password>{S}</password>':[S],
+    f'<db:password enc="no"> {S} </db:password>':[S],
+    f'<user name="x" password="{S}"/>':[S],
+    f'<add key="DbPassword" value="{S}" />':[S],
+    f'password = """{S}"""':[S],
+    f"pwd = '''\n{S}\nline two 99'''":[f"\n{S}\nline two 99"],
+    f'password = KEY\nKEY = "{S}"':[S],
+    f'a = "{S}"\nb = a\nc = b\npassword = c':[S],
+    f'PASSWORD = "ab81kk" + "cd92xx"':["ab81kk","cd92xx"],
+    f'PASSWORD = ("ab81kk"\n   "cd92xx")':["ab81kk","cd92xx"],
+    f'A = "ab81kk"\nB = "cd92xx"\npassword = A + B':["ab81kk","cd92xx"],
+    f'let token = String::from("{S}");':[S],
+    f'let token = "{S}".to_string();':[S],
+    f'password = os.environ["DB_PASSWORD"]':[],
+    f'password = os.getenv("DB_PASSWORD")':[],
+    f'props.put("db.password", "{S}")':[S],
+    f'cfg["db"]["password"] = "{S}"':[S],
+    f'mysql --password {S} -h x':[S],
+    f'tool --auth-token={S}':[S],
+    f'db.password={S}\n':[S],
+    f'password: {S}\n':[S],
+    f"password: '{S}' # note\n":[S],
+    f'password = /* old one */ "{S}"':[S],
+    f'// password = "{S}"':[S],
+    f'/* password = "{S}" */':[S],
+    f'password = r#"{S}"#;':[S],
+    f'password = b"{S}"':[S],
+    f'password := "{S}"':[S],
+    f'"password" => "{S}",':[S],
+    f'password = `{S}`':[S],
+    'password_'+'x'*200+f' = "{S}"':[S],
+    f'private_key = -----BEGIN':[],
+    f"don't worry, it's the user's password's fault: nothing":[],
+    f'x = y\ny = x\npassword = x':[],
+    f'Connect with password {S}':[],
+    f'password = "${{DB}}"\n':[],
+    f'user = "bob", pwd = "{S}", host = "h"':[S],
+    f'f(password="{S}", user="x")':[S],
+    f'secret: [ "{S}" ]':[S],
+}
+
+
 def test_lexed_pairs_and_constants():
-    found = lambda text: [text[a:b] for a, b in se.lexed_spans(text)]
-    assert found('KEY = "s3cr3t-value-99x"\ndb_pwd = KEY\n') == ["s3cr3t-value-99x"]
-    assert found('{"client_secret": "a8f5k2l9x0q1"}') == ["a8f5k2l9x0q1"]
-    assert found("export AUTH_TOKEN=zx81kq72mm10pp\n") == ["zx81kq72mm10pp"]
-    assert found('title = "the quick brown fox"\npassword = "changeme"\npwd = "${PWD_VAR}"\n') == []
-    assert found("if a == b: pass") == []
+    for text, want in LEXED.items():
+        assert [text[a:b] for a, b in se.lexed_spans(text)] == want, text
+
+
+def test_lexer_never_fails_and_spans_lie_in_the_text():
+    draw = random.Random(6)
+    marks = ["password", "token", "=", ":", "'", '"', '"""', "`", "(", ")", "<", ">", "</", "/*", "*/", "//", "#", "[", "]", "+", "\n", "\\", "x1", S, "--", "::", " ", "r#", "key", "é", "&"]
+    for _ in range(3000):
+        text = "".join(draw.choice(marks) for _ in range(draw.randrange(1, 25)))
+        assert all(0 <= a < b <= len(text) for a, b in se.lexed_spans(text))
+    assert se.lexed_spans("password = (" * 3000) == [] and se.lexed_spans("a = b\n" * 3000 + "password = a") == []
+    chain = "".join(f"n{k} = n{k + 1}\n" for k in range(300)) + f'n300 = "{S}"\npassword = n0\n'
+    assert [chain[a:b] for a, b in se.lexed_spans(chain)] == [S]
 
 
 def test_redaction(odd_docs):

@@ -1,9 +1,12 @@
 """Secret scans: fixed base patterns plus assignment-aware lexing.
 
-The lexer reads source and configuration syntax around each assignment operator
-into name-literal pairs, follows names that were bound to a literal earlier in
-the text, and scores each literal by how sensitive its target name is and by
-whether it looks like generated material rather than a placeholder.
+The lexer cuts source and configuration text into strings, names, operators and
+comments and parses these into name-literal pairs: assignments with and without a
+type, entries, arguments of calls, flags, elements and attributes, with literals
+that are joined or wrapped. Names that are bound to a literal anywhere in the text
+stand for it, through any number of steps. Each pair is scored by how sensitive its
+name is and by whether the literal looks like generated material rather than a
+placeholder.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,15 +39,41 @@ NAME_POINTS = {
 }
 LEXED_LEAST = 4.0
 LITERAL_LEAST = 6
-#: How far a name may reach back from its operator.
-NAME_REACH = 128
 
-_OPERATOR = re.compile(r"(?<![=!<>:+\-*/%&|^])(?:=>|:=|=|:)(?![=:/])")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)(?:["'\]]{0,2})[ \t]*\Z""")
-_VALUE = re.compile(r"""[ \t]*(?:[rbuf]{0,2}(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([^\s"'`,;(){}<>\[\]&|]+))""")
+_TOKEN = re.compile(
+    r"""(?P<block>/\*.*?\*/|<!--.*?-->)
+    |(?P<line>(?<![:\w/])//|(?<!\S)\#+(?=[\x20\t!]))
+    |(?P<element><(?P<tag>[A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>(?P<body>[^<>]*)</(?P=tag)\s*>)
+    |(?<![A-Za-z0-9_])[A-Za-z]{0,3}(?P<hashes>\#{1,8})"(?P<hashed>.*?)"(?P=hashes)
+    |(?<![A-Za-z0-9_])[A-Za-z]{0,2}(?P<triple>\"{3}|'{3})(?P<long>(?:\\.|(?!(?P=triple))[^\\])*)(?P=triple)
+    |(?<![A-Za-z0-9_])[A-Za-z@$]{0,2}(?P<quote>["'])(?P<short>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)
+    |`(?P<tick>(?:\\.|[^`\\])*)`
+    |(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_][\w$]*)*)
+    |(?P<op>=>|:=|::|->|[=!<>+\-*/%&|^~?]{2,}|=|:|\+)
+    |(?P<end>\n)
+    |(?P<mark>[^\w\s])""",
+    re.X | re.S,
+)
+_BARE = re.compile(r"""[ \t]*([^\s"'`,;(){}<>\[\]&|]+)""")
+_FLAG_VALUE = re.compile(r"""[ \t]+(?!-)([^\s"'`,;(){}<>\[\]&|]+)""")
+#: Calls whose argument says where to look, not what the secret is.
+_LOOKUP = re.compile(r"(?i)get|env|read|input|prompt|load|fetch|find|lookup|require|open|config|param|ask|select|query")
+#: Attributes that name what the attribute after them holds.
+_KEYS = frozenset({"key", "name", "id", "property"})
+#: Tokens between a name's colon and its operator that may be its type.
+MOST_TYPE = 64
 _IDENTIFIER = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.]*)\}?\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)(?:x+|\*+|\.+|0+|1234\w*|change_?me|example|sample|placeholder|your[_-].*|none|null|true|false|todo|redacted|<.*>|\$\{.*\}|%\(.*\)s|\{\{.*\}\})\Z")
+#: Words with points that no shorter one is part of.
+_ROOTS = [w for w in sorted(NAME_POINTS) if not any(v != w and v in w for v in NAME_POINTS)]
+#: A name with points where it could be bound to something; a text without one has no pair to report.
+_SITE = re.compile(
+    r"(?:" + "|".join(sorted(NAME_POINTS)) + r""")[\w.\-$]*(?:["'\])]*\s*(?:[=:({]|["'][\t\x20]*,)|["']\s*,|[^\n<>]{0,200}>|[\x20\t*&:\[][^\n=]{0,200}=|\[)|--[\w\-]*(?:"""
+    + "|".join(sorted(NAME_POINTS))
+    + ")",
+    re.I,
+)
 
 
 def name_points(name: str) -> float:
@@ -60,23 +91,222 @@ def literal_points(value: str) -> float:
     return min(1.0, bits / 3.0) * (0.5 if " " in value else 1.0) + (0.5 if digits else 0.0) + (0.5 if len(value) >= 16 and digits else 0.0)
 
 
+Part = tuple[int, int, bool]
+
+
+@dataclass
+class _Token:
+    kind: str  # text (a string), name, op, end (of a line), mark
+    text: str
+    start: int
+    end: int
+
+
+@dataclass
+class _Pair:
+    """A name and what it is bound to: spans of literals and of names of other constants (True), in order."""
+
+    name: str
+    at: int
+    parts: list[Part]
+
+
+def _tokens(text: str, start: int, end: int) -> tuple[list[_Token], list[_Pair], list[tuple[int, int]]]:
+    """Tokens, pairs of elements, and bodies of comments."""
+    out, pairs, comments = [], [], []
+    for m in _TOKEN.finditer(text, start, end):
+        kind = m.lastgroup
+        if m["block"] is not None:
+            comments.append((m.start() + 2, m.end()))
+        elif m["element"] is not None:
+            a, b = m.span("body")
+            body = text[a:b]
+            a, b = a + len(body) - len(body.lstrip()), b - len(body) + len(body.rstrip())
+            if a < b:
+                pairs.append(_Pair(m["tag"], m.start(), [(a, b, False)]))
+            comments.append((m.start() + 1, m.start("body")))  # its attributes
+        elif m["line"] is not None:
+            out.append(_Token("end", "", m.start(), m.end()))
+        elif m["end"] is not None:
+            out.append(_Token("end", "", m.start(), m.end()))
+        elif m["name"] is not None or m["op"] is not None or m["mark"] is not None:
+            kind = "name" if m["name"] is not None else "op" if m["op"] is not None else "mark"
+            out.append(_Token(kind, m[0], m.start(), m.end()))
+        else:
+            group = next(g for g in ("hashed", "long", "short", "tick") if m[g] is not None)
+            out.append(_Token("text", m[group], *m.span(group)))
+    return out, pairs, comments
+
+
+class _Reader:
+    """Reads the tokens of one text into pairs."""
+
+    def __init__(self, text: str, tokens: list[_Token]):
+        self.text, self.tokens = text, tokens
+
+    def is_mark(self, k: int, marks: str) -> bool:
+        return 0 <= k < len(self.tokens) and self.tokens[k].kind in ("mark", "op") and self.tokens[k].text in marks.split()
+
+    def kind(self, k: int) -> str:
+        return self.tokens[k].kind if 0 <= k < len(self.tokens) else ""
+
+    def past_ends(self, k: int) -> int:
+        while self.kind(k) == "end":
+            k += 1
+        return k
+
+    def operand(self, k: int, depth: int = 0) -> tuple[list[Part], int]:
+        """A literal, a name, or a call that wraps one; nothing where it is none of these."""
+        if self.kind(k) == "text":
+            t = self.tokens[k]
+            k += 1
+            while self.is_mark(k, ".") and self.kind(k + 1) == "name" and self.is_mark(k + 2, "(") and self.is_mark(k + 3, ")"):
+                k += 4  # a conversion such as .to_string()
+            return [(t.start, t.end, False)], k
+        if self.is_mark(k, "& * ( [") and depth < 4:
+            parts, k = self.operand(self.past_ends(k + 1), depth + 1)
+            return parts, k + self.is_mark(k, ") ]")
+        if self.kind(k) != "name":
+            return [], k
+        name, k = self.tokens[k], k + 1
+        while self.is_mark(k, "::") and self.kind(k + 1) == "name":
+            name, k = self.tokens[k + 1], k + 2
+        if self.is_mark(k, "("):
+            if _LOOKUP.search(name.text) or depth >= 4:
+                return [], k
+            parts, k = self.value(self.past_ends(k + 1), depth + 1)
+            return (parts, k + 1) if self.is_mark(self.past_ends(k), ")") else ([], k)
+        return ([], k) if self.is_mark(k, "[ {") else ([(name.start, name.end, True)], k)
+
+    def value(self, k: int, depth: int = 0) -> tuple[list[Part], int]:
+        """Operands that are joined by + or stand beside each other."""
+        parts, k = self.operand(k, depth)
+        while parts:
+            after = self.past_ends(k)
+            joined = self.is_mark(after, "+ . .. ++ <> &") and (self.kind(self.past_ends(after + 1)) == "text" or self.is_mark(after, "+"))
+            if joined:
+                after = self.past_ends(after + 1)
+            elif not (not parts[-1][2] and self.kind(after) == "text" and not self.is_entry(after)):
+                break
+            more, end = self.operand(after, depth)
+            if not more:
+                break
+            parts, k = [*parts, *more], end
+        return parts, k
+
+    def is_entry(self, k: int) -> bool:
+        """Whether the string is the key of the next entry."""
+        return self.is_mark(k + 1, ": = =>")
+
+    def bound(self, k: int) -> list[Part]:
+        """What stands after an operator: a value, or a bare word up to the next space or mark."""
+        op = self.tokens[k - 1]
+        after = self.past_ends(k)
+        parts, _ = self.value(after if self.kind(after) == "text" or self.is_mark(after, "( [") else k)
+        if parts and not parts[0][2]:
+            return parts
+        bare = _BARE.match(self.text, op.end)
+        if not bare:
+            return parts
+        named = _IDENTIFIER.match(bare[1])
+        if named and (not parts or len(parts) == 1):
+            return [(*(x + bare.start(1) for x in named.span(1)), True)]
+        return parts if len(parts) > 1 else [(*bare.span(1), False)]
+
+    def after_type(self, k: int) -> int:
+        """Where a type that begins here ends in an assignment, else 0."""
+        depth = 0
+        for j in range(k, min(k + MOST_TYPE, len(self.tokens))):
+            t = self.tokens[j]
+            if depth == 0 and t.kind == "op" and t.text in ("=", ":="):
+                return j if j > k else 0
+            if t.text in ("[", "(", "<"):
+                depth += 1
+            elif t.text in ("]", ")", ">"):
+                depth -= 1
+            elif t.text == ">>":
+                depth -= 2
+            elif t.kind in ("text", "end") or (t.kind == "mark" and t.text not in "&*.?'" and not (depth and t.text == ",")) or (t.kind == "op" and t.text not in ("|", "::", "->", "?", "<", ">", ":")):
+                return 0
+        return 0
+
+    def pairs(self) -> Iterator[_Pair]:
+        for k, t in enumerate(self.tokens):
+            if t.kind not in ("name", "text"):
+                continue
+            j = k + 1
+            if t.kind == "text" and self.is_mark(j, ","):  # an argument that names the next one, or an attribute
+                parts, _ = self.value(self.past_ends(j + 1))
+                if parts and not parts[0][2]:
+                    yield _Pair(t.text, t.start, parts)
+            if t.kind == "name" and self.is_mark(j, "( {") and self.kind(j + 1) == "text" and not _LOOKUP.search(t.text):
+                parts, end = self.value(j + 1)
+                if self.is_mark(end, ") }"):
+                    yield _Pair(t.text, t.start, parts)
+            if t.kind == "name" and self.is_mark(k - 1, "- --") and self.text[t.start - 2 : t.start] == "--" and (flag := _FLAG_VALUE.match(self.text, t.end)):
+                yield _Pair(t.text, t.start, [(*flag.span(1), False)])
+            if t.kind == "name" and self.is_mark(k - 1, "- --") and self.kind(j) == "text" and self.text[t.end : t.end + 1] == " ":
+                yield _Pair(t.text, t.start, self.value(j)[0])
+            while self.is_mark(j, "] )") or (self.is_mark(j, "[") and self.is_mark(j + 1, "]")):
+                j += 2 if self.is_mark(j, "[") else 1
+            if t.kind == "name" and self.kind(j) in ("name", "mark") and (typed := self.after_type(j)):  # a type stands between name and operator
+                yield _Pair(t.text, t.start, self.bound(typed + 1))
+            elif self.is_mark(j, "= := =>"):
+                parts = self.bound(j + 1)
+                yield _Pair(t.text, t.start, parts)
+                if t.text.lower() in _KEYS and len(parts) == 1 and not parts[0][2] and self.kind(j + 2) == "name" and self.is_mark(j + 3, "="):
+                    yield _Pair(self.text[slice(*parts[0][:2])], t.start, self.bound(j + 4))
+            elif self.is_mark(j, ":"):
+                typed = self.after_type(j + 1)
+                yield _Pair(t.text, t.start, self.bound((typed or j) + 1))
+
+
+def _resolved(text: str, pair: _Pair, bound: dict[str, list[_Pair]]) -> list[tuple[int, int]]:
+    """Spans of the literals that a pair stands for; a name is its last binding before this place, else its first one.
+
+    A lone word that nothing binds is a literal itself if it has a digit, as in configuration files.
+    """
+    out, through, todo = [], {id(pair)}, [(pair, part) for part in reversed(pair.parts)]
+    while todo:
+        of, (a, b, named) = todo.pop()
+        if not named:
+            out.append((a, b))
+            continue
+        name = text[a:b]
+        options = bound.get(name) or bound.get(name.rsplit(".", 1)[-1]) or []
+        place = bisect_left(options, of.at, key=lambda p: p.at)
+        other = options[max(0, place - 1)] if options else None
+        if other is not None:
+            if id(other) not in through:
+                through.add(id(other))
+                todo += [(other, part) for part in reversed(other.parts)]
+        elif len(of.parts) == 1 and any("0" <= c <= "9" for c in name):
+            out.append((a, b))
+    return out
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose own or forwarded target names are sensitive."""
-    bound: dict[str, tuple[int, int]] = {}
+    lower = text.lower()
+    if not any(w in lower for w in _ROOTS) or not _SITE.search(text):
+        return []
+    pairs, todo = [], [(0, len(text))]
+    while todo:
+        tokens, elements, comments = _tokens(text, *todo.pop())
+        pairs += elements + [p for p in _Reader(text, tokens).pairs() if p.parts]
+        todo += comments
+    pairs.sort(key=lambda p: p.at)
+    bound: dict[str, list[_Pair]] = {}
+    for p in pairs:
+        bound.setdefault(p.name, []).append(p)
     found: set[tuple[int, int]] = set()
-    for op in _OPERATOR.finditer(text):
-        left = _NAME.search(text, max(0, op.start() - NAME_REACH), op.start())
-        right = _VALUE.match(text, op.end())
-        if not left or not right:
+    for p in pairs:
+        points = name_points(p.name)
+        if not points:
             continue
-        name = left[1]
-        span = right.span(2) if right[1] else right.span(3)
-        if not right[1] and (same := _IDENTIFIER.match(right[3])) and same[1] in bound:
-            span = bound[same[1]]  # a constant that was bound before
-        bound[name] = span
-        value = text[slice(*span)]
-        if (points := name_points(name)) and points + literal_points(value) >= LEXED_LEAST:
-            found.add(span)
+        spans = _resolved(text, p, bound)
+        if spans and points + literal_points("".join(text[a:b] for a, b in spans)) >= LEXED_LEAST:
+            found.update(s for s in spans if s[0] < s[1])
     return sorted(found)
 
 
@@ -95,7 +325,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, of one whole text."""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in lexed_spans(text)] if "=" in text or ":" in text else []
+    more = [(a, 3, b) for a, b in lexed_spans(text)]
     return base, sorted(base + more)
 
 
@@ -104,7 +334,7 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, n_lexed, base_sha256, spans.
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_lexed.
 
     Spans are code points of the whole text, end exclusive, ordered by start and
     then kind. A null text is empty: no spans. Identifiers pass through, null or
@@ -117,14 +347,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in batch.column(1):
                 base, spans = scan(text.as_py() or "")
                 kinds = Counter(k for _, k, _ in spans)
-                row = (kinds[0], kinds[1], kinds[2], kinds[3], hashlib.sha256(_named(base).encode()).hexdigest(), _named(spans))
+                row = (kinds[0], kinds[1], kinds[2], hashlib.sha256(_named(base).encode()).hexdigest(), _named(spans), kinds[3])
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            arrays = [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(c, pa.string()) for c in out[4:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_assign", "n_access", "n_hex", "n_lexed", "base_sha256", "spans"])
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+            arrays = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_lexed"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_lexed long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
