@@ -80,20 +80,30 @@ def test_real_documents_against_brute_force(spark):
 
 def test_every_word_and_pair_counts_exactly(spark, monkeypatch):
     """Many distinct words and pairs, small chunks and parts, few and many near pairs, against counts in Python."""
-    texts = [" ".join(f"w{(k * 7919 + j * (1 + k % 3)) % 90_000}" for j in range(300)) + " the end" for k in range(400)] + ["The end", "the the the", None, "", "the"]
-    wanted, other = texts[:20], [*texts[10:300], "words of another corpus", None, "the end the end"]
+    texts = [" ".join(f"w{(k * 7919 + j * (1 + k % 3)) % 90_000}" for j in range(200)) + " the end" for k in range(150)] + ["The end", "the the the", None, "", "the"]
+    wanted, other = texts[:20], [*texts[10:140], "words of another corpus", None, "the end the end"]
     monkeypatch.setattr(lm_scoring, "HELD_TOKENS", 5_000)
     monkeypatch.setattr(lm_scoring, "HELD_WORDS", 3_000)
     monkeypatch.setattr(lm_scoring, "PART_TOKENS", 10_000)
     table = lambda side: spark.createDataFrame(list(enumerate(side)), "doc_id long, text string").repartition(5)
     docs = table(texts)
-    for share in (64, 1 << 18):
-        monkeypatch.setattr(lm_scoring, "NEAR_SHARE", share)
-        monkeypatch.setattr(lm_scoring, "HOT_SHARE", share)
-        agrees(lm_scoring.score(docs, table(wanted)).collect(), brute(texts, wanted))
+    monkeypatch.setattr(lm_scoring, "NEAR_SHARE", 64)
+    monkeypatch.setattr(lm_scoring, "HOT_SHARE", 64)
+    agrees(lm_scoring.score(docs, table(wanted)).collect(), brute(texts, wanted))
+    monkeypatch.setattr(lm_scoring, "NEAR_SHARE", 1 << 18)
     agrees(lm_scoring.score(docs, table(wanted), table(other)).collect(), brute(texts, wanted, other))
 
 
+def test_groups_of_pairs_whose_mixed_keys_collide(monkeypatch):
+    draw = np.random.default_rng(1)
+    b, w = draw.integers(0, 5, 200), draw.integers(0, 5, 200)
+    for mixed in (lm_scoring._mixed, lambda b, w: np.zeros(len(b), np.uint64)):
+        monkeypatch.setattr(lm_scoring, "_mixed", mixed)
+        order, first = lm_scoring._grouped(b, w)
+        sizes = Counter(dict(zip(zip(b[order][first].tolist(), w[order][first].tolist(), strict=True), np.diff(np.append(first, 200)).tolist(), strict=True)))
+        assert sizes == Counter(zip(b.tolist(), w.tolist(), strict=True)) and len(first) == len(sizes)
+
+
 def test_planes_round_trip():
     for arrays in ([np.arange(5, dtype=np.int64)], [np.zeros(0, np.uint32), np.array([1.5, -2], np.float32), np.array([7], np.uint8)]):
         back = lm_scoring._arrays(lm_scoring._planes(*arrays))

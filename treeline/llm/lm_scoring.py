@@ -21,7 +21,6 @@ first and looked up in the task, so none of them meets in one part.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +33,8 @@ from .runtime import cut
 
 #: Smoothing mass of the unigram below a pair.
 MASS = 50.0
-#: Words and tokens that a counting task holds before it sends what it has.
-HELD_WORDS, HELD_TOKENS = 200_000, 2_000_000
-#: Words that a task remembers the keys of, up to so many characters each.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Words and tokens that a task holds before it sends what it has.
+HELD_WORDS, HELD_TOKENS = 400_000, 1_500_000
 #: One token in so many makes a pair near (looked up in the task), a word frequent: there can't be more of either.
 NEAR_SHARE, HOT_SHARE = 1 << 18, 1 << 18
 #: Tokens of a part at most, as far as shares go, and at least where there are fewer parts than shuffle partitions.
@@ -49,23 +46,25 @@ SLICE = 4_096
 _TARGET, _BACKGROUND, _DOCS, _WORDS, _CHUNK = range(5)
 
 
-class Keys:
-    """Keys of the words of texts, with a cache."""
+class Numbers(dict):
+    """Numbers of words in the order they are met; ``keys`` has the key of each."""
 
     def __init__(self, seed: int):
-        self.seed, self.known = seed, {}
+        super().__init__()
+        self.seed, self.keys = seed, []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.keys)
+        self.keys.append(key_of(word, self.seed))
+        return number
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").lower().split()
-        known, out = self.known, np.empty(len(words), np.int64)
-        for k, word in enumerate(words):
-            key = known.get(word)
-            if key is None:
-                key = key_of(word, self.seed)
-                if len(known) < CACHE_WORDS and len(word) <= CACHE_CHARS:
-                    known[word] = key
-            out[k] = key
-        return out
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def forget(self) -> None:
+        self.clear()
+        self.keys.clear()
 
 
 def key_of(word: str, seed: int) -> int:
@@ -79,18 +78,16 @@ def _mixed(b: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts equal rows together, and where each group begins."""
-    order = np.lexsort(columns[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
-    return order, np.flatnonzero(new)
-
-
-def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(b, w) of one text that has words: each word after the one before it, and the last one."""
-    return np.concatenate([[START], keys[:-1], [END]]), np.append(keys, keys[-1])
+def _grouped(b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts equal pairs together, and where each group begins."""
+    order = np.argsort(mixed := _mixed(b, w))
+    mixed, b, w = mixed[order], b[order], w[order]
+    new = (b[1:] != b[:-1]) | (w[1:] != w[:-1])
+    if (new & (mixed[1:] == mixed[:-1])).any():  # different pairs have one mixed key
+        again = np.lexsort((b, w))
+        order, b, w = order[again], b[again], w[again]
+        new = (b[1:] != b[:-1]) | (w[1:] != w[:-1])
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), new]))
 
 
 def _planes(*arrays: np.ndarray) -> bytes:
@@ -109,15 +106,15 @@ def _arrays(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], keys: Keys, columns: int, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Rows (all columns but the text, which is the last) and keys of their words, about ``most`` tokens at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], numbers: Numbers, columns: int, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Rows (all columns but the text, which is the last) and numbers of their words, about ``most`` tokens at a time."""
     rows, found, size = [], [], 0
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             texts = part.column(columns - 1).to_pylist()
             rows += zip(*(part.column(k).to_pylist() for k in range(columns - 1)), strict=True) if columns > 1 else [()] * len(texts)
-            found += [keys.of(t) for t in texts]
+            found += [numbers.of(t) for t in texts]
             size += sum(map(len, found[-len(texts) :]))
             if size > most:
                 yield rows, found
@@ -126,11 +123,36 @@ def _chunks(batches: Iterator[pa.RecordBatch], keys: Keys, columns: int, most: i
         yield rows, found
 
 
-def _flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(b, w, text) of all pairs of some texts."""
-    pairs = [(k, *_pairs(keys)) for k, keys in enumerate(found) if len(keys)]
-    none = [np.zeros(0, np.int64)]
-    return *(np.concatenate([p[c] for p in pairs] or none) for c in (1, 2)), np.repeat([p[0] for p in pairs] or [0], [len(p[1]) for p in pairs] or [0])
+def _postings(found: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (b, w, text) of all pairs of some texts by w, b and text, and how often each occurs.
+
+    Each word stands after the one before it, the first one after START, and the
+    last one once more before END; here these are the numbers ``words`` and one more.
+    """
+    some = [k for k, numbers in enumerate(found) if len(numbers)]
+    if not some:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    start, end = np.int64([words]), np.int64([words + 1])
+    b = np.concatenate([x for k in some for x in (start, found[k][:-1], end)])
+    w = np.concatenate([x for k in some for x in (found[k], found[k][-1:])])
+    text = np.repeat(some, [len(found[k]) + 1 for k in some])
+    if (words + 2) ** 2 * len(found) < 2**62:
+        rows = np.sort((w * (words + 2) + b) * len(found) + text)
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        pair, text = np.divmod(rows[first], len(found))
+        w, b = np.divmod(pair, words + 2)
+    else:  # too many words and texts for one number
+        order = np.lexsort((text, b, w))
+        w, b, text = w[order], b[order], text[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(w) != 0) | (np.diff(b) != 0) | (np.diff(text) != 0)]))
+        w, b, text = w[first], b[first], text[first]
+        rows = order
+    return b, w, text, np.diff(np.append(first, len(rows)))
+
+
+def _named(numbers: Numbers) -> np.ndarray:
+    """Keys by number, START and END after them."""
+    return np.array([*numbers.keys, START, END], np.int64)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", seed: int = 0) -> DataFrame:
@@ -141,38 +163,27 @@ def word_counts(docs: DataFrame, text_col: str = "text", seed: int = 0) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
         schema = pa.schema([("word", pa.string()), ("key", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+        numbers, total, texts = Numbers(seed), np.zeros(0, np.int64), 0
 
         def send() -> pa.RecordBatch:
-            columns = [list(held), [key_of(w, seed) if w else START for w in held], [0] * len(held), list(held.values())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            """The same batches, their words counted on the way."""
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
-                    for text in part.column(0).to_pylist():
-                        words = (text or "").lower().split()
-                        held.update(words)
-                        held[""] += bool(words)
-                    yield part
-                    if len(held) > HELD_WORDS:
-                        waiting.append(send())
-                        held.clear()
-
-        waiting: list[pa.RecordBatch] = []
-        for _, found in _chunks(seen(), Keys(seed), 1, HELD_TOKENS):
-            yield from waiting
-            waiting.clear()
-            b, w, _ = _flat(found)
-            order, first = _grouped(w, b)
-            n = np.diff(np.append(first, len(order)))
-            often = np.flatnonzero(n >= max(2, len(order) // NEAR_SHARE))
-            at = order[first[often]]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(w[at]), pa.array(b[at]), pa.array(n[often])], schema=schema)
-        yield from waiting
+            n = len(numbers)
+            return pa.RecordBatch.from_arrays([pa.array([*numbers, ""], pa.string()), pa.array([*numbers.keys, START], pa.int64()), pa.array(np.zeros(n + 1, np.int64)), pa.array(np.append(total, texts))], schema=schema)
+
+        for _, found in _chunks(batches, numbers, 1, HELD_TOKENS):
+            b, w, text, n = _postings(found, len(numbers))
+            total = np.pad(total, (0, len(numbers) - len(total))) + np.bincount(w, np.where(b <= len(numbers), n, 0), len(numbers)).astype(np.int64)
+            texts += sum(map(bool, map(len, found)))
+            first = np.flatnonzero(np.diff(w * (len(numbers) + 2) + b, prepend=-1)) if len(w) else np.zeros(0, np.int64)
+            times = np.add.reduceat(n, first) if len(first) else first
+            often = times >= max(2, int(n.sum()) // NEAR_SHARE)
+            name = _named(numbers)
+            at = first[often]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(name[w[at]]), pa.array(name[b[at]]), pa.array(times[often])], schema=schema)
+            if len(numbers) > HELD_WORDS:
+                yield send()
+                numbers.forget()
+                total, texts = total[:0], 0
         yield send()
 
     return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "word string, key long, b long, n long")
@@ -245,12 +256,15 @@ def _near_counts(corpora: list[tuple[DataFrame, str, int]], model: Model, near:
 
     def counted(side: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            near, total = shared.value, None
-            for _, found in _chunks(batches, Keys(seed), 1, HELD_TOKENS):
-                b, w, _ = _flat(found)
-                at = near.find(b, w)
-                n = np.bincount(at[at >= 0], minlength=len(near.mixed))
+            near, total, numbers = shared.value, None, Numbers(seed)
+            for _, found in _chunks(batches, numbers, 1, HELD_TOKENS):
+                b, w, _, n = _postings(found, len(numbers))
+                name = _named(numbers)
+                at = near.find(name[b], name[w])
+                n = np.bincount(at[at >= 0], n[at >= 0], len(near.mixed)).astype(np.int64)
                 total = n if total is None else total + n
+                if len(numbers) > HELD_WORDS:
+                    numbers.forget()
             if total is not None:
                 slices = range(0, len(total), SLICE)
                 yield pa.RecordBatch.from_arrays([pa.array([lo // SLICE for lo in slices], pa.int64()), pa.array([side] * len(slices), pa.int32()), pa.array([_planes(total[lo : lo + SLICE]) for lo in slices], pa.binary())], ["slice", "side", "raw"])
@@ -302,31 +316,40 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
     def postings(kind: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near, terms, (hot_keys, _, _) = shared.value
-            for rows, found in _chunks(batches, Keys(model.seed), 3 if kind == _DOCS else 1, HELD_TOKENS):
-                b, w, text = _flat(found)
+            numbers = Numbers(model.seed)
+            for rows, found in _chunks(batches, numbers, 3 if kind == _DOCS else 1, HELD_TOKENS):
+                b, w, text, n = _postings(found, len(numbers))
+                name = _named(numbers)
                 chunk = rows[0][0] if kind == _DOCS else 0
-                at = near.find(b, w)
+                at = near.find(name[b], name[w])
                 out = []
                 if kind == _DOCS:
-                    mine, of = at[at >= 0], text[at >= 0]
+                    mine, of, times = at[at >= 0], text[at >= 0], n[at >= 0]
                     size = np.array([len(f) for f in found], np.int64)
-                    sums = [np.bincount(of, terms[side][mine], len(rows)) + model.start(side) * (size > 0) for side in (0, 1)]
+                    sums = [np.bincount(of, terms[side][mine] * times, len(rows)) + model.start(side) * (size > 0) for side in (0, 1)]
                     ids = [r[1] for r in rows]
                     known = np.array([i is not None for i in ids], np.uint8)
                     out.append((chunk % parts, _CHUNK, chunk, _planes(np.array([i or 0 for i in ids], np.int64), known, size, *sums)))
-                    b, w, text = (x[at < 0] for x in (b, w, text))
+                    keep = at < 0
                 else:
-                    keep = (at < 0) & (b != END)
-                    b, w, text = b[keep], w[keep], np.zeros(keep.sum(), np.int64)
-                part = part_of(b, w, hot_keys)
-                order, first = _grouped(part, w, b, text)
-                n = np.diff(np.append(first, len(order))).astype(np.uint32)
-                order = order[first]
-                part, b, w, text = part[order], b[order], w[order], text[order].astype(np.uint32)
+                    keep = (at < 0) & (b != len(numbers) + 1)
+                    text = np.zeros(len(b), np.int64)
+                b, w, text, n = b[keep], w[keep], text[keep].astype(np.uint32), n[keep].astype(np.uint32)
+                part = part_of(name[b], name[w], hot_keys)
+                order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+                part, b, w, text, n = (x[order] for x in (part, b, w, text, n))
                 edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+                place = np.zeros(len(name), np.uint32)
                 for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    new = np.flatnonzero(np.diff(w[lo:hi], prepend=w[lo] - 1))
-                    out.append((int(part[lo]), kind, chunk, _planes(w[lo:hi][new], np.diff(np.append(new, hi - lo)).astype(np.uint32), b[lo:hi], text[lo:hi], n[lo:hi])))
+                    # keys of the part's words once, then their places; text and n by w and b
+                    used = np.zeros(len(name), bool)
+                    used[w[lo:hi]] = used[b[lo:hi]] = True
+                    used = np.flatnonzero(used)
+                    place[used] = np.arange(len(used))
+                    new = np.flatnonzero(np.diff(w[lo:hi], prepend=-1))
+                    out.append((int(part[lo]), kind, chunk, _planes(name[used], place[w[lo:hi][new]], np.diff(np.append(new, hi - lo)).astype(np.uint32), place[b[lo:hi]], text[lo:hi], n[lo:hi])))
+                if len(numbers) > HELD_WORDS:
+                    numbers.forget()
                 for lo in range(0, len(out), 64):
                     p, k, c, raw = zip(*out[lo : lo + 64], strict=True)
                     none = pa.nulls(len(p), pa.int64())
@@ -354,13 +377,13 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
         out = [(c, r) for k, c, r in zip(kind, chunk, raw, strict=True) if k == _CHUNK]
         for k, c, r in zip(kind, chunk, raw, strict=True):
             if k in (_TARGET, _BACKGROUND, _DOCS):
-                w, times, b, text, n = _arrays(r)
-                for column, value in zip(held, (np.repeat(w, times), b, text, n, np.full(len(b), len(chunks) if k == _DOCS else -1 - k, np.int32)), strict=True):
+                name, w, times, b, text, n = _arrays(r)
+                for column, value in zip(held, (np.repeat(name[w], times), name[b], text, n, np.full(len(b), len(chunks) if k == _DOCS else -1 - k, np.int32)), strict=True):
                     column.append(value)
                 chunks.append(c)
         if chunks:
             w, b, text, n, source = (np.concatenate(c) for c in held)
-            order, first = _grouped(w, b)
+            order, first = _grouped(b, w)
             group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
             w, b, text, n, source = (x[order] for x in (w, b, text, n, source))
             place = np.searchsorted(known[0], w[first])
@@ -373,7 +396,9 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
                 of_words = np.where(there, known[1 + side][place], 0) if len(known[0]) else np.zeros(len(first))
                 sums.append(model.terms(side, b[first], pairs, of_words)[group] * n)
             scored = np.flatnonzero(source >= 0)
-            order, first = _grouped(source[scored], text[scored])
+            document = source[scored].astype(np.int64) << 32 | text[scored]
+            order = np.argsort(document, kind="stable")
+            first = np.flatnonzero(np.diff(document[order], prepend=-1))
             order = scored[order]
             sums = [np.add.reduceat(s[order], first).astype(np.float32) if len(first) else np.zeros(0, np.float32) for s in sums]
             source, text = source[order][first], text[order][first]
