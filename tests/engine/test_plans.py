@@ -3,6 +3,7 @@ import subprocess
 import pytest
 
 import __spark_entry__ as entry
+from treeline.functions import cursors, rust_tree
 from treeline.plans import structural
 from treeline.sources import worktree
 
@@ -25,8 +26,9 @@ def test_discovery(spark, repository):
     root = worktree.resolve_root(repository)
     files = worktree.discover(spark, root)
     got = {r.path: r.reason for r in files.collect()}
-    assert got == {"src/lib.rs": None, "src/a.rs": None, "src/.hidden.rs": None, "src/b.gen.rs": None, "src/nul.rs": "nul_byte", "src/bad.rs": "invalid_utf8", "src/link.rs": "symlink"}
-    assert {r.reason: r.skipped for r in worktree.skip_counts(files).collect() if r.skipped} == {"nul_byte": 1, "invalid_utf8": 1, "symlink": 1}
+    assert got == {"src/lib.rs": None, "src/a.rs": None, "src/.hidden.rs": None, "src/b.gen.rs": None, "src/nul.rs": "binary", "src/bad.rs": "non_utf8", "src/link.rs": "symlink"}
+    counts = {r.reason: (r.skipped, r.examples) for r in worktree.skip_counts(files).collect()}
+    assert set(counts) == set(worktree.REASONS) and {k: v for k, v in counts.items() if v[0]} == {"binary": (1, ["src/nul.rs"]), "non_utf8": (1, ["src/bad.rs"]), "symlink": (1, ["src/link.rs"])}
     assert worktree.snapshot_id(files, root) == worktree.snapshot_id(files.repartition(3), root) != worktree.snapshot_id(files, root + "x")
     scope = worktree.Scope.of(root, ["src"], ["src/*.rs", "**/lib.rs"])
     assert {r.path for r in files.where(scope.condition()).collect()} == {p for p in got if scope.admits(p)}
@@ -39,6 +41,82 @@ def test_discovery(spark, repository):
         worktree.limits(max_files=0)
 
 
+def test_discovery_stops_at_boundaries_and_limits(spark, tmp_path):
+    root = tmp_path / "w"
+    for name, raw in {
+        ".git/HEAD": b"", ".gitignore": b"*.{log,tmp}.rs\n{\n[\n/only.rs\nsub/deep.rs\n\\#odd.rs\nkeep*.rs\n!keep1.rs\n", "a.log.rs": b"", "b.tmp.rs": b"", "only.rs": b"", "x/only.rs": b"fn o() {}", "sub/deep.rs": b"",
+        "x/sub/deep.rs": b"fn d() {}", "#odd.rs": b"", "keep1.rs": b"fn k() {}", "keep2.rs": b"", "nested/.git": b"gitdir: elsewhere", "nested/n.rs": b"fn n() {}", "big.rs": b"// " + b"x" * 500,
+        "many/a.rs": b"\0", "many/b.rs": b"\0", "many/c.rs": b"\0", "many/d.rs": b"\0",
+    }.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(raw)
+    (root / "folder").symlink_to("x")
+    with open(bytes(root) + b"/caf\xe9.rs", "wb") as f:
+        f.write(b"fn c() {}")
+    found = worktree.survey(spark, str(root))
+    got = {(r.path or r.path_bytes_hex, r.reason, r.detail_code) for r in found.files.collect()}
+    fine = {(p, None, None) for p in ("x/only.rs", "x/sub/deep.rs", "keep1.rs", "big.rs")}
+    binary = {(f"many/{c}.rs", "binary", "FILE_INELIGIBLE") for c in "abcd"}
+    odd = {("nested", "nested_repository", "POLICY_BOUNDARY"), ("folder", "symlink", "POLICY_BOUNDARY"), (b"caf\xe9.rs".hex(), "non_utf8_path", "PATH_ENCODING"), (".", "traversal_error", "IGNORE_READ_FAILED")}
+    assert got == fine | binary | odd
+    counts = {r.reason: r for r in worktree.skip_counts(found.files).collect()}
+    assert (counts["binary"].skipped, counts["binary"].examples, counts["binary"].examples_omitted) == (4, ["many/a.rs", "many/b.rs", "many/c.rs"], 1)
+    assert found.coverage() == {"scan_exhausted": True, "eligible_scan_complete": False, "scope_exhaustive": False}
+    few = worktree.survey(spark, str(root), max_files=3)
+    assert few.truncation == ["max_files: narrow paths/globs"] and not few.scan_exhausted and few.discovered == 3
+    small = worktree.survey(spark, str(root), max_source_bytes=510)  # big.rs has 503, the next eligible one 9
+    assert [r.path for r in small.files.where("reason is null").collect()] == ["big.rs"] and small.truncation == ["max_source_bytes: narrow paths/globs"]
+    for bad in ("a{b", "[z-a].rs", "/x", "!x", "x/", "{a,b}.rs"):
+        with pytest.raises(worktree.ScopeError):
+            worktree.glob_regex(bad)
+
+
+def test_search_page(spark, tmp_path, monkeypatch):
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "a.rs").write_bytes(b"".join(b"fn a%d() { x%d.unwrap(); }\n" % (k, k) for k in range(5)))
+    (tmp_path / "b.rs").write_bytes(b"fn broken( { \n// lead\n#[inline]\nfn b() {\n    // near\n    y.unwrap(); }\n")
+    (tmp_path / "c.rs").write_bytes(b"fn c() { z.unwrap(); z.unwrap(); }\n")
+    root, opened = str(tmp_path), cursors.Cursors()
+    ask = lambda **more: structural.search_page(spark, root, opened, "$a.unwrap()", **more)
+    whole = ask()
+    assert [m["id"] for m in whole.matches if m["path"] != "b.rs"] == [*(f"m/0/{k}" for k in range(5)), "m/2/0", "m/2/1"]
+    assert (whole.has_more, whole.next_cursor, whole.counts["total_is_exact"], whole.counts["eligible_files"]) == (False, None, True, 3)
+    assert whole.status == "complete" and whole.coverage["scope_exhaustive"] and {d["path"] for d in whole.diagnostics} == {"b.rs"}
+    got, token = [], None
+    while True:
+        page = ask(cursor=token, page_size=3)
+        got += [m["id"] for m in page.matches]
+        token = page.next_cursor
+        if token is None:
+            break
+        assert page.has_more and page.status == "partial" and "page_size" in page.truncation and page.counts["total_matches"] is None
+    assert got == [m["id"] for m in whole.matches]
+    tight = ask(response_bytes=10)
+    assert len(tight.matches) == 1 and tight.matches[0]["text"] is None and {"field_omissions", "response_bytes"} <= set(tight.truncation)
+    token = ask(page_size=1).next_cursor
+    with pytest.raises(cursors.CursorError) as e:
+        ask(cursor=token, page_size=2)
+    assert e.value.code == "CURSOR_SCOPE_MISMATCH"
+    (tmp_path / "c.rs").write_bytes(b"fn c() {}\n")
+    with pytest.raises(cursors.CursorError) as e:
+        ask(cursor=token, page_size=1)
+    assert e.value.code == "STALE_CURSOR"
+    near = [m for m in whole.matches if m["path"] == "b.rs"]
+    assert all(m["file_has_recovery"] for m in near) and all(t["classification"] for m in near for t in m["trivia"])
+    monkeypatch.setattr(structural, "MAX_CANDIDATES", 3)
+    rows = structural._rendered("a.rs", b"f(1);", rust_tree.parse(b"f(1);"), [(0, None, {})] * 4, 10, 0, 0)
+    assert [r[-2] for r in rows] == [structural.CANDIDATE_LIMIT]
+
+
+def test_match_enrichment(spark):
+    source = b"// intro\n\n// lead\n#[inline]\nfn b() {\n    // near\n    y.unwrap() /* after */;\n}\n"
+    files = spark.createDataFrame([("b.rs", bytearray(source))], "path string, source binary")
+    row = structural.search(files, "$a.unwrap()").first()
+    assert (row.item_start, row.leading_start) == (source.index(b"fn b"), 0)
+    assert (row.file_has_recovery, row.subtree_has_recovery, row.enclosing_has_recovery) == (False, False, False)
+    assert [source[t.start : t.end].decode() for t in row.trivia] == ["// intro", "// lead", "// near", "/* after */"]
+
+
 def test_search_pages_and_replacement(spark, repository):
     files = worktree.discover(spark, repository).where("reason is null").cache()
     found = structural.search(files, "$a.unwrap()")

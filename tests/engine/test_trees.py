@@ -6,11 +6,13 @@ from treeline.functions import advice, edits, items, moves, rust_tree, trivia
 from treeline.functions.rust_patterns import PatternError, compile_pattern, compile_template, matches
 from treeline.functions.tree_queries import QueryError, arity, compile_query, run_query
 
-SOURCE = b"""fn f() {
-    thing.unwrap(/* c */); thing.unwrap(x); thing.unwrap::<T>();
-    let s = "a.unwrap()"; m!(a.unwrap());
-    pair(x,x); pair(x,y); pair((x /*c*/),(x /*c*/)); pair((x + y),(x+y)); pair(x,y,); pair(1,1);
-    thing.expect("why"); thing.expect();
+SOURCE = b"""fn shop() {
+    let till = open_till("north");
+    till.close(); till.close(now); till.close::<Fast>(); log!(till.close());
+    till.close(/* soon */);
+    swap(left, right); swap(0, 0); swap(left /* first */, left); swap((a), (a)); swap(a + 1, a+1); swap(0, 0,);
+    rate = price * 3 + tax;
+    limit(price*3 + tax, "till.close()");
 }
 """
 
@@ -23,12 +25,12 @@ def found(pattern, source=SOURCE):
 @pytest.mark.parametrize(
     ("pattern", "want"),
     [
-        ("$a.unwrap()", ["thing.unwrap(/* c */)"]),
-        ("$a.expect($b)", ['thing.expect("why")']),
-        ("pair($a,$a)", ["pair(x,x)", "pair((x /*c*/),(x /*c*/))", "pair(1,1)"]),
-        ("pair($a, $b)", ["pair(x,x)", "pair(x,y)", "pair((x /*c*/),(x /*c*/))", "pair((x + y),(x+y))", "pair(1,1)"]),
-        ("pair($a,$b,)", ["pair(x,y,)"]),
-        ("x + y", ["x + y", "x+y"]),
+        ("$who.close()", ["till.close()", "till.close(/* soon */)"]),
+        ("open_till($side)", ['open_till("north")']),
+        ("swap($p, $p)", ["swap(0, 0)", "swap(left /* first */, left)", "swap((a), (a))"]),
+        ("swap($p, $q)", ["swap(left, right)", "swap(0, 0)", "swap(left /* first */, left)", "swap((a), (a))", "swap(a + 1, a+1)"]),
+        ("swap($p, $q,)", ["swap(0, 0,)"]),
+        ("$n * 3 + tax", ["price * 3 + tax", "price*3 + tax"]),
     ],
 )
 def test_golden_patterns(pattern, want):
@@ -83,12 +85,12 @@ def test_recovery_keeps_what_follows():
 def test_tree_queries():
     tree = rust_tree.parse(SOURCE)
     texts = lambda q: [m.text(SOURCE).decode() for _, m, _ in run_query(compile_query(q), tree, SOURCE)]
-    assert texts('((call_expression function: (field_expression field: (field_identifier) @m) arguments: (arguments) @n) @match (#eq? @m "unwrap") (#rust-arity? @n "0"))') == ["thing.unwrap(/* c */)"]
+    assert texts('((call_expression function: (field_expression field: (field_identifier) @m) arguments: (arguments) @n) @match (#eq? @m "close") (#rust-arity? @n "0"))') == ["till.close()", "till.close(/* soon */)"]
     assert texts("(source_file (function_item name: (identifier) @n) @match)") == [SOURCE.decode().rstrip("\n")]
-    assert len(texts("(block_comment) @match")) == 3
-    assert texts('(call_expression arguments: (arguments . (string_literal) .)) @match') == ['thing.expect("why")']
-    assert texts('[(integer_literal) (string_literal)] @match') == ['"a.unwrap()"', "1", "1", '"why"']
-    assert texts('((call_expression function: (identifier) @f) @match (#match? @f "^p.*r$") (#not-any-of? @f "x"))')[:1] == ["pair(x,x)"]
+    assert len(texts("(block_comment) @match")) == 2
+    assert texts('(call_expression arguments: (arguments . (string_literal) .)) @match') == ['open_till("north")']
+    assert texts('[(integer_literal) (string_literal)] @match') == ['"north"', "0", "0", "1", "1", "0", "0", "3", "3", '"till.close()"']
+    assert texts('((call_expression function: (identifier) @f) @match (#match? @f "^s.*p$") (#not-any-of? @f "x"))')[:1] == ["swap(left, right)"]
     for bad, code in [("(a)", "INVALID_QUERY_ROOT"), ("(a) @match @match", "INVALID_QUERY_ROOT"), ("((a) @match (#set! x y))", "INVALID_QUERY"), ("(a", "INVALID_QUERY"), ("", "INVALID_QUERY")]:
         with pytest.raises(QueryError) as e:
             compile_query(bad)
@@ -97,6 +99,26 @@ def test_tree_queries():
     assert [arity(n) for n in two.walk() if n.kind == "arguments"] == [2]
 
 
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("(arguments ((identifier) @a) (integer_literal) @b) @match", [("(x, 1)", ["x"], ["1"])]),
+        ('(arguments ((identifier) @a ",")* (identifier) @b) @match', [("(x, 1)", [], ["x"]), ("(x, y, z)", ["x", "y"], ["z"])]),
+        ("(arguments (identifier)* @a (identifier) @b) @match", [("(x, 1)", [], ["x"]), ("(x, y, z)", ["x", "y"], ["z"])]),
+        ("(arguments ((identifier) @a . (identifier) @b)) @match", [("(x, y, z)", ["x"], ["y"]), ("(x, y, z)", ["y"], ["z"])]),
+        ("(arguments (identifier)? @a (integer_literal) @b) @match", [("(x, 1)", ["x"], ["1"]), ("(1)", [], ["1"])]),
+        ("(arguments . (integer_literal) @b .) @match", [("(1)", [], ["1"])]),
+        ("(arguments ((identifier) @a (identifier) @b)+) @match", [("(x, y, z)", ["x"], ["y"])]),
+        ("(arguments (identifier)+ @a . (integer_literal) @b) @match", [("(x, 1)", ["x"], ["1"])]),
+    ],
+)
+def test_groups_and_quantifiers(query, want):
+    source = b"fn f() { g(x, 1); h(x, y, z); k(1); }"
+    tree = rust_tree.parse(source)
+    got = [(m.text(source).decode(), *([n.text(source).decode() for n in c.get(k, [])] for k in "ab")) for _, m, c in run_query(compile_query(query), tree, source)]
+    assert got == want
+
+
 def test_edits_and_diffs():
     source = b"one\ntwo\nthree"
     made = [edits.Edit(4, 7, b"two", b"2"), edits.Edit(0, 0, b"", b"zero\n")]

@@ -181,61 +181,68 @@ def _fits(item: Item, node: Node, bound: tuple):
     if not _kind_fits(item, node) or any(node.child(n) is not None for n in item.negated):
         return
     here = (*bound, *((c, node) for c in item.captures))
-    yield from _sequence(item, node.children, 0, 0, here, True)
+    for end, b in _siblings(item, node.children, 0, 0, here, False):
+        if len(item.children) in item.anchors and any(map(_counts, node.children[end:])):
+            continue
+        yield b
+
+
+def _counts(node: Node) -> bool:
+    """Whether an anchor sees the node."""
+    return node.named and node.kind not in COMMENTS
+
 
+def _siblings(item: Item, nodes: list[Node], k: int, at: int, bound: tuple, tight: bool):
+    """(end, bound) of every way in which children ``k``.. of the item match nodes from ``at``.
 
-def _sequence(item: Item, nodes: list[Node], k: int, at: int, bound: tuple, fresh: bool):
-    """Match children ``k``.. of the item against nodes from ``at``; gaps are free where no anchor stands."""
+    Gaps are free where no anchor stands; ``tight`` says that one stands before the
+    first child.
+    """
     if k == len(item.children):
-        if k in item.anchors and any(n.named and n.kind not in COMMENTS for n in nodes[at:]):
-            return
-        yield bound
+        yield at, bound
         return
     name, want = item.children[k]
-    anchored = k in item.anchors and fresh
-
-    def places(start: int, tight: bool):
-        for j in range(start, len(nodes)):
-            yield j
-            if tight and nodes[j].named and nodes[j].kind not in COMMENTS:
-                return
-
-    def repeated(start: int, bound: tuple, count: int):
-        if want.quantifier in ("*", "+", "?") and (want.quantifier == "?" and count == 1):
-            yield start, bound, count
+    tight = k in item.anchors or (k == 0 and tight)
+    if not want.quantifier:
+        for end, b in _once(want, name, nodes, at, bound, tight):
+            yield from _siblings(item, nodes, k + 1, end, b, False)
+        return
+    # as many as there are; fewer only where nothing fits after more
+    for count, end, b in reversed(_repeats(want, name, nodes, at, bound, tight)):
+        if want.quantifier == "+" and not count:
             return
         met = False
-        for j in places(start, anchored or count > 0 and False):
-            if name is not None and nodes[j].name != name:
-                continue
-            for b in _one(want, nodes, j, bound):
-                met = True
-                yield from repeated(b[0], b[1], count + 1)
-            if met:
-                break  # greedy: the first place where it fits
-        if not met:
-            yield start, bound, count
-
-    if want.quantifier:
-        least = 1 if want.quantifier == "+" else 0
-        for end, b, count in repeated(at, bound, 0):
-            if count >= least:
-                yield from _sequence(item, nodes, k + 1, end, b, True)
-        return
-    for j in places(at, anchored):
-        if name is not None and nodes[j].name != name:
-            continue
-        for end, b in _one(want, nodes, j, bound):
-            yield from _sequence(item, nodes, k + 1, end, b, True)
+        for way in _siblings(item, nodes, k + 1, end, b, False):
+            met = True
+            yield way
+        if met:
+            return
 
 
-def _one(want: Item, nodes: list[Node], j: int, bound: tuple):
+def _repeats(want: Item, name: str | None, nodes: list[Node], at: int, bound: tuple, tight: bool) -> list[tuple[int, int, tuple]]:
+    """(count, end, bound) after no, one, two ... occurrences, each at the first place where it fits."""
+    out = [(0, at, bound)]
+    while want.quantifier != "?" or len(out) < 2:
+        count, end, b = out[-1]
+        after = next(_once(want, name, nodes, end, b, tight and not count), None)
+        if after is None or after[0] == end:
+            break
+        out.append((count + 1, *after))
+    return out
+
+
+def _once(want: Item, name: str | None, nodes: list[Node], at: int, bound: tuple, tight: bool):
+    """(end, bound) of every occurrence of one child, or of a group of siblings, from ``at`` on."""
     if want.group:
-        for b in _sequence(want, nodes[j:], 0, 0, bound, True):
-            yield len(nodes), (*b, *((c, nodes[j]) for c in want.captures))
+        for end, b in _siblings(want, nodes, 0, at, bound, tight):
+            yield end, (*b, *((c, nodes[at]) for c in want.captures if at < len(nodes)))
         return
-    for b in _fits(want, nodes[j], bound):
-        yield j + 1, b
+    for j in range(at, len(nodes)):
+        if name is None or nodes[j].name == name:
+            for b in _fits(want, nodes[j], bound):
+                yield j + 1, b
+        if tight and _counts(nodes[j]):
+            return
 
 
 def arity(node: Node) -> int | None:

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.operators.scratch import settled
 
 
-def reach(edges: DataFrame, roots: DataFrame, limit: int = 32) -> DataFrame:
-    """(node, depth) reachable from ``roots`` (node) over ``edges`` (parent, child), at the least depth; stops at ``limit`` levels or a fixed point.
+def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth) reachable from ``roots`` (node) over ``edges`` (parent, child), at the least depth; cycles end at nodes that were reached before.
 
     Each level is settled, so level n costs one join with the level before it and not n of them.
     """
     found = roots.select("node", F.lit(0).alias("depth"))
     level = found
-    for depth in range(1, limit + 1):
+    for depth in itertools.count(1):
         level = level.select("node").join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
         level = settled(level.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
@@ -33,5 +35,7 @@ def bounded_hops(links: DataFrame, hops: int = 8) -> DataFrame:
         nxt = walk.join(unique.select(F.col("name").alias("at"), F.col("target").alias("to")), "at", "left")
         ended = nxt.where(F.col("to").isNull()).select("name", F.col("at").alias("terminal"), F.lit(step).alias("hops"))
         done = ended if done is None else done.unionByName(ended)
-        walk = nxt.where(F.col("to").isNotNull() & ~F.array_contains("seen", F.col("to"))).select("name", F.col("to").alias("at"), F.concat("seen", F.array("to")).alias("seen"))
+        walk = settled(nxt.where(F.col("to").isNotNull() & ~F.array_contains("seen", F.col("to"))).select("name", F.col("to").alias("at"), F.concat("seen", F.array("to")).alias("seen")))
+        if walk.isEmpty():
+            break
     return done

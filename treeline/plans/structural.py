@@ -6,26 +6,37 @@ rows stay in their partitions, so nothing is shuffled but pages and summaries.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions import edits as _edits
 from treeline.functions import items as _items
-from treeline.functions import rust_patterns, rust_tree, tree_queries, trivia
+from treeline.functions import cursors, rust_patterns, rust_tree, tree_queries, trivia
 from treeline.operators import graphs, ordering
+from treeline.operators.scratch import settled
+from treeline.sources import worktree
 
 SLICE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
 MATCHES = (
     "path string, match_ordinal int, pattern_index int, start_byte long, end_byte long, start_line int, start_col int, end_line int, end_col int, text string, "
-    "captures map<string, array<struct<start:long,end:long,text:string>>>, context_before array<string>, context_after array<string>, file_has_recovery boolean"
+    "captures map<string, array<struct<start:long,end:long,text:string>>>, context_before array<string>, context_after array<string>, file_has_recovery boolean, "
+    "subtree_has_recovery boolean, enclosing_has_recovery boolean, item_start long, leading_start long, trivia array<struct<start:long,end:long,classification:string,reason:string>>, "
+    "stopped string, diagnostics array<struct<code:string,start:long,end:long>>"
 )
-_MATCH_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.list_(SLICE)), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
-#: A file with more matches is dropped whole.
+_TRIVIA = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("classification", pa.string()), ("reason", pa.string())])
+_DIAGNOSTIC = pa.struct([("code", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+_MATCH_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.list_(SLICE)), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.bool_()] * 3, pa.int64(), pa.int64(), pa.list_(_TRIVIA), pa.string(), pa.list_(_DIAGNOSTIC)]
+#: A file with more matches stops a search: it gives one row that says so.
 MAX_CANDIDATES = 100_000
+CANDIDATE_LIMIT = "candidate_match_limit"
+#: Estimated bytes for each core below which files are spread over all cores before they are parsed.
+SPREAD_BELOW = 32 << 20
 
 
 class Lines:
@@ -54,12 +65,26 @@ def _arrow(files: DataFrame, columns: list[str], rule: Callable[..., list[tuple]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out = rule(*row)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out += rule(*row)
+                if len(out) >= 4096:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
 
-    return files.select(*columns).mapInArrow(run, schema)
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return _spread(files.select(*columns)).mapInArrow(run, schema)
+
+
+def _spread(files: DataFrame) -> DataFrame:
+    """Few files lie in few partitions: deal them over all cores, since parsing costs far more than moving them."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return files.repartition(cores) if size < SPREAD_BELOW * cores else files
 
 
 def _split(schema: str) -> list[str]:
@@ -72,13 +97,50 @@ def _split(schema: str) -> list[str]:
     return [*out, schema[at:].strip()]
 
 
-def _rendered(path: str, source: bytes, found: list[tuple], broken: bool, text_bytes: int, before: int, after: int) -> list[tuple]:
+def _ancestry(node: rust_tree.Node) -> tuple[bool, int, int]:
+    """Whether a node below the root holds an error around this one, where the outermost item begins, and where what leads up to that begins."""
+    enclosing, item, up = False, node, node.parent
+    while up is not None and up.kind != "source_file":
+        enclosing = enclosing or up.broken
+        if up.kind.endswith("_item"):
+            item = up
+        up = up.parent
+    leading = item
+    if item.parent is not None:
+        for other in reversed([c for c in item.parent.children if c.named and c.end <= item.start]):
+            if other.kind not in (*rust_tree.COMMENTS, "attribute_item"):
+                break
+            leading = other
+    return enclosing, item.start, leading.start
+
+
+def _near(comments: list[trivia.Trivia], node: rust_tree.Node, source: bytes, item: int, leading: int) -> list[dict]:
+    """Comments inside a match, before its item, and next to it."""
+    kept = [
+        t for t in comments
+        if (node.start <= t.start and t.end <= node.end) or (leading <= t.start and t.end <= item)
+        or (t.end <= node.start and not source[t.end : node.start].strip()) or (t.start >= node.end and not source[node.end : t.start].strip())
+    ]
+    return [{"start": t.start, "end": t.end, "classification": t.classification, "reason": t.reason} for t in kept]
+
+
+def _rendered(path: str, source: bytes, tree: rust_tree.Node, found: list[tuple], text_bytes: int, before: int, after: int) -> list[tuple]:
     lines, rows = Lines(source), []
+    errors = [n for n in tree.walk() if n.kind == "ERROR" or n.missing]
+    shown = [{"code": "MISSING_SYNTAX" if n.missing else "SYNTAX_ERROR", "start": n.start, "end": n.end} for n in errors]
+    nothing = (None,) * 16
+    if len(found) > MAX_CANDIDATES:
+        return [(path, *nothing, None, None, CANDIDATE_LIMIT, shown)]
+    comments = [t for t in trivia.inventory(tree, source) if t.kind in rust_tree.COMMENTS] if found else []
     cut = lambda n: n.text(source).decode("utf-8", "replace") if n.end - n.start <= text_bytes else None
     for ordinal, (index, node, captures) in enumerate(found):
         a, b = lines.around(node.start, node.end, before, after)
         held = [(name, [{"start": n.start, "end": n.end, "text": cut(n)} for n in nodes]) for name, nodes in sorted(captures.items())]
-        rows.append((path, ordinal, index, node.start, node.end, *lines.at(node.start), *lines.at(node.end), cut(node), held, a, b, broken))
+        enclosing, item, leading = _ancestry(node) if errors or comments else (False, *_ancestry(node)[1:])
+        subtree = any(node.start <= e.start and e.end <= node.end for e in errors)
+        rows.append((path, ordinal, index, node.start, node.end, *lines.at(node.start), *lines.at(node.end), cut(node), held, a, b, bool(errors), subtree, enclosing, item, leading, _near(comments, node, source, item, leading), None, None))
+    if errors:
+        rows.append((path, *nothing, None, None, None, shown))
     return rows
 
 
@@ -89,32 +151,118 @@ def _holding(files: DataFrame, compiled: rust_patterns.Pattern) -> DataFrame:
     return files
 
 
-def search(files: DataFrame, pattern: str, text_bytes: int = 8192, before: int = 2, after: int = 2) -> DataFrame:
-    """Matches of an expression pattern; a file beyond the candidate guard gives none."""
-    compiled = rust_patterns.compile_pattern(pattern)
+def _scan(files: DataFrame, pattern: str | None, query: str | None, text_bytes: int, before: int, after: int, pruned: bool = True) -> DataFrame:
+    """Matches, and one row without an ordinal for each file that stops the search or holds syntax errors."""
+    if (pattern is None) == (query is None):
+        raise ValueError("either a pattern or a query")
+    if pattern is not None:
+        compiled = rust_patterns.compile_pattern(pattern)
+        files = _holding(files, compiled) if pruned else files
+        find = lambda tree, source: [(0, n, c) for n, c in rust_patterns.matches(compiled, tree, source)]
+    else:
+        asked = tree_queries.compile_query(query)
+        find = lambda tree, source: tree_queries.run_query(asked, tree, source)
 
     def rule(path, source):
         source = bytes(source)
         tree = rust_tree.parse(source)
-        found = rust_patterns.matches(compiled, tree, source)
-        if len(found) > MAX_CANDIDATES:
-            return []
-        return _rendered(path, source, [(0, n, c) for n, c in found], tree.broken, text_bytes, before, after)
+        return _rendered(path, source, tree, find(tree, source), text_bytes, before, after)
 
-    return _arrow(_holding(files, compiled), ["path", "source"], rule, _MATCH_TYPES, MATCHES)
+    return _arrow(files, ["path", "source"], rule, _MATCH_TYPES, MATCHES)
 
 
-def search_query(files: DataFrame, query: str, text_bytes: int = 8192, before: int = 2, after: int = 2) -> DataFrame:
-    """Matches of a tree query."""
-    compiled = tree_queries.compile_query(query)
+def search(files: DataFrame, pattern: str, text_bytes: int = 8192, before: int = 2, after: int = 2) -> DataFrame:
+    """Matches of an expression pattern; a file beyond the candidate guard gives one row whose ``stopped`` says so."""
+    return _scan(files, pattern, None, text_bytes, before, after).where("match_ordinal is not null or stopped is not null").drop("diagnostics")
 
-    def rule(path, source):
-        source = bytes(source)
-        tree = rust_tree.parse(source)
-        found = tree_queries.run_query(compiled, tree, source)
-        return _rendered(path, source, found if len(found) <= MAX_CANDIDATES else [], tree.broken, text_bytes, before, after)
 
-    return _arrow(files, ["path", "source"], rule, _MATCH_TYPES, MATCHES)
+def search_query(files: DataFrame, query: str, text_bytes: int = 8192, before: int = 2, after: int = 2) -> DataFrame:
+    """Matches of a tree query, as of :func:`search`."""
+    return _scan(files, None, query, text_bytes, before, after).where("match_ordinal is not null or stopped is not null").drop("diagnostics")
+
+
+@dataclass
+class Envelope:
+    """One page of a search and what it may claim."""
+
+    status: str
+    snapshot: str | None
+    matches: list[dict]
+    counts: dict
+    coverage: dict
+    skipped: dict
+    diagnostics: list[dict]
+    diagnostics_omitted: int
+    truncation: list[str]
+    has_more: bool | None
+    next_cursor: str | None
+
+
+def search_page(
+    spark: SparkSession, root: str, open_cursors: cursors.Cursors, pattern: str | None = None, query: str | None = None, scope: worktree.Scope | None = None, cursor: str | None = None,
+    response_bytes: int = 1 << 20, diagnostic_count: int = 100, **given: int,
+) -> Envelope:
+    """Discover, search and return one page in total order: file by path, matches by position.
+
+    A page ends at ``page_size`` matches, at ``response_bytes`` of them, or before a
+    file that stops the search; a single match beyond the budget is returned as a
+    descriptor without texts. A cursor goes on where a page ended, as long as
+    request and sources are the same.
+    """
+    bound, scope = worktree.limits(**given), scope or worktree.Scope()
+    found = worktree.survey(spark, root, scope, **given)
+    files = settled(found.files)
+    found.files = files
+    coverage = found.coverage()
+    snapshot = worktree.snapshot_id(files, root, scope) if coverage["eligible_scan_complete"] else None
+    request = {"root": root, "pattern": pattern, "query": query, "paths": scope.paths, "globs": scope.globs, "limits": bound, "response_bytes": response_bytes}
+    skips = {r["reason"]: {"count": r["skipped"], "examples": r["examples"], "examples_omitted": r["examples_omitted"]} for r in worktree.skip_counts(files).collect()}  # eight rows
+    eligible, truncation, after = files.where("reason is null"), list(found.truncation), None
+    counts = {"discovered_files": found.discovered, "eligible_files": eligible.count()}
+    counts["scanned_files"] = files.where("detail_code is null or detail_code = 'FILE_INELIGIBLE'").count()
+    if cursor is not None:
+        if snapshot is None:
+            return Envelope("partial", None, [], counts, coverage, skips, [], 0, [*truncation, "scan_incomplete: cannot validate continuation; narrow paths/globs"], None, None)
+        after = tuple(open_cursors.resume(cursor, request, snapshot))
+        eligible = eligible.where(F.col("path") >= after[0])
+    scanned = settled(_scan(eligible, pattern, query, bound["text_bytes"], bound["context_before"], bound["context_after"], pruned=False))
+    stop = scanned.where("stopped is not null").agg(F.min("path").alias("path")).first()["path"]
+    matches = scanned.where("match_ordinal is not null")
+    matches = matches if stop is None else matches.where(F.col("path") < stop)
+    if after is not None:
+        matches = matches.where((F.col("path") > after[0]) | (F.col("match_ordinal") >= after[1]))
+    size = bound["page_size"]
+    rows = ordering.keyset_page(matches.drop("stopped", "diagnostics"), ["path", "match_ordinal"], None, size + 1).collect()  # a page and one more
+    counts["matched_files"] = eligible.count() if stop is None else eligible.where(F.col("path") < stop).count()
+    counts["observed_matches"] = matches.count()
+    noted = scanned.where("match_ordinal is null").select("path", F.explode("diagnostics").alias("d")).select("path", "d.*")
+    diagnostics = noted.orderBy("path", "start", "end").limit(max(0, diagnostic_count - sum(len(v["examples"]) for v in skips.values()))).collect()
+    omitted = noted.count() - len(diagnostics)
+    numbers = {r["path"]: r["ordinal"] for r in ordering.ordinals(files.where("reason is null").select("path"), ["path"]).join(F.broadcast(spark.createDataFrame([(p,) for p in {r["path"] for r in rows}], "path string")), "path").collect()}
+    page, used, ended = [], 0, None
+    for row in rows:
+        if len(page) == size:
+            ended = "page_size"
+            break
+        record = {"id": f"m/{numbers[row['path']]}/{row['match_ordinal']}", **row.asDict(recursive=True)}
+        cost = len(json.dumps(record))
+        if used + cost > response_bytes:
+            if page:
+                ended = "response_bytes"
+                break
+            record |= {"text": None, "captures": {}, "context_before": [], "context_after": [], "trivia": []}  # a descriptor
+            truncation.append("field_omissions")
+            cost = len(json.dumps(record))
+        used += cost
+        page.append(record)
+    position = [rows[len(page)]["path"], rows[len(page)]["match_ordinal"]] if ended else [stop, 0] if stop is not None else None
+    truncation += [ended] if ended else [CANDIDATE_LIMIT] if stop is not None else []
+    token = open_cursors.issue(request, snapshot, position) if position and snapshot and coverage["eligible_scan_complete"] else None
+    said = cursors.search_status("page" if ended else "work" if stop is not None else None, coverage["eligible_scan_complete"], coverage["scope_exhaustive"], 0)
+    coverage["scope_exhaustive"] = said["scope_exhaustive"]
+    exact = position is None and coverage["eligible_scan_complete"] and cursor is None
+    counts |= {"returned_matches": len(page), "total_matches": counts["observed_matches"] if exact else None, "total_is_exact": exact}
+    return Envelope(said["status"], snapshot, page, counts, coverage, skips, [d.asDict() for d in diagnostics], omitted, truncation, said["has_more"], token)
 
 
 def page(matches: DataFrame, after: tuple[str, int] | None = None, size: int = 100) -> tuple[DataFrame, DataFrame]:
