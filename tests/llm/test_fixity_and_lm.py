@@ -83,6 +83,7 @@ def test_every_word_and_pair_counts_exactly(spark, monkeypatch):
     texts = [" ".join(f"w{(k * 7919 + j * (1 + k % 3)) % 90_000}" for j in range(200)) + " the end" for k in range(150)] + ["The end", "the the the", None, "", "the"]
     wanted, other = texts[:20], [*texts[10:140], "words of another corpus", None, "the end the end"]
     monkeypatch.setattr(lm_scoring, "HELD_TOKENS", 5_000)
+    monkeypatch.setattr(lm_scoring, "POSTED_TOKENS", 4_000)
     monkeypatch.setattr(lm_scoring, "HELD_WORDS", 3_000)
     monkeypatch.setattr(lm_scoring, "PART_TOKENS", 10_000)
     table = lambda side: spark.createDataFrame(list(enumerate(side)), "doc_id long, text string").repartition(5)

@@ -33,12 +33,12 @@ from .runtime import cut
 
 #: Smoothing mass of the unigram below a pair.
 MASS = 50.0
-#: Words and tokens that a task holds before it sends what it has.
-HELD_WORDS, HELD_TOKENS = 400_000, 1_500_000
+#: Words and tokens that a task holds before it sends what it has (the last: while it deals postings).
+HELD_WORDS, HELD_TOKENS, POSTED_TOKENS = 300_000, 1_500_000, 800_000
 #: One token in so many makes a pair near (looked up in the task), a word frequent: there can't be more of either.
 NEAR_SHARE, HOT_SHARE = 1 << 18, 1 << 18
 #: Tokens of a part at most, as far as shares go, and at least where there are fewer parts than shuffle partitions.
-PART_TOKENS, LEAST_PART_TOKENS = 6_000_000, 500_000
+PART_TOKENS, LEAST_PART_TOKENS = 2_000_000, 500_000
 #: What stands before a word: the start of a text, or that it is the last one of a text.
 START, END = -2, -3
 #: Counts near pairs are sent in slices of.
@@ -257,7 +257,7 @@ def _near_counts(corpora: list[tuple[DataFrame, str, int]], model: Model, near:
     def counted(side: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near, total, numbers = shared.value, None, Numbers(seed)
-            for _, found in _chunks(batches, numbers, 1, HELD_TOKENS):
+            for _, found in _chunks(batches, numbers, 1, POSTED_TOKENS):
                 b, w, _, n = _postings(found, len(numbers))
                 name = _named(numbers)
                 at = near.find(name[b], name[w])
@@ -317,7 +317,7 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near, terms, (hot_keys, _, _) = shared.value
             numbers = Numbers(model.seed)
-            for rows, found in _chunks(batches, numbers, 3 if kind == _DOCS else 1, HELD_TOKENS):
+            for rows, found in _chunks(batches, numbers, 3 if kind == _DOCS else 1, POSTED_TOKENS):
                 b, w, text, n = _postings(found, len(numbers))
                 name = _named(numbers)
                 chunk = rows[0][0] if kind == _DOCS else 0
@@ -381,26 +381,27 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
                 for column, value in zip(held, (np.repeat(name[w], times), name[b], text, n, np.full(len(b), len(chunks) if k == _DOCS else -1 - k, np.int32)), strict=True):
                     column.append(value)
                 chunks.append(c)
+        del raw
         if chunks:
-            w, b, text, n, source = (np.concatenate(c) for c in held)
+            source, n, text, b, w = (np.concatenate(held.pop()) for _ in range(5))
             order, first = _grouped(b, w)
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-            w, b, text, n, source = (x[order] for x in (w, b, text, n, source))
-            place = np.searchsorted(known[0], w[first])
-            place = np.minimum(place, max(0, len(known[0]) - 1))
-            there = known[0][place] == w[first] if len(known[0]) else np.zeros(len(first), bool)
+            w, b = w[order[first]], b[order[first]]  # of each pair, from here on
+            group = np.empty(len(order), np.int32)
+            group[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+            del order
+            place = np.minimum(np.searchsorted(known[0], w), max(0, len(known[0]) - 1))
+            there = known[0][place] == w if len(known[0]) else np.zeros(len(w), bool)
             counted = [source == -1 - _TARGET, (source >= 0) if own else source == -1 - _BACKGROUND]
-            sums = []
+            terms = []
             for side in (0, 1):
-                pairs = np.bincount(group, np.where(counted[side], n, 0), len(first))
-                of_words = np.where(there, known[1 + side][place], 0) if len(known[0]) else np.zeros(len(first))
-                sums.append(model.terms(side, b[first], pairs, of_words)[group] * n)
+                pairs = np.bincount(group[counted[side]], n[counted[side]], len(w))
+                terms.append(model.terms(side, b, pairs, np.where(there, known[1 + side][place], 0) if len(known[0]) else np.zeros(len(w))))
             scored = np.flatnonzero(source >= 0)
             document = source[scored].astype(np.int64) << 32 | text[scored]
             order = np.argsort(document, kind="stable")
             first = np.flatnonzero(np.diff(document[order], prepend=-1))
             order = scored[order]
-            sums = [np.add.reduceat(s[order], first).astype(np.float32) if len(first) else np.zeros(0, np.float32) for s in sums]
+            sums = [np.add.reduceat((t[group] * n)[order], first).astype(np.float32) if len(first) else np.zeros(0, np.float32) for t in terms]
             source, text = source[order][first], text[order][first]
             edges = np.flatnonzero(np.diff(source, prepend=-1, append=-1))
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
