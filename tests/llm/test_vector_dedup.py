@@ -55,7 +55,17 @@ def test_bounds_hold_and_estimates_are_unbiased():
     x /= np.linalg.norm(x, axis=1)[:, None]
     codes, factors = vd.encode(x)
     turned = x @ vd.rotation(32)
-    assert (vd.upper_bounds(codes, factors, turned) >= x @ x.T - 1e-4).all()
-    estimate = vd.upper_bounds(codes, factors, turned, width=0.0)
+    for width in (None, vd.WIDTH):
+        assert (vd.upper_bounds(codes, factors, turned, width) >= x @ x.T - 1e-4).all()
+    assert (vd.upper_bounds(codes, factors, turned, 1.0) < vd.upper_bounds(codes, factors, turned, None)).any()
+    signs = (np.unpackbits(codes, axis=1, count=32) * 2.0 - 1) / np.sqrt(32)
+    estimate = vd.estimates(factors[:, None], signs @ turned.T)
     off = ~np.eye(300, dtype=bool)
     assert abs((estimate - x @ x.T)[off].mean()) < 0.005
+
+
+def test_repeated_identifiers_are_vectors_of_their_own(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.999, 0.01, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, 1, a), (7, 1, b), (7, 1, c), (9, 1, c), (3, 1, c)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vd.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect())
+    assert got == [(3, 1, 3, True), (3, 2, 3, True), (7, 1, 3, False), (7, 2, 3, False), (9, 2, 3, False)]
