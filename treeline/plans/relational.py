@@ -454,3 +454,140 @@ def noop_edits(t):
 def blob_hash(t):
     """SC12: Git's name of a file's bytes."""
     return t("documents").select("doc_id", F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length("text")), "UTF-8"), F.unhex(F.lit("00")), F.encode("text", "UTF-8"))).alias("blob"))
+
+
+@query("""
+    SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counters
+    FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id""")
+def sorted_counters(t):
+    """2.11 map: counters by name, in the order of names."""
+    counted = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    # a user has as many entries as there are event types
+    held = counted.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
+    return held.select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("counters"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.none') IS NULL AS absent FROM events")
+def json_fields(t):
+    """2.11 json: a field of a canonical value, and one that isn't there."""
+    return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.none").isNull().alias("absent"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 900 SECOND, '%Y-%m-%d %H:%M:%S') AS expires FROM events")
+def expiry_text(t):
+    """2.11 date/time: when a series that began then expires, as text."""
+    return t("events").select("event_id", F.date_format(F.col("ts") + F.expr("INTERVAL 900 SECOND"), "yyyy-MM-dd HH:mm:ss").alias("expires"))
+
+
+@query("SELECT p_partkey, p_name, n FROM (SELECT p_partkey, p_name, count(*) OVER (PARTITION BY p_name) AS n FROM part) WHERE n > 1")
+def name_duplicates(t):
+    """AG9: names that are bound more than once; counted before the join, so no name's rows meet in one task."""
+    part = t("part").select("p_partkey", "p_name")
+    counted = part.groupBy("p_name").agg(F.count("*").alias("n")).where("n > 1")
+    return part.join(counted, "p_name").select("p_partkey", "p_name", "n")
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, l_linenumber * 20 AS a, l_linenumber * 20 + CAST(l_quantity AS INTEGER) % 30 AS b FROM lineitem),
+    m AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+    g AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS gap FROM m)
+    SELECT l_orderkey, CAST(min(a) AS BIGINT) AS gap_start, CAST(max(b) AS BIGINT) AS gap_end, count(*) AS removals, CASE WHEN gap = 1 THEN 1 ELSE 2 END AS newlines FROM g GROUP BY l_orderkey, gap""")
+def removal_gaps(t):
+    """Removals with no more than white space between them are one gap; the first keeps one line break, others two."""
+    start = F.col("l_linenumber").cast("long") * 20
+    spans = t("lineitem").select("l_orderkey", start.alias("a"), (start + F.col("l_quantity").cast("int") % 30).alias("b"))
+    along = Window.partitionBy("l_orderkey").orderBy("a", "b")
+    before = F.max("b").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("opens", (before.isNull() | (F.col("a") > before + 2)).cast("int"))
+    gaps = marked.withColumn("gap", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = gaps.groupBy("l_orderkey", "gap").agg(F.min("a").alias("gap_start"), F.max("b").alias("gap_end"), F.count("*").alias("removals"))
+    return rows.select("l_orderkey", "gap_start", "gap_end", "removals", F.when(F.col("gap") == 1, 1).otherwise(2).alias("newlines"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (
+        SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL 60 DAY)""")
+def unowned_trivia(t):
+    """What lies in no owner's interval."""
+    owners = t("orders").select("o_orderkey", "o_orderdate")
+    inside = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") >= F.col("o_orderdate")) & (F.col("l_shipdate") < F.col("o_orderdate") + F.expr("INTERVAL 60 DAY"))
+    return t("lineitem").join(owners, inside, "left_anti").select("l_orderkey", "l_linenumber")
+
+
+@query("""
+    WITH p AS (SELECT page_id, string_split(url, '/')[3:4] AS route FROM pages), d AS (SELECT route, min(page_id) AS declared, count(*) AS n FROM p GROUP BY route)
+    SELECT page_id, declared FROM p JOIN d USING (route) WHERE n > 1 AND page_id <> declared""")
+def route_declaration(t):
+    """The declaration that a route of segments leads to."""
+    pages = t("pages").select("page_id", F.slice(F.split("url", "/"), 3, 2).alias("route"))
+    declared = pages.groupBy("route").agg(F.min("page_id").alias("declared"), F.count("*").alias("n")).where("n > 1")
+    return pages.join(declared, "route").where("page_id <> declared").select("page_id", "declared")
+
+
+@query("""
+    WITH m AS (SELECT s_nationkey, s_name, min(s_suppkey) AS callee FROM supplier GROUP BY s_nationkey, s_name)
+    SELECT c_custkey, callee FROM customer c JOIN m ON c.c_nationkey = m.s_nationkey AND replace(c.c_name, 'Customer', 'Supplier') = m.s_name""")
+def self_calls(t):
+    """A call to a sibling by (owner, name)."""
+    members = t("supplier").groupBy("s_nationkey", "s_name").agg(F.min("s_suppkey").alias("callee"))
+    calls = t("customer").select("c_custkey", "c_nationkey", F.regexp_replace("c_name", "Customer", "Supplier").alias("called"))
+    return calls.join(members, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("called") == F.col("s_name"))).select("c_custkey", "callee")
+
+
+@query("""
+    SELECT o_custkey, string_agg(DISTINCT l_shipdate_flag, '' ORDER BY l_shipdate_flag) AS observations, count(*) AS members
+    FROM (SELECT o_custkey, l_returnflag || l_linestatus AS l_shipdate_flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY o_custkey""")
+def candidate_observations(t):
+    """The distinct observations that a candidate's members are in."""
+    seen = t("lineitem").groupBy("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("kind")).agg(F.count("*").alias("n"))
+    met = t("orders").select("o_orderkey", "o_custkey").join(seen, F.col("o_orderkey") == F.col("l_orderkey"))
+    # kinds of observations are few
+    return met.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("kind")), "").alias("observations"), F.sum("n").alias("members"))
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT c_mktsegment AS s FROM customer), h AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS s FROM customer), n AS (SELECT n_nationkey AS k FROM nation)
+    SELECT n.k AS nation, coalesce(string_agg(d.s, ',' ORDER BY d.s) FILTER (WHERE h.s IS NULL), '') AS missing, count(*) FILTER (WHERE h.s IS NULL) AS left_out
+    FROM n CROSS JOIN d LEFT JOIN h ON h.k = n.k AND h.s = d.s GROUP BY n.k""")
+def selection_completeness(t):
+    """What of a fixed domain a selection leaves out."""
+    segments = t("customer").select("c_mktsegment").distinct()
+    domain = segments.agg(F.array_sort(F.collect_set("c_mktsegment")).alias("every"))  # a handful of segments, one row
+    held = t("customer").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("some"))
+    rows = t("nation").select(F.col("n_nationkey").alias("nation")).join(held, F.col("nation") == F.col("c_nationkey"), "left").join(F.broadcast(domain), F.lit(True))
+    missing = F.array_except("every", F.coalesce("some", F.array().cast("array<string>")))
+    return rows.select("nation", F.array_join(F.array_sort(missing), ",").alias("missing"), F.size(missing).cast("long").alias("left_out"))
+
+
+@query("""
+    SELECT doc_id, 'unexamined_context' AS reason FROM documents WHERE lang IS NULL
+    UNION ALL SELECT doc_id, 'public_or_exposed_boundary' FROM documents WHERE contains(text, 'http')
+    UNION ALL SELECT doc_id, 'unsupported_unit_kind' FROM documents WHERE n_chars < 40""")
+def risk_decisions(t):
+    """One decision for each risk that an item has, in one scan."""
+    risks = F.array(
+        F.when(F.col("lang").isNull(), F.lit("unexamined_context")), F.when(F.col("text").contains("http"), F.lit("public_or_exposed_boundary")), F.when(F.col("n_chars") < 40, F.lit("unsupported_unit_kind"))
+    )
+    return t("documents").select("doc_id", F.explode(F.array_compact(risks)).alias("reason"))
+
+
+@query("""
+    WITH e AS (SELECT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+    x AS (SELECT a AS nation, 'out' AS way, count(*) AS n FROM e WHERE a <> b GROUP BY a UNION ALL SELECT b, 'in', count(*) FROM e WHERE a <> b GROUP BY b)
+    SELECT nation, way, n FROM x""")
+def boundary_observations(t):
+    """References that cross a group's boundary, by direction; edges are counted before they are looked at from both ends."""
+    orders = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", F.col("c_nationkey").alias("a")), F.col("o_custkey") == F.col("c_custkey"))
+    ends = t("lineitem").select("l_orderkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier").select("s_suppkey", F.col("s_nationkey").alias("b")), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = ends.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("nation"), F.lit("out").alias("way")), F.struct(F.col("b").alias("nation"), F.lit("in").alias("way")))).alias("x"), "n")
+    return both.groupBy("x.nation", "x.way").agg(F.sum("n").alias("n"))
+
+
+@query("""
+    SELECT r_regionkey AS impl_id, n_nationkey AS member_id, r_name < n_name AS impl_first
+    FROM region JOIN nation ON n_regionkey = r_regionkey WHERE length(n_name) >= length(r_name)""")
+def member_overlaps(t):
+    """Members that are selected together with the block around them."""
+    met = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).where(F.length("n_name") >= F.length("r_name"))  # five regions
+    return met.select(F.col("r_regionkey").alias("impl_id"), F.col("n_nationkey").alias("member_id"), (F.col("r_name") < F.col("n_name")).alias("impl_first"))

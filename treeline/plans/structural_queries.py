@@ -73,3 +73,38 @@ def structural_query(t):
 def structural_trivia(t):
     """Comments and what they belong to."""
     return structural.trivia_table(t).select("path", F.col("start_byte").cast("long").alias("start_byte"), "kind", "classification", "reason")
+
+
+@query("SELECT path, 'fn p' || k || '() {' AS first_words, 0 AS before, 1 AS file_lines, false AS recovery, 0 AS item_start, 0 AS leading_start FROM g")
+def structural_context(t):
+    """PM10, PM14: recovery, item and lines around a match."""
+    row = structural.search(t, "$a.unwrap()", before=3, after=3).join(t.select("path", "source"), "path")
+    text = F.decode("source", "UTF-8")
+    lines = F.size(F.split(text, "\n")) - 1
+    return row.select(
+        "path", F.substring_index(text, " ", 3).alias("first_words"), F.size("context_before").alias("before"), lines.alias("file_lines"),
+        (F.col("file_has_recovery") | F.col("subtree_has_recovery") | F.col("enclosing_has_recovery")).alias("recovery"), F.col("item_start").cast("int").alias("item_start"), F.col("leading_start").cast("int").alias("leading_start"),
+    )
+
+
+@query("SELECT path, '/* b.unwrap() */' AS trivia FROM g")
+def structural_match_trivia(t):
+    """PM16: the comment after a statement is next to it, those in strings and macros are not comments."""
+    found = structural.search_query(t, '((expression_statement (call_expression function: (identifier) @f)) @match (#eq? @f "pair"))').join(t.select("path", "source"), "path")
+    body = F.expr("substring(source, trivia[0].start + 1, trivia[0].end - trivia[0].start)")
+    return found.where(F.size("trivia") > 0).select("path", F.decode(body, "UTF-8").alias("trivia"))
+
+
+@query("SELECT path, CAST(s AS VARCHAR) AS first, CAST(k % 10 AS VARCHAR) AS second FROM g")
+def structural_groups(t):
+    """PM6: a group of siblings and what follows it."""
+    found = structural.search_query(t, '((call_expression function: (identifier) @f arguments: (arguments ((integer_literal) @a ",") . (integer_literal) @b)) @match (#eq? @f "pair"))')
+    return found.select("path", F.col("captures")["a"][0]["text"].alias("first"), F.col("captures")["b"][0]["text"].alias("second"))
+
+
+@query("SELECT path, 0 AS match_ordinal FROM g ORDER BY path LIMIT 25 OFFSET 10")
+def structural_page(t):
+    """PG1: the page after a key, in total order."""
+    found = structural.search(t, "$a.unwrap()").select("path", "match_ordinal")
+    ahead = structural.page(found, None, 10)[0].agg(F.max("path").alias("at"))
+    return found.join(F.broadcast(ahead), F.col("path") > F.col("at")).select("path", "match_ordinal").orderBy("path").limit(25)  # one row
