@@ -9,10 +9,11 @@ parser. Macro arguments stay token trees.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Node:
     kind: str
     start: int
@@ -59,18 +60,18 @@ POWER = {op: k for k, ops in enumerate(BINDING) for op in ops}
 _WORD = rb"[A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*"
 _SUFFIX = rb"(?:[iu](?:8|16|32|64|128|size))?"
 _TOKEN = re.compile(
-    rb"(?P<space>\s+)|(?P<line_comment>//[^\n]*)|(?P<block>/\*)"
+    rb"\s*(?:(?P<line_comment>//[^\n]*)|(?P<block>/\*)"
     rb"|(?P<raw>(?:br|cr|r)(?P<hashes>#*)\")|(?P<string>[bc]?\"(?:\\.|[^\"\\])*\")"
     rb"|(?P<char>b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.)|[^\\'\x80-\xff]|[\xc0-\xff][\x80-\xbf]+)')|(?P<lifetime>'" + _WORD + rb")"
     rb"|(?P<float>[0-9][0-9_]*(?:\.[0-9][0-9_]*(?:[eE][+-]?[0-9_]+)?(?:f32|f64)?|[eE][+-]?[0-9_]+(?:f32|f64)?|f32|f64|\.(?![.A-Za-z_0-9])))"
     rb"|(?P<int>(?:0x[0-9a-fA-F_]+|0o[0-7_]+|0b[01_]+|[0-9][0-9_]*)" + _SUFFIX + rb")"
-    rb"|(?P<meta>\$" + _WORD + rb")|(?P<word>(?:r#)?" + _WORD + rb")|(?P<mark>" + b"|".join(re.escape(m.encode()) for m in MARKS) + rb"|.)",
+    rb"|(?P<meta>\$" + _WORD + rb")|(?P<word>(?:r#)?" + _WORD + rb")|(?P<mark>" + b"|".join(re.escape(m.encode()) for m in MARKS) + rb"|.)|(?P<stop>\Z))",
     re.S,
 )
 LITERALS = {"int": "integer_literal", "float": "float_literal", "string": "string_literal", "raw": "raw_string_literal", "char": "char_literal"}
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str  # word, meta, lifetime, mark, int, float, string, raw, char, end
     text: str
@@ -80,24 +81,34 @@ class Token:
 
 def lex(source: bytes) -> tuple[list[Token], list[Node]]:
     """Tokens, and comments as nodes."""
-    tokens, comments, at = [], [], 0
-    while at < len(source):
-        m = _TOKEN.match(source, at)
-        kind, end = m.lastgroup, m.end()
-        if kind == "hashes" or m["raw"] is not None:
+    tokens, comments, at, known = [], [], 0, {}
+    match, size = _TOKEN.match, len(source)
+    while at < size:
+        m = match(source, at)
+        kind = m.lastgroup
+        if kind == "hashes":
+            kind = "raw"
+        at, end = m.start(kind), m.end()
+        if kind == "stop":
+            break
+        if kind == "raw":
             stop = source.find(b'"' + m["hashes"], end)
-            kind, end = "raw", len(source) if stop < 0 else stop + 1 + len(m["hashes"])
+            end = size if stop < 0 else stop + 1 + len(m["hashes"])
         if kind == "block":
             depth, end = 1, at + 2
-            while depth and end < len(source):
+            while depth and end < size:
                 two = source[end : end + 2]
                 depth += (two == b"/*") - (two == b"*/")
                 end += 2 if two in (b"/*", b"*/") else 1
             comments.append(Node("block_comment", at, end))
         elif kind == "line_comment":
             comments.append(Node(kind, at, end))
-        elif kind != "space":
-            tokens.append(Token(kind, source[at:end].decode("utf-8", "replace"), at, end))
+        else:
+            raw = source[at:end]
+            text = known.get(raw)
+            if text is None:
+                text = known[raw] = raw.decode("utf-8", "replace")
+            tokens.append(Token(kind, text, at, end))
         at = end
     tokens.append(Token("end", "", len(source), len(source)))
     return tokens, comments
@@ -115,16 +126,22 @@ class Parser:
         self.tokens, self.comments = lex(source)
         self.k = 0
 
-    # -- tokens
+    # -- tokens; `now` is the one at `k`, looked at far more often than it changes
     @property
-    def now(self) -> Token:
-        return self.tokens[self.k]
+    def k(self) -> int:
+        return self._k
+
+    @k.setter
+    def k(self, at: int) -> None:
+        self._k = at
+        self.now = self.tokens[at]
 
     def peek(self, n: int = 1) -> Token:
         return self.tokens[min(self.k + n, len(self.tokens) - 1)]
 
     def at(self, *texts: str) -> bool:
-        return self.now.kind in ("word", "mark") and self.now.text in texts
+        t = self.now
+        return t.text in texts and t.kind in ("word", "mark")
 
     def take(self, text: str | None = None) -> Node:
         """The current token as an anonymous node; ``text`` may be the first part of a longer mark."""
@@ -132,6 +149,7 @@ class Parser:
         if text is not None and t.text != text:
             if t.kind == "mark" and t.text.startswith(text):
                 self.tokens[self.k : self.k + 1] = [Token("mark", text, t.start, t.start + len(text)), Token("mark", t.text[len(text) :], t.start + len(text), t.end)]
+                self.k = self.k
                 t = self.now
             else:
                 raise Failure(t.start, f"expected {text}")
@@ -250,7 +268,7 @@ class Parser:
     def item_or_statement(self) -> Node:
         found = self.attributes()
         if found:  # one at a time, as siblings
-            self.k = next(k for k in range(len(self.tokens)) if self.tokens[k].start >= found[0].end)
+            self.k = bisect_left(self.tokens, found[0].end, key=lambda t: t.start)
             return found[0]
         if (item := self.item()) is not None:
             return item
@@ -907,6 +925,7 @@ class Parser:
                     cut = t.start + len(a)
                     parts = [Token("int", a, t.start, cut), Token("mark", ".", cut, cut + 1)]
                     self.tokens[self.k : self.k + 1] = [*parts, *([Token("int", b, cut + 1, t.end)] if b else [])]
+                    self.k = self.k
                 if self.now.kind == "int":
                     f = self.leaf("integer_literal")
                 elif self.now.kind == "meta":

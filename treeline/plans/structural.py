@@ -6,6 +6,7 @@ rows stay in their partitions, so nothing is shuffled but pages and summaries.
 
 from __future__ import annotations
 
+import gc
 import json
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -64,6 +65,7 @@ def _arrow(files: DataFrame, columns: list[str], rule: Callable[..., list[tuple]
     names = [f.split()[0] for f in _split(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(200_000, 20, 50)  # trees are many small objects that die together
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
