@@ -217,7 +217,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
         return []
     wanted = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // languages))
     # a few times what is wanted of each language, so no language is sorted whole and none is missing
-    some = rows.join(counts, "lang").where(F.col("luck") < (2 * wanted + 16) / F.col("count"))
+    told = F.broadcast(counts) if languages <= SAMPLE_TOTAL else counts
+    some = rows.join(told, "lang").where(F.col("luck") < (2 * wanted + 16) / F.col("count"))
     first = Window.partitionBy("lang").orderBy("luck", "i", "s0")
     picked = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= wanted).drop("n", "luck", "count").collect()  # SAMPLE_TOTAL rows, or one of each language
     picked = sorted(picked, key=lambda r: (r["i"], r["lang"], r["s0"]))
