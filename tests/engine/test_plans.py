@@ -71,6 +71,24 @@ def test_discovery_stops_at_boundaries_and_limits(spark, tmp_path):
             worktree.glob_regex(bad)
 
 
+def test_new_paths_and_manifest(tmp_path):
+    for name, raw in {".git/HEAD": b"", ".gitignore": b"gen/\n*.out.rs\n!keep.out.rs\n", "src/a.rs": b"", "src/.gitignore": b"/local.rs\n", "dep/.git": b"", "plain": b""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    (tmp_path / "link").symlink_to("src")
+    root = str(tmp_path)
+    want = {
+        "src/b.rs": None, "new/deep/b.rs": None, "src/keep.out.rs": None, "src/a.rs": "DESTINATION_ALREADY_EXISTS", "gen/b.rs": "IGNORED_PATH", "x.out.rs": "IGNORED_PATH", "src/local.rs": "IGNORED_PATH",
+        "new/local.rs": None, "dep/b.rs": "NESTED_REPOSITORY", "link/b.rs": "OUTSIDE_ROOT", "../b.rs": "OUTSIDE_ROOT", "/b.rs": "OUTSIDE_ROOT", "target/b.rs": "OUTSIDE_ROOT", "src/b.txt": "OUTSIDE_SCOPE", "plain/b.rs": "OUTSIDE_ROOT",
+    }
+    assert {p: worktree.admit_new_path(root, p) for p in want} == want
+    assert worktree.admit_new_path(root, "src/b.rs", worktree.Scope.of(root, ["dep"])) == "OUTSIDE_SCOPE"
+    rows, digest = worktree.scope_manifest(root)
+    assert [(r[0], r[1] is None) for r in rows] == [("", False), ("src", False)]
+    (tmp_path / "src/.gitignore").write_bytes(b"/other.rs\n")
+    assert worktree.scope_manifest(root)[1] != digest
+
+
 def test_search_page(spark, tmp_path, monkeypatch):
     (tmp_path / ".git").mkdir()
     (tmp_path / "a.rs").write_bytes(b"".join(b"fn a%d() { x%d.unwrap(); }\n" % (k, k) for k in range(5)))

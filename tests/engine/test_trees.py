@@ -131,6 +131,19 @@ def test_edits_and_diffs():
     assert edits.diff_section("a", source, source) == "" and "/dev/null" in edits.diff_section("a", None, b"x\n")
 
 
+def test_removal_gaps():
+    source = b"fn a() {}\n\nfn b() {}\n\nfn c() {}\n\n  fn d() {}\n"
+    of = lambda *names: [(source.index(n), source.index(n) + len(n)) for n in names]
+    gone = lambda names, **more: edits.removal_gaps(source, of(*names), **more)
+    assert gone([b"fn b() {}"]) == [(9, 22, b"\n\n")]  # four line breaks would stay
+    assert gone([b"fn c() {}", b"fn b() {}"]) == [(9, 35, b"\n\n  ")]
+    assert gone([b"fn a() {}"]) == [(0, 11, b"\n")]
+    assert gone([b"fn d() {}"]) == [(31, len(source), b"\n\n")]
+    assert gone([b"fn b() {}"], insertions=[15]) == []
+    assert gone([b"fn b() {}"], kept=[(9, 10)]) == [(10, 22, b"\n\n")]
+    assert edits.removal_gaps(b"a;b;c", [(2, 4)]) == []
+
+
 def test_patches_apply(tmp_path):
     import subprocess
 

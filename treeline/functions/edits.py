@@ -61,3 +61,39 @@ def diff_section(path: str, old: bytes | None, new: bytes, mode: int = 0o644) ->
     keep = lambda parts: [x + "\n" for x in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
     body = list(difflib.unified_diff(keep(lines(old)), keep(lines(new)), n=3))[2:]
     return "".join(head) + "".join(line if line.endswith("\n") else line + "\n\\ No newline at end of file\n" for line in body)
+
+
+#: White space that a gap may lose.
+_BLANK = b" \t\r\n\x0c"
+
+
+def removal_gaps(source: bytes, removals: list[tuple[int, int]], kept: list[tuple[int, int]] = (), insertions: list[int] = ()) -> list[tuple[int, int, bytes]]:
+    """(start, end, white space that stays) of every hole that removals would leave with too many empty lines.
+
+    Removals with only white space between them make one hole, which takes in the
+    white space around it but nothing of ``kept`` comments and attributes. One line
+    break stays at the start of a file, two elsewhere, and the last line's indent.
+    A hole with an insertion in it is left alone.
+    """
+    groups: list[list[tuple[int, int]]] = []
+    for a, b in sorted(removals):
+        if groups and groups[-1][-1][1] <= a and not source[groups[-1][-1][1] : a].strip(_BLANK):
+            groups[-1].append((a, b))
+        else:
+            groups.append([(a, b)])
+    out = []
+    for group in groups:
+        first, last = group[0][0], group[-1][1]
+        start = len(source[:first].rstrip(_BLANK))
+        end = len(source) - len(source[last:].lstrip(_BLANK))
+        start = max([start, *(b for _, b in kept if b <= first)])
+        end = min([end, *(a for a, _ in kept if a >= last)])
+        if any(start <= at <= end for at in insertions):
+            continue
+        edges = [start, *(x for span in group for x in span), end]
+        left = b"".join(source[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        most = 1 if start == 0 else 2
+        lines = left.split(b"\n")
+        if len(lines) - 1 > most:
+            out.append((start, end, b"\n".join([*lines[:most], lines[-1]])))
+    return out

@@ -268,8 +268,8 @@ def search_page(
 
 
 def page(matches: DataFrame, after: tuple[str, int] | None = None, size: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(the page in total order, whether there is more as a one-row frame)."""
-    ahead = ordering.keyset_page(matches, ["path", "match_ordinal"], after, size + 1)
+    """(the page in total order, whether there is more as a one-row frame); rows of files that stop a search are left out."""
+    ahead = ordering.keyset_page(matches.where("match_ordinal is not null"), ["path", "match_ordinal"], after, size + 1)
     return ahead.limit(size), ahead.agg((F.count("*") > size).alias("has_more"))
 
 
@@ -425,9 +425,13 @@ def stale_selection(selection: DataFrame, matches: DataFrame) -> DataFrame:
     return selection.join(own, ["path", "start_byte", "end_byte", "expected_text"], "left_anti")
 
 
-def plan_state(plan: DataFrame) -> DataFrame:
-    """One row: whether the whole plan applies (no file is blocked), with counts."""
-    return plan.agg(F.coalesce(F.bool_and("applicable"), F.lit(True)).alias("applicable"), F.coalesce(F.sum("matches"), F.lit(0)).alias("selected"), F.count_if(~F.col("applicable")).alias("blocked_files"))
+def plan_state(plan: DataFrame, max_matches: int = 500) -> DataFrame:
+    """One row: whether the whole plan applies (no file is blocked and no more than ``max_matches`` are selected), with counts."""
+    if not 1 <= max_matches <= 5000:
+        raise ValueError("max_matches is 1 to 5000")
+    selected = F.coalesce(F.sum("matches"), F.lit(0))
+    sound = F.coalesce(F.bool_and("applicable"), F.lit(True))
+    return plan.agg((sound & (selected <= max_matches)).alias("applicable"), selected.alias("selected"), F.count_if(~F.col("applicable")).alias("blocked_files"), (selected > max_matches).alias("beyond_max_matches"))
 
 
 ADVICE = (

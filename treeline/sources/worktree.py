@@ -372,6 +372,55 @@ def skip_counts(files: DataFrame) -> DataFrame:
     return rows.select("reason", skipped.alias("skipped"), examples.alias("examples"), (skipped - F.size(examples)).alias("examples_omitted"))
 
 
+def admit_new_path(root: str, path: str, scope: Scope | None = None) -> str | None:
+    """Why a file that doesn't exist yet could not be discovered at ``path``, by the walk's own policy; null if it could."""
+    parts = path.split("/")
+    if os.path.isabs(path) or {"", ".", ".."} & set(parts) or PRUNED & set(parts) or not _is_text(path):
+        return "OUTSIDE_ROOT"
+    if not path.endswith(".rs") or not (scope or Scope()).admits(path):
+        return "OUTSIDE_SCOPE"
+    if os.path.lexists(os.path.join(root, path)):
+        return "DESTINATION_ALREADY_EXISTS"
+    rules: list = []
+    for k in range(len(parts)):
+        at = "/".join(parts[:k])
+        folder = os.path.join(root, at)
+        if os.path.islink(folder) and k:
+            return "OUTSIDE_ROOT"
+        if k and os.path.lexists(os.path.join(folder, ".git")):
+            return "NESTED_REPOSITORY"
+        if os.path.lexists(folder) and not os.path.isdir(folder):
+            return "OUTSIDE_ROOT"
+        rules = rules + _ignore_rules(folder, at)[0]
+        here, is_dir, ignored = "/".join(parts[: k + 1]), k + 1 < len(parts), False
+        for rule, folders, negated in rules:
+            if (is_dir or not folders) and re.match(rule, here):
+                ignored = not negated
+        if ignored:
+            return "IGNORED_PATH"
+    return None
+
+
+def scope_manifest(root: str) -> tuple[list[tuple[str, str | None, int, int]], str]:
+    """(folder, SHA-256 of its ignore file or null, device, inode) of every folder that the walk enters, and a digest of them all."""
+    folders = {""}
+    for e in walk(root):
+        if e.reason is None:
+            parts = e.path.split("/")[:-1]
+            folders |= {"/".join(parts[: k + 1]) for k in range(len(parts))}
+    rows = []
+    for at in sorted(folders, key=os.fsencode):
+        folder = os.path.join(root, at)
+        try:
+            with open(os.path.join(folder, ".gitignore"), "rb") as f:
+                held = hashlib.sha256(f.read()).hexdigest()
+        except OSError:
+            held = None
+        status = os.stat(folder)
+        rows.append((at, held, status.st_dev, status.st_ino))
+    return rows, hashlib.sha256("\n".join(repr((os.fsencode(a), *r)) for a, *r in rows).encode()).hexdigest()
+
+
 def snapshot_id(files: DataFrame, root: str = "", scope: Scope | None = None) -> str:
     """A digest over length-prefixed fields in path order: skipped files first, then eligible ones; streamed, never gathered."""
     digest = hashlib.sha1()
