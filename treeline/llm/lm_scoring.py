@@ -21,6 +21,8 @@ first and looked up in the task, so none of them meets in one part.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ HELD_WORDS, HELD_TOKENS, POSTED_TOKENS = 300_000, 1_500_000, 800_000
 #: One token in so many makes a pair near (looked up in the task), a word frequent: there can't be more of either.
 NEAR_SHARE, HOT_SHARE = 1 << 18, 1 << 18
 #: Tokens of a part at most, as far as shares go, and at least where there are fewer parts than shuffle partitions.
-PART_TOKENS, LEAST_PART_TOKENS = 2_000_000, 500_000
+PART_TOKENS, LEAST_PART_TOKENS = 1_500_000, 500_000
 #: What stands before a word: the start of a text, or that it is the last one of a text.
 START, END = -2, -3
 #: Counts near pairs are sent in slices of.
@@ -90,6 +92,16 @@ def _grouped(b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), new]))
 
 
+def _give_back() -> None:
+    """Return what a reused worker freed to the system, so tasks of an executor don't hold each other's peaks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _planes(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes, those of one significance together, so what is mostly zero compresses."""
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), a.dtype.itemsize, ord(a.dtype.kind)))], np.int64)
@@ -368,6 +380,7 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
 
     def settle(table: pa.Table) -> pa.Table:
         """Count the pairs of one part; send every chunk the sums of its documents."""
+        _give_back()
         kind, chunk, raw = (table.column(c).to_pylist() for c in ("kind", "chunk", "raw"))
         mine = np.flatnonzero(np.array(kind) == _WORDS)
         known = [np.concatenate([h, table.column(c).to_numpy()[mine]]) for h, c in zip(shared.value[2], ("key", "t", "g"), strict=True)]
