@@ -69,8 +69,9 @@ def restored(output: str, form: str, sentinels: tuple[str, str, str] = SENTINELS
 
 
 def _check(sentinels: tuple[str, str, str]) -> None:
-    overlap = any(a.endswith(b[:k]) for a in sentinels for b in sentinels for k in range(1, len(b) + (a != b)))
-    if len(sentinels) != 3 or "" in sentinels or overlap or any(a != b and a in b for a in sentinels for b in sentinels):
+    overlap = any(a[-k:] == b[:k] for a in sentinels for b in sentinels for k in range(1, min(len(a), len(b))))
+    inside = any(a in b for k, a in enumerate(sentinels) for n, b in enumerate(sentinels) if k != n)
+    if len(sentinels) != 3 or overlap or inside:
         raise ValueError("three sentinels are needed, none of which overlaps another or itself")
 
 

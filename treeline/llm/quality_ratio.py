@@ -13,11 +13,14 @@ is shuffled while it is judged. Counting shuffles at most one row a bucket and t
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut, drop_cut
+
 BUCKETS = 1 << 16
 #: Added to every bucket of the target, and to the raw corpus in proportion.
 SMOOTHING = 1.0
@@ -32,21 +35,20 @@ SYMBOLS = "#*$%&|<>"
 
 def split_words(text: Column) -> Column:
     """Runs of what is no white space."""
-    bare = F.btrim(text, F.lit(_SPACES))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
+    return F.array_remove(F.split(text, f"[{SPACE}]"), "")
 
 
 def split_tokens(text: Column) -> Column:
     """Lower-case runs of letters, marks and digits, and runs of other characters, in their order."""
-    return split_words(F.regexp_replace(F.lower(text), rf"([^\p{{L}}\p{{M}}\p{{N}}{SPACE}]+)", " $1 "))
+    return split_words(F.regexp_replace(F.lower(text), rf"([^\p{{L}}\p{{M}}\p{{N}}{SPACE}]++)", " $1 "))
 
 
 def _first(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def _second(tokens: Column, at: Column, token: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.get(tokens, at - 1), token), F.lit(buckets)).cast("int")
+def _second(before: Column, token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(before, token), F.lit(buckets)).cast("int")
 
 
 def _long_sum(values: Column) -> Column:
@@ -74,35 +76,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(docs[id_col].cast("long").alias("mark_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
     tokens = texts.join(marks, "mark_id", "left").select("mark", split_tokens(F.col("t")).alias("tokens"))
     w = F.col("tokens")
-    grams = F.concat(F.transform(w, lambda x: _first(x, buckets)), F.slice(F.transform(w, lambda x, k: _second(w, k, x, buckets)), 2, F.greatest(F.lit(0), F.size(w) - 1)))
-    seen = tokens.select("mark", F.explode(grams).alias("bucket"))
+    pairs = F.explode(F.arrays_zip(w.alias("x"), F.slice(w, 2, F.size(w)).alias("y")))
+    x, y = F.col("pair.x"), F.col("pair.y")
+    second = F.when(y.isNotNull(), _second(x, y, buckets))
+    seen = tokens.select("mark", pairs.alias("pair")).select("mark", _first(x, buckets).alias("u"), second.alias("v"))
     share = lambda mark: F.count(F.when(F.col("mark") == mark, 1))
-    counts = seen.groupBy("bucket").agg(F.count("*").alias("raw"), share(1).alias("good"), share(0).alias("bad"))
-    # one row for each bucket from here on
-    totals = counts.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "good", "bad"))).alias("c"))
-    total = lambda name: F.coalesce(F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x[name]), F.lit(0).cast("long"))
-    totals = totals.select("c", total("raw").alias("r"), total("good").alias("g"), total("bad").alias("b"))
-    weight = lambda x: F.round(F.log((x["good"] + SMOOTHING) / (x["raw"] * F.col("g") / F.col("r") + SMOOTHING)) * UNIT).cast("long")
-    weighed = totals.select("c", "r", "g", "b", F.transform("c", lambda x: F.when(F.col("g") > 0, weight(x)).otherwise(0)).alias("w"))
-    mean = lambda name, of: F.aggregate(F.zip_with("c", "w", lambda x, y: x[name] * y), F.lit(0).cast("long"), lambda a, x: a + x) / F.nullif(F.col(of), F.lit(0))
-    found = weighed.select(
-        mean("good", "g").alias("target"),
-        mean("raw", "r").alias("corpus"),
-        mean("bad", "b").alias("rejected"),
-        F.map_from_arrays(F.transform("c", lambda x: x["bucket"]), "w").alias("of"),
-    )
-    middle = F.when(F.col("target").isNull(), 0.0).otherwise(F.coalesce((F.col("target") + F.col("rejected")) / 2, 2 * F.col("corpus") - F.col("target")))
-    spread = found.select(middle.alias("threshold"), F.col("of"))
-    threshold, pairs = spread.select("threshold", F.to_json(F.map_entries("of"))).first()
-    return Ratio(_dense(pairs, buckets), threshold, buckets)
-
-
-def _dense(pairs: str, buckets: int) -> str:
-    """The weights of all buckets in order; one that the corpus never fills weighs nothing."""
-    import json
-
-    of = {p["key"]: p["value"] for p in json.loads(pairs)}
-    return json.dumps([of.get(k, 0) for k in range(buckets)])
+    apart = seen.groupingSets([["u"], ["v"]], "u", "v").agg(F.count("*").alias("raw"), share(1).alias("good"), share(0).alias("bad"))
+    apart = apart.select(F.coalesce("u", "v").alias("bucket"), "raw", "good", "bad").where("bucket is not null")
+    counts = cut(apart.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "good", "bad"))))  # one row for each bucket from here on
+    raw, good, bad = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("raw", "good", "bad"))).first()
+    weight = F.round(F.log((F.col("good") + SMOOTHING) / (F.col("raw") * F.lit(good / max(raw, 1)) + SMOOTHING)) * UNIT).cast("long") if good else F.lit(0).cast("long")
+    weighed = counts.withColumn("w", weight)
+    pairs = F.to_json(F.collect_list(F.struct("bucket", "w"))).alias("pairs")
+    found = weighed.agg(*(F.coalesce(F.sum(F.col(c) * F.col("w")), F.lit(0)).alias(c) for c in ("raw", "good", "bad")), pairs).first()
+    drop_cut(counts)
+    target, corpus, rejected = (total / max(of, 1) for total, of in ((found["good"], good), (found["raw"], raw), (found["bad"], bad)))
+    threshold = 0.0 if not good else (target + rejected) / 2 if bad else 2 * corpus - target
+    of = {p["bucket"]: p["w"] for p in json.loads(found["pairs"] or "[]")}
+    # a bucket that the corpus never fills weighs nothing
+    return Ratio(json.dumps([of.get(k, 0) for k in range(buckets)]), threshold, buckets)
 
 
 def measure(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,7 +110,15 @@ def measure(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str
     A null text has no word. Rows that repeat an identifier are judged each by itself.
     Texts of any length are read whole, in memory of a few times their size. Other columns
     of ``docs`` are ignored, whatever their names. An empty table gives no rows.
+
+    The rows are written once: a filter on them would otherwise be pushed below the
+    steps that made them and repeat each step for every mention of the one before.
     """
+    return cut(judged(docs, model, id_col, text_col))
+
+
+def judged(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of :func:`measure` as a plan: one narrow pass over the texts."""
     text, w, h, v, s, p = (F.col(c) for c in ("t", "words", "hashes", "windows", "sorted", "places"))
     none = F.array().cast("array<bigint>")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
@@ -130,7 +130,7 @@ def measure(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str
 
     table = F.from_json(F.lit(model.weights), "array<bigint>")
     tokens = F.col("tokens")
-    ratio = F.transform(tokens, lambda x, k: F.get(table, _first(x, model.buckets)) + F.when(k > 0, F.get(table, _second(tokens, k, x, model.buckets))).otherwise(0))
+    ratio = F.transform(tokens, lambda x, k: F.get(table, _first(x, model.buckets)) + F.when(k > 0, F.get(table, _second(F.get(tokens, k - 1), x, model.buckets))).otherwise(0))
     rows = rows.select(
         "doc_id",
         F.size(w).cast("long").alias("n_words"),
@@ -143,11 +143,11 @@ def measure(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str
     at = lambda k: [F.get(h, k + n) for n in range(WINDOW)]
     windows = F.when(F.size(h) < WINDOW, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0))), lambda k: F.xxhash64(*at(k))))
     rows = rows.withColumn("windows", windows).drop("hashes")
-    ordered = F.array_sort(F.transform(v, lambda x, k: F.struct(x.alias("h"), k.alias("k"))))
+    ordered = F.sort_array(F.transform(v, lambda x, k: F.struct(x.alias("h"), k.alias("k"))))
     rows = rows.withColumn("sorted", F.when(F.size(F.array_distinct(v)) < F.size(v), ordered).otherwise(F.array().cast("array<struct<h:bigint,k:int>>"))).drop("windows")
     beside = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
     again = F.filter(s, lambda x, k: beside(x, k - 1) | beside(x, k + 1))
-    rows = rows.withColumn("places", F.array_sort(F.transform(again, lambda x: x["k"]))).drop("sorted")
+    rows = rows.withColumn("places", F.sort_array(F.transform(again, lambda x: x["k"]))).drop("sorted")
     covered = F.transform(p, lambda x, k: F.coalesce(F.least(F.get(p, k + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
     rows = rows.withColumn("n_repeat_words", _long_sum(covered)).drop("places")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > round(100 * MOST_REPEATED) * F.col("n_words"))
