@@ -25,7 +25,7 @@ def test_maximal_segments_are_exact():
 
 
 def test_held_out_documents(spark, odd_docs, no_docs):
-    """Recall among texts that have any evidence; about 6 % of toxic labels are on texts without a word of the toxic vocabulary."""
+    """Nine of ten toxic documents are found in every language, and fewer than one clean one in a hundred is called toxic."""
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = tx.fit(docs, labels)
@@ -34,7 +34,7 @@ def test_held_out_documents(spark, odd_docs, no_docs):
     assert (got[got.toxic == 1].predicted == 1).mean() >= 0.9
     for lang, part in got.groupby("lang"):
         assert (part[part.toxic == 0].predicted == 1).mean() < 0.01, lang
-        assert (part[part.toxic == 1].predicted == 1).mean() >= 0.8, lang
+        assert (part[part.toxic == 1].predicted == 1).mean() >= 0.9, lang
     rows = tx.score(odd_docs, model).collect()
     assert len(rows) == odd_docs.count() and {r.predicted for r in rows} == {0}
     planted = spark.createDataFrame([(1, "nice words here then you idiot scum moron worthless trash and more nice words")], "doc_id long, text string")
@@ -45,6 +45,19 @@ def test_held_out_documents(spark, odd_docs, no_docs):
     assert tx.score(no_docs, model).count() == 0
 
 
+def test_toxic_near_copies_of_clean_texts_are_learned_from(spark):
+    draw = np.random.default_rng(4)
+    rows = []
+    for _ in range(150):
+        words = draw.choice([f"w{k}" for k in range(4000)], 80).tolist()
+        rows += [(0, " ".join(words)), (0, " ".join(words)), (1, " ".join([*words, "idiot", "scum", "trash"]))]
+    got = tx.one_of_each(spark.createDataFrame(rows, "toxic int, text string")).toPandas()
+    assert got.rows0.sum() == 300 and got.rows1.sum() == 150
+    assert (got.toxic == 1).sum() == 150 and (got.toxic == 0).sum() == 150
+    sharing = got.assign(start=got.text.str.slice(0, 40)).groupby("start").fold.nunique()
+    assert (sharing == 1).mean() > 0.85  # both of a pair mostly share a sketch, and then a fold
+
+
 def test_counts_of_features_against_brute_force():
     draw = np.random.default_rng(3)
     texts = [" ".join(draw.choice(["abcde", "abcdf", "abc", "xy", "Xy!", "--", "zzzzzzzzzzz"], int(draw.integers(0, 9)))) for _ in range(60)]

@@ -294,16 +294,24 @@ def _judged(counts: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]
     return told, out
 
 
+def one_of_each(train: DataFrame) -> DataFrame:
+    """One row per sketch and label of (toxic, text): toxic, fold, text, rows0, rows1 (rows of either label that it stands for).
+
+    A toxic text that shares its sketch with a clean one stays beside it, in its fold.
+    """
+    grouped = train.mapInArrow(_sketched, "toxic int, text string, sketch long").groupBy("sketch", "toxic").agg(F.min("text").alias("text"), *(F.count_if(F.col("toxic") == k).alias(f"rows{k}") for k in (0, 1)))
+    return grouped.select("toxic", F.pmod(F.xxhash64("sketch"), F.lit(2)).cast("int").alias("fold"), "text", "rows0", "rows1")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn weights, extreme-value parameters and calibration from the sampled labelled rows.
 
-    Documents come in copies, so each group of documents with one sketch counts
-    once. Every group is in one of two folds; calibration scores it with the
-    weights of the other fold.
+    Documents come in copies, so documents with one sketch count once for each label
+    they have. All of a sketch are in one of two folds; calibration scores them with
+    the weights of the other fold.
     """
     train, drawn = training_rows(docs, labels, id_col, text_col, label_col)
-    grouped = train.mapInArrow(_sketched, "toxic int, text string, sketch long").groupBy("sketch").agg(F.min(F.struct("toxic", "text")).alias("one"), *(F.count_if(F.col("toxic") == k).alias(f"rows{k}") for k in (0, 1)))
-    grouped = cut(grouped.select("one.toxic", F.pmod(F.xxhash64("sketch"), F.lit(2)).cast("int").alias("fold"), "one.text", "rows0", "rows1"))
+    grouped = cut(one_of_each(train))
     counts = grouped.select("toxic", "fold", "text").mapInArrow(_counted, ", ".join(["feature string", *(f"{c} long" for c in _COUNTS)])).groupBy("feature").agg(*(F.sum(c).alias(c) for c in _COUNTS))
     counts = cut(counts)
     totals, weights = _judged(counts)
