@@ -8,7 +8,8 @@ on their order. The threshold lies half way between the expected scores of the t
 and of the rejected rows' n-grams, both known from the same counts.
 
 Everything about one text is computed in its row, by array functions: nothing of a text
-is shuffled while it is judged. Counting shuffles at most one row a bucket and task.
+is shuffled while it is judged. Counting shuffles the texts once, to meet their marks,
+and then at most two rows a bucket and task.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     marks = labels.where(labels[id_col].isNotNull()).groupBy(labels[id_col].cast("long").alias("mark_id")).agg(F.min(labels[quality_col].cast("int")).alias("mark")).where("mark is not null")
     texts = docs.select(docs[id_col].cast("long").alias("mark_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
-    tokens = texts.join(marks, "mark_id", "left").select("mark", split_tokens(F.col("t")).alias("tokens"))
+    # marks grow with the corpus, so both sides are shuffled at every size
+    tokens = texts.join(marks.hint("merge"), "mark_id", "left").select("mark", split_tokens(F.col("t")).alias("tokens"))
     w = F.col("tokens")
     pairs = F.explode(F.arrays_zip(w.alias("x"), F.slice(w, 2, F.size(w)).alias("y")))
     x, y = F.col("pair.x"), F.col("pair.y")
