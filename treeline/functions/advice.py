@@ -79,6 +79,22 @@ def binders(item: Node, source: bytes) -> set[bytes]:
     return out
 
 
+def mentions(item: _items.Item, within: Node, k: int, by_name: dict[bytes, list[int]], source: bytes) -> dict[int, int]:
+    """How often a part of unit ``k`` writes the unique name of each other unit, outside macros, fields and the unit's own bindings."""
+    bound, seen = binders(item.node, source), {}
+    own = item.node.child("name")
+    for node in within.walk():
+        if node.kind not in ("identifier", "type_identifier") or node is own or node.name == "field":
+            continue
+        if node.parent is not None and (node.parent.kind == "token_tree" or (node.parent.kind.startswith("scoped") and node.name == "name")):
+            continue
+        text = node.text(source)
+        others = by_name.get(text, [])
+        if len(others) == 1 and others[0] != k and text not in bound:
+            seen[others[0]] = seen.get(others[0], 0) + 1
+    return seen
+
+
 def references(units: list[_items.Item], source: bytes) -> list[Signal]:
     """One signal for each (unit, other unit) whose unique name the first writes outside macros, fields and own bindings."""
     by_name: dict[bytes, list[int]] = {}
@@ -89,17 +105,7 @@ def references(units: list[_items.Item], source: bytes) -> list[Signal]:
     for k, item in enumerate(units):
         if item.impl_start is not None:
             continue
-        bound, seen = binders(item.node, source), {}
-        own = item.node.child("name")
-        for node in item.node.walk():
-            if node.kind not in ("identifier", "type_identifier") or node is own or node.name == "field":
-                continue
-            if node.parent is not None and (node.parent.kind == "token_tree" or (node.parent.kind.startswith("scoped") and node.name == "name")):
-                continue
-            text = node.text(source)
-            others = by_name.get(text, [])
-            if len(others) == 1 and others[0] != k and text not in bound:
-                seen[others[0]] = seen.get(others[0], 0) + 1
+        seen = mentions(item, item.node, k, by_name, source)
         out += [Signal("reference_candidate", "written_name", [k, j], k, j, n) for j, n in sorted(seen.items())]
     for k, item in enumerate(units):  # an impl belongs to its nominal type
         if item.kind == "impl" and (t := item.node.child("type")) is not None:
@@ -250,3 +256,40 @@ def advise(path: str, tree: Node, source: bytes, balanced: bool = False) -> dict
             taken.add((name or "").lower())
     largest, dominant = payoff(units, len(source))
     return {"units": units, "signals": signals, "candidates": found, "drafts": drafts, "outcome": outcome, "largest": largest, "dominant": dominant}
+
+
+def member_links(units: list[_items.Item], source: bytes) -> list[Signal]:
+    """What members write: calls of siblings through ``self`` or ``Self`` (self_call), top-level types of their signatures (signature_type) and other top-level units in their bodies (reference_candidate)."""
+    types: dict[bytes, list[int]] = {}
+    siblings: dict[tuple[int, bytes], list[int]] = {}
+    for k, item in enumerate(units):
+        if item.name and item.impl_start is None:
+            types.setdefault(item.name.encode(), []).append(k)
+        elif item.name:
+            siblings.setdefault((item.impl_start, item.name.encode()), []).append(k)
+    out = []
+    for k, item in enumerate(units):
+        if item.impl_start is None:
+            continue
+        called: dict[int, int] = {}
+        for node in item.node.walk():
+            target = node.child("function") if node.kind == "call_expression" else None
+            if target is None or target.kind not in ("field_expression", "scoped_identifier"):
+                continue
+            owner, name = (target.child("value"), target.child("field")) if target.kind == "field_expression" else (target.child("path"), target.child("name"))
+            if owner is not None and name is not None and owner.text(source) in (b"self", b"Self"):
+                own = siblings.get((item.impl_start, name.text(source)), [])
+                if len(own) == 1 and own[0] != k:
+                    called[own[0]] = called.get(own[0], 0) + 1
+        written: dict[int, int] = {}
+        for part in (item.node.child("parameters"), item.node.child("return_type")):
+            for node in part.walk() if part is not None else ():
+                own = types.get(node.text(source), []) if node.kind == "type_identifier" else []
+                if len(own) == 1:
+                    written[own[0]] = written.get(own[0], 0) + 1
+        out += [Signal("self_call", "written_receiver", [k, j], k, j, n) for j, n in sorted(called.items())]
+        out += [Signal("signature_type", "written_signature", [k, j], k, j, n) for j, n in sorted(written.items())]
+        body = item.node.child("body")
+        seen = mentions(item, body, k, types, source) if body is not None else {}
+        out += [Signal("reference_candidate", "written_name", [k, j], k, j, n) for j, n in sorted(seen.items()) if j not in written]
+    return out

@@ -26,4 +26,16 @@ def settled(rows: DataFrame) -> DataFrame:
     """``rows`` written once and read back."""
     path = f"{shared_folder(rows.sparkSession)}/level-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables made by :func:`settled` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_settled_at", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
