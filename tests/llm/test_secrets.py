@@ -86,6 +86,21 @@ LEXED = {
     f'user = "bob", pwd = "{S}", host = "h"':[S],
     f'f(password="{S}", user="x")':[S],
     f'secret: [ "{S}" ]':[S],
+    f'db_pwd = c ? "{S}" : ""':[S],
+    f'db_pwd = f() or "{S}"':[S],
+    f'db_pwd = os.environ.get("X") || "{S}"':[S],
+    f'db_pwd = "{S}" if c else "q9w8e7r6t5y4"':[S,"q9w8e7r6t5y4"],
+    f'user, db_pwd = "robert.smith1", "{S}"':[S],
+    f'db_pwd += "{S}"':[S],
+    f'if db_pwd == "{S}":':[S],
+    f'if "{S}" == db_pwd {{':[S],
+    f'api_keys = ["{S}", "q9w8e7r6t5y4"]':[S,"q9w8e7r6t5y4"],
+    f'secrets = {{"db": "{S}", "n": 3}}':[S],
+    f'titles = {{"db": "{S}"}}':[],
+    "let db_pwd: M<" + ", ".join(f"Type{k}" for k in range(60)) + f'> = "{S}";':[S],
+    "var dbPwd map[string]" + "Long" * 80 + f' = "{S}"':[S],
+    "db_pwd = " + "wrap(" * 9 + f'"{S}"' + ")" * 9:[S],
+    "db_pwd = " + "w((" * 400 + f'"{S}" + "tail"' + "))" * 400:[S,"tail"],
 }
 
 
@@ -105,6 +120,44 @@ def test_lexer_never_fails_and_spans_lie_in_the_text():
     assert [chain[a:b] for a, b in se.lexed_spans(chain)] == [S]
 
 
+def test_types_are_found_as_by_a_scan_from_every_token():
+    """The one pass over all tokens against a scan from each, on random texts."""
+
+    def scanned(tokens, k):
+        depth = 0
+        for j in range(k, len(tokens)):
+            t = tokens[j]
+            mark = t.kind in ("mark", "op")
+            if depth == 0 and t.kind == "op" and t.text in ("=", ":="):
+                return j if j > k else 0
+            if mark and t.text in ("[", "(", "<"):
+                depth += 1
+            elif mark and t.text in ("]", ")", ">", ">>"):
+                depth -= 2 if t.text == ">>" else 1
+                if depth < 0:
+                    return 0
+            elif t.kind in ("text", "end") or (t.kind == "mark" and t.text not in "&*.?'" and not (depth and t.text == ",")) or (t.kind == "op" and t.text not in ("|", "::", "->", "?", ":")):
+                return 0
+        return 0
+
+    draw = random.Random(8)
+    marks = ["a", "b", "<", ">", ">", "[", "]", "(", ")", ",", "=", ":", "&", "*", "::", "->", "|", "\n", '"x"', ">>", ";", "=="]
+    for _ in range(4000):
+        text = " ".join(draw.choice(marks) for _ in range(draw.randrange(1, 16)))
+        tokens = se._tokens(text, 0, len(text))[0]
+        reader = se._Reader(text, tokens)
+        assert [reader.after_type(k) for k in range(len(tokens))] == [scanned(tokens, k) for k in range(len(tokens))], text
+
+
+def test_long_lines_are_read_in_time():
+    import time
+
+    begun = time.monotonic()
+    for text in ("word " * 60_000 + "= token", "token " * 60_000, "a < " * 30_000 + "= token", "x = (" * 20_000 + "token", "token = [" + "'abc', " * 30_000, "token = a ? " * 10_000, "token(" * 20_000 + '"v"'):
+        se.lexed_spans(text)
+    assert time.monotonic() - begun < 60
+
+
 def test_redaction(odd_docs):
     assert se.redact("x password=abcdef1 y") == "x [SECRET] y"
     assert se.redact("nothing here: at all") == "nothing here: at all"

@@ -60,25 +60,19 @@ _FLAG_VALUE = re.compile(r"""[ \t]+(?!-)([^\s"'`,;(){}<>\[\]&|]+)""")
 _LOOKUP = re.compile(r"(?i)get|env|read|input|prompt|load|fetch|find|lookup|require|open|config|param|ask|select|query")
 #: Attributes that name what the attribute after them holds.
 _KEYS = frozenset({"key", "name", "id", "property"})
-#: Tokens between a name's colon and its operator that may be its type.
-MOST_TYPE = 64
+#: Operators that bind, and those that compare with a value worth the same care.
+_BINDS, _COMPARES = "= := => += ||= ??=", "== != === !=="
+#: What stands before another choice of a value.
+_CHOICES = frozenset({"?", ":", "or", "||", "??", "else"})
 _IDENTIFIER = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.]*)\}?\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)(?:x+|\*+|\.+|0+|1234\w*|change_?me|example|sample|placeholder|your[_-].*|none|null|true|false|todo|redacted|<.*>|\$\{.*\}|%\(.*\)s|\{\{.*\}\})\Z")
 #: Words with points that no shorter one is part of.
 _ROOTS = [w for w in sorted(NAME_POINTS) if not any(v != w and v in w for v in NAME_POINTS)]
-#: A name with points where it could be bound to something; a text without one has no pair to report.
-_SITE = re.compile(
-    r"(?:" + "|".join(sorted(NAME_POINTS)) + r""")[\w.\-$]*(?:["'\])]*\s*(?:[=:({]|["'][\t\x20]*,)|["']\s*,|[^\n<>]{0,200}>|[\x20\t*&:\[][^\n=]{0,200}=|\[)|--[\w\-]*(?:"""
-    + "|".join(sorted(NAME_POINTS))
-    + ")",
-    re.I,
-)
-
-
 def name_points(name: str) -> float:
     """How sensitive a target name is, from its words."""
-    return sum(NAME_POINTS.get(w.lower(), 0.0) for w in _WORDS.findall(name))
+    words = (w.lower() for w in _WORDS.findall(name))
+    return sum(NAME_POINTS.get(w, NAME_POINTS.get(w[:-1], 0.0) if w.endswith("s") else 0.0) for w in words)
 
 
 def literal_points(value: str) -> float:
@@ -142,7 +136,7 @@ class _Reader:
     """Reads the tokens of one text into pairs."""
 
     def __init__(self, text: str, tokens: list[_Token]):
-        self.text, self.tokens = text, tokens
+        self.text, self.tokens, self.typed = text, tokens, None
 
     def is_mark(self, k: int, marks: str) -> bool:
         return 0 <= k < len(self.tokens) and self.tokens[k].kind in ("mark", "op") and self.tokens[k].text in marks.split()
@@ -155,44 +149,57 @@ class _Reader:
             k += 1
         return k
 
-    def operand(self, k: int, depth: int = 0) -> tuple[list[Part], int]:
-        """A literal, a name, or a call that wraps one; nothing where it is none of these."""
+    def operand(self, k: int) -> tuple[list[Part], int, bool]:
+        """A literal or a name, or the place after a call's bracket (True); nothing where it is none of these."""
         if self.kind(k) == "text":
             t = self.tokens[k]
             k += 1
             while self.is_mark(k, ".") and self.kind(k + 1) == "name" and self.is_mark(k + 2, "(") and self.is_mark(k + 3, ")"):
                 k += 4  # a conversion such as .to_string()
-            return [(t.start, t.end, False)], k
-        if self.is_mark(k, "& * ( [") and depth < 4:
-            parts, k = self.operand(self.past_ends(k + 1), depth + 1)
-            return parts, k + self.is_mark(k, ") ]")
+            return [(t.start, t.end, False)], k, False
         if self.kind(k) != "name":
-            return [], k
+            return [], k, False
         name, k = self.tokens[k], k + 1
         while self.is_mark(k, "::") and self.kind(k + 1) == "name":
             name, k = self.tokens[k + 1], k + 2
         if self.is_mark(k, "("):
-            if _LOOKUP.search(name.text) or depth >= 4:
-                return [], k
-            parts, k = self.value(self.past_ends(k + 1), depth + 1)
-            return (parts, k + 1) if self.is_mark(self.past_ends(k), ")") else ([], k)
-        return ([], k) if self.is_mark(k, "[ {") else ([(name.start, name.end, True)], k)
-
-    def value(self, k: int, depth: int = 0) -> tuple[list[Part], int]:
-        """Operands that are joined by + or stand beside each other."""
-        parts, k = self.operand(k, depth)
-        while parts:
-            after = self.past_ends(k)
-            joined = self.is_mark(after, "+ . .. ++ <> &") and (self.kind(self.past_ends(after + 1)) == "text" or self.is_mark(after, "+"))
-            if joined:
-                after = self.past_ends(after + 1)
-            elif not (not parts[-1][2] and self.kind(after) == "text" and not self.is_entry(after)):
-                break
-            more, end = self.operand(after, depth)
-            if not more:
-                break
-            parts, k = [*parts, *more], end
-        return parts, k
+            return ([], k, False) if _LOOKUP.search(name.text) else ([], self.past_ends(k + 1), True)
+        return ([], k, False) if self.is_mark(k, "[ {") else ([(name.start, name.end, True)], k, False)
+
+    def joined(self, k: int, last: Part) -> int | None:
+        """Where the next operand begins, if one is joined to the last by + or stands beside it."""
+        after = self.past_ends(k)
+        if self.is_mark(after, "+ . .. ++ <> &") and (self.kind(self.past_ends(after + 1)) == "text" or self.is_mark(after, "+")):
+            return self.past_ends(after + 1)
+        return after if not last[2] and self.kind(after) == "text" and not self.is_entry(after) else None
+
+    def value(self, k: int) -> tuple[list[Part], int]:
+        """Operands that are joined, each in any number of brackets and calls; (parts, where they end)."""
+        calls: list[tuple[list[Part], int, int]] = []  # of every open call: parts before it, where they ended, brackets around it
+        parts, end, at = [], k, k
+        while True:
+            wraps = 0
+            while self.is_mark(at, "& * ( ["):
+                wraps, at = wraps + 1, self.past_ends(at + 1)
+            new, stop, called = self.operand(at)
+            if called:
+                calls.append((parts, end, wraps))
+                parts, end, at = [], stop, stop
+                continue
+            while True:
+                for _ in range(wraps):
+                    stop += self.is_mark(stop, ") ]")
+                if new:
+                    parts += new
+                    end = stop
+                    if (follows := self.joined(end, parts[-1])) is not None:
+                        at = follows
+                        break
+                if not calls:
+                    return parts, end
+                within, inner_end = parts, end
+                parts, end, wraps = calls.pop()
+                new, stop = (within, inner_end + 1) if within and self.is_mark(self.past_ends(inner_end), ")") else ([], inner_end)
 
     def is_entry(self, k: int) -> bool:
         """Whether the string is the key of the next entry."""
@@ -215,80 +222,194 @@ class _Reader:
 
     def after_type(self, k: int) -> int:
         """Where a type that begins here ends in an assignment, else 0."""
-        depth = 0
-        for j in range(k, min(k + MOST_TYPE, len(self.tokens))):
-            t = self.tokens[j]
-            if depth == 0 and t.kind == "op" and t.text in ("=", ":="):
-                return j if j > k else 0
-            if t.text in ("[", "(", "<"):
-                depth += 1
-            elif t.text in ("]", ")", ">"):
-                depth -= 1
-            elif t.text == ">>":
-                depth -= 2
-            elif t.kind in ("text", "end") or (t.kind == "mark" and t.text not in "&*.?'" and not (depth and t.text == ",")) or (t.kind == "op" and t.text not in ("|", "::", "->", "?", "<", ">", ":")):
-                return 0
-        return 0
+        if self.typed is None:
+            self.typed = self._types()
+        return self.typed[k] if k < len(self.typed) and self.typed[k] > k else 0
+
+    def _types(self) -> list[int]:
+        """For every token, where a type from there on meets its assignment; one pass from the end, brackets skipped whole."""
+        n, step = len(self.tokens), {"[": 1, "(": 1, "<": 1, "]": -1, ")": -1, ">": -1, ">>": -2}
+        found, depth = [0] * (n + 1), [0] * (n + 1)
+        for k, t in enumerate(self.tokens):
+            depth[k + 1] = depth[k] + (step.get(t.text, 0) if t.kind in ("mark", "op") else 0)
+        lower: list[int] = []  # places after tokens, deepest first: where the depth falls to a value again
+        stop = n  # the next token that no type holds at any depth
+        for k in range(n - 1, -1, -1):
+            while lower and depth[lower[-1]] >= depth[k + 1]:
+                lower.pop()
+            lower.append(k + 1)
+            t = self.tokens[k]
+            turn = step.get(t.text, 0) if t.kind in ("mark", "op") else 0
+            if t.kind == "op" and t.text in ("=", ":="):
+                found[k], stop = k, k
+            elif turn > 0:
+                at, low, high = 0, 0, len(lower)
+                while low < high:  # the first place, from the end of the list, not deeper than here
+                    mid = (low + high) // 2
+                    if depth[lower[mid]] <= depth[k]:
+                        low = mid + 1
+                    else:
+                        high = mid
+                at = lower[low - 1] if low else 0
+                found[k] = found[at] if at and depth[at] == depth[k] and stop >= at else 0
+            elif turn < 0:
+                found[k] = 0
+            elif t.kind in ("text", "end") or (t.kind == "mark" and t.text not in "&*.?'" and t.text != ",") or (t.kind == "op" and t.text not in ("|", "::", "->", "?", ":")):
+                stop = k
+            elif t.text != ",":
+                found[k] = found[k + 1]
+        return found
+
+    def choices(self, k: int) -> Iterator[list[Part]]:
+        """Literals after ?, :, or, else and their like, up to the end of the line or the next assignment."""
+        while k < len(self.tokens) and self.kind(k) != "end" and not self.is_mark(k, _BINDS + " ;"):
+            if self.tokens[k].text in _CHOICES and self.tokens[k].kind != "text":
+                parts, _ = self.value(k + 1)
+                if parts and not parts[0][2]:
+                    yield parts
+            k += 1
+
+    def others(self, k: int) -> Iterator[list[Part]]:
+        """The second and later literals of a list that begins here."""
+        if not self.is_mark(k, "[ { ("):
+            return
+        _, k = self.value(self.past_ends(k + 1))
+        while self.is_mark(self.past_ends(k), ","):
+            after = self.past_ends(self.past_ends(k) + 1)
+            if self.kind(after) != "text" or self.is_entry(after):
+                return
+            parts, k = self.value(after)
+            yield parts
+
+    def together(self, k: int) -> list[_Pair]:
+        """Pairs of ``a, b = 1, 2``, whose last name is this token; none where the sides differ in number."""
+        names, j = [self.tokens[k]], k
+        while self.is_mark(j - 1, ",") and self.kind(j - 2) == "name":
+            j -= 2
+            names.append(self.tokens[j])
+        if len(names) == 1:
+            return []
+        at, out = k + 2, []
+        for name in reversed(names):
+            parts, at = self.value(at)
+            if not parts or (name is not names[0]) != self.is_mark(at, ","):
+                return []
+            out.append(_Pair(name.text, name.start, parts))
+            at += 1
+        return out
 
     def pairs(self) -> Iterator[_Pair]:
+        """Pairs, with the names of enclosing entries before their own."""
+        around: list[str] = []
+        opened: dict[int, str] = {}  # brackets that a name opens
         for k, t in enumerate(self.tokens):
-            if t.kind not in ("name", "text"):
-                continue
-            j = k + 1
-            if t.kind == "text" and self.is_mark(j, ","):  # an argument that names the next one, or an attribute
-                parts, _ = self.value(self.past_ends(j + 1))
-                if parts and not parts[0][2]:
-                    yield _Pair(t.text, t.start, parts)
-            if t.kind == "name" and self.is_mark(j, "( {") and self.kind(j + 1) == "text" and not _LOOKUP.search(t.text):
-                parts, end = self.value(j + 1)
-                if self.is_mark(end, ") }"):
-                    yield _Pair(t.text, t.start, parts)
-            if t.kind == "name" and self.is_mark(k - 1, "- --") and self.text[t.start - 2 : t.start] == "--" and (flag := _FLAG_VALUE.match(self.text, t.end)):
-                yield _Pair(t.text, t.start, [(*flag.span(1), False)])
-            if t.kind == "name" and self.is_mark(k - 1, "- --") and self.kind(j) == "text" and self.text[t.end : t.end + 1] == " ":
-                yield _Pair(t.text, t.start, self.value(j)[0])
-            while self.is_mark(j, "] )") or (self.is_mark(j, "[") and self.is_mark(j + 1, "]")):
-                j += 2 if self.is_mark(j, "[") else 1
-            if t.kind == "name" and self.kind(j) in ("name", "mark") and (typed := self.after_type(j)):  # a type stands between name and operator
-                yield _Pair(t.text, t.start, self.bound(typed + 1))
-            elif self.is_mark(j, "= := =>"):
-                parts = self.bound(j + 1)
+            if t.kind in ("name", "text") and self.is_mark(k + 1, _BINDS + " :") and self.is_mark(self.past_ends(k + 2), "{"):
+                opened[self.past_ends(k + 2)] = t.text
+            if t.kind == "mark" and t.text == "{":
+                around.append(opened.get(k, ""))
+            elif t.kind == "mark" and t.text == "}" and around:
+                around.pop()
+            for pair in self.pairs_at(k, t):
+                yield pair
+                if around and around[-1] and not name_points(pair.name):
+                    yield _Pair(f"{around[-1]}.{pair.name}", pair.at, pair.parts)
+
+    def pairs_at(self, k: int, t: _Token) -> Iterator[_Pair]:
+        if t.kind not in ("name", "text"):
+            return
+        j = k + 1
+        if t.kind == "name" and self.is_mark(j, "=") and (pairs := self.together(k)):
+            yield from pairs
+            return
+        if self.is_mark(j, _COMPARES):
+            if t.kind == "name" and self.kind(j + 1) == "text":
+                yield _Pair(t.text, t.start, self.value(j + 1)[0])
+            elif t.kind == "text" and self.kind(j + 1) == "name":
+                yield _Pair(self.tokens[j + 1].text, t.start, [(t.start, t.end, False)])
+        if t.kind == "text" and self.is_mark(j, ","):  # an argument that names the next one, or an attribute
+            parts, _ = self.value(self.past_ends(j + 1))
+            if parts and not parts[0][2]:
+                yield _Pair(t.text, t.start, parts)
+        if t.kind == "name" and self.is_mark(j, "( {") and self.kind(j + 1) == "text" and not _LOOKUP.search(t.text):
+            parts, end = self.value(j + 1)
+            if self.is_mark(end, ") }"):
                 yield _Pair(t.text, t.start, parts)
-                if t.text.lower() in _KEYS and len(parts) == 1 and not parts[0][2] and self.kind(j + 2) == "name" and self.is_mark(j + 3, "="):
-                    yield _Pair(self.text[slice(*parts[0][:2])], t.start, self.bound(j + 4))
-            elif self.is_mark(j, ":"):
-                typed = self.after_type(j + 1)
-                yield _Pair(t.text, t.start, self.bound((typed or j) + 1))
+        if t.kind == "name" and self.is_mark(k - 1, "- --") and self.text[t.start - 2 : t.start] == "--" and (flag := _FLAG_VALUE.match(self.text, t.end)):
+            yield _Pair(t.text, t.start, [(*flag.span(1), False)])
+        if t.kind == "name" and self.is_mark(k - 1, "- --") and self.kind(j) == "text" and self.text[t.end : t.end + 1] == " ":
+            yield _Pair(t.text, t.start, self.value(j)[0])
+        while self.is_mark(j, "] )") or (self.is_mark(j, "[") and self.is_mark(j + 1, "]")):
+            j += 2 if self.is_mark(j, "[") else 1
+        if t.kind == "name" and self.kind(j) in ("name", "mark") and (typed := self.after_type(j)):  # a type stands between name and operator
+            yield _Pair(t.text, t.start, self.bound(typed + 1))
+        elif self.is_mark(j, _BINDS):
+            parts = self.bound(j + 1)
+            yield _Pair(t.text, t.start, parts)
+            yield from (_Pair(t.text, t.start, more) for more in (*self.choices(j + 1), *self.others(self.past_ends(j + 1))))
+            if t.text.lower() in _KEYS and len(parts) == 1 and not parts[0][2] and self.kind(j + 2) == "name" and self.is_mark(j + 3, "="):
+                yield _Pair(self.text[slice(*parts[0][:2])], t.start, self.bound(j + 4))
+        elif self.is_mark(j, ":"):
+            typed = self.after_type(j + 1)
+            yield _Pair(t.text, t.start, self.bound((typed or j) + 1))
+            yield from (_Pair(t.text, t.start, more) for more in self.others(self.past_ends(j + 1)))
+
+
+def _binding(name: str, at: int, bound: dict[str, list[_Pair]]) -> _Pair | None:
+    """The last binding of a name before a place, else its first one."""
+    options = bound.get(name) or bound.get(name.rsplit(".", 1)[-1]) or []
+    return options[max(0, bisect_left(options, at, key=lambda p: p.at) - 1)] if options else None
+
+
+def _origin(text: str, pair: _Pair, bound: dict[str, list[_Pair]], known: dict[int, _Pair | None]) -> _Pair | None:
+    """Where a chain of lone names ends, and None for one that runs in a circle; every step is taken once for all pairs."""
+    path: list[_Pair] = []
+    on: set[int] = set()
+    while id(pair) not in known:
+        on.add(id(pair))
+        path.append(pair)
+        a, b, named = pair.parts[0]
+        ahead = _binding(text[a:b], pair.at, bound) if named and len(pair.parts) == 1 else None
+        if ahead is None:
+            known[id(pair)] = pair
+        elif id(ahead) in on:
+            known[id(pair)] = None
+        else:
+            pair = ahead
+    for passed in path:
+        known[id(passed)] = known[id(pair)]
+    return known[id(pair)]
 
 
-def _resolved(text: str, pair: _Pair, bound: dict[str, list[_Pair]]) -> list[tuple[int, int]]:
-    """Spans of the literals that a pair stands for; a name is its last binding before this place, else its first one.
+def _resolved(text: str, pair: _Pair, bound: dict[str, list[_Pair]], known: dict[int, _Pair | None]) -> list[tuple[int, int]]:
+    """Spans of the literals that a pair stands for, through any steps.
 
     A lone word that nothing binds is a literal itself if it has a digit, as in configuration files.
     """
-    out, through, todo = [], {id(pair)}, [(pair, part) for part in reversed(pair.parts)]
+    first = _origin(text, pair, bound, known)
+    if first is None:
+        return []
+    out, through, todo = [], {id(first)}, [(first, part) for part in reversed(first.parts)]
     while todo:
         of, (a, b, named) = todo.pop()
         if not named:
             out.append((a, b))
             continue
-        name = text[a:b]
-        options = bound.get(name) or bound.get(name.rsplit(".", 1)[-1]) or []
-        place = bisect_left(options, of.at, key=lambda p: p.at)
-        other = options[max(0, place - 1)] if options else None
-        if other is not None:
-            if id(other) not in through:
-                through.add(id(other))
-                todo += [(other, part) for part in reversed(other.parts)]
-        elif len(of.parts) == 1 and any("0" <= c <= "9" for c in name):
-            out.append((a, b))
+        other = _binding(text[a:b], of.at, bound)
+        if other is None:
+            if len(of.parts) == 1 and any("0" <= c <= "9" for c in text[a:b]):
+                out.append((a, b))
+            continue
+        ahead = _origin(text, other, bound, known)
+        if ahead is not None and id(ahead) not in through:
+            through.add(id(ahead))
+            todo += [(ahead, part) for part in reversed(ahead.parts)]
     return out
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose own or forwarded target names are sensitive."""
     lower = text.lower()
-    if not any(w in lower for w in _ROOTS) or not _SITE.search(text):
+    if not any(w in lower for w in _ROOTS):  # no name can have points
         return []
     pairs, todo = [], [(0, len(text))]
     while todo:
@@ -300,11 +421,12 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     for p in pairs:
         bound.setdefault(p.name, []).append(p)
     found: set[tuple[int, int]] = set()
+    known: dict[int, _Pair | None] = {}
     for p in pairs:
         points = name_points(p.name)
         if not points:
             continue
-        spans = _resolved(text, p, bound)
+        spans = _resolved(text, p, bound, known)
         if spans and points + literal_points("".join(text[a:b] for a, b in spans)) >= LEXED_LEAST:
             found.update(s for s in spans if s[0] < s[1])
     return sorted(found)
