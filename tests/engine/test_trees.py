@@ -126,7 +126,10 @@ def test_edits_and_diffs():
     assert edits.conflicts([edits.Edit(0, 3, b"", b""), edits.Edit(2, 4, b"", b"")])
     assert edits.conflicts([edits.Edit(3, 3, b"", b"a"), edits.Edit(3, 5, b"", b"")])
     assert not edits.conflicts([edits.Edit(0, 3, b"", b""), edits.Edit(3, 5, b"", b"")])
-    assert edits.quoted("a\tb é") == '"a\\tb \\303\\251"' and edits.quoted("src/a.rs") == "src/a.rs"
+    assert edits.quoted("a\tb é") == '"a\\tb \\303\\251"' and edits.quoted("src/a.rs") == '"src/a.rs"' and edits.quoted("a\a\v\\") == '"a\\007\\013\\\\"'
+    for bad in ("", "/a", "a//b", "a/../b", "./a", "a\0"):
+        with pytest.raises(edits.EditError):
+            edits.diff_section(bad, source, b"x")
     assert "\\ No newline at end of file" in edits.diff_section("a", source, b"one\ntwo\nthree!")
     assert edits.diff_section("a", source, source) == "" and "/dev/null" in edits.diff_section("a", None, b"x\n")
 
@@ -168,6 +171,7 @@ def test_items_and_words():
     ]
     assert items.use_leaves(tree, source) == [("a", "a", False), ("a::b::C", "D", False), ("a::b::e", "e", False), ("a::f", None, True)]
     assert items.words("parseHTTPRequest_v2") == ["parse", "http", "request", "v2"] and items.words("größe") == []
+    assert items.words("utf8Decode") == ["utf8decode"] and items.words("read_v2Header") == ["read", "v2header"] and items.words("r#IOError2X") == ["io", "error2x"]
     assert items.cfg_value('all(unix, feature = "x")', {"unix", 'feature="x"'}) is True
     assert items.cfg_value("any(unix, other)", {"unix"}) is None and items.cfg_value("not(unix)", {"unix"}) is False and items.cfg_value("any()", set()) is False
     assert items.child_module_paths("src/lib.rs", "a", True) == ("src/a.rs", "src/a/mod.rs") and items.child_module_paths("src/foo.rs", "a", False) == ("src/foo/a.rs", "src/foo/a/mod.rs")

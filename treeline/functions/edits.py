@@ -39,17 +39,19 @@ def reconstruct(source: bytes, edits: list[Edit]) -> bytes:
     return b"".join([*out, source[at:]])
 
 
+#: Bytes of a path that have a short escape; other unusual ones are written in octal.
+ESCAPES = {9: "\\t", 10: "\\n", 13: "\\r", 34: '\\"', 92: "\\\\"}
+
+
 def quoted(path: str) -> str:
-    """A path as Git writes it: in quotes with C escapes where it has unusual bytes."""
-    named = {7: "\\a", 8: "\\b", 9: "\\t", 10: "\\n", 11: "\\v", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
-    raw = path.encode()
-    if all(32 <= b < 127 and b not in named for b in raw):
-        return path
-    return '"' + "".join(named.get(b, chr(b) if 32 <= b < 127 else f"\\{b:03o}") for b in raw) + '"'
+    """A path in quotes with C escapes, as patch headers carry it."""
+    return '"' + "".join(ESCAPES.get(b, chr(b) if 32 <= b < 127 else f"\\{b:03o}") for b in path.encode()) + '"'
 
 
 def diff_section(path: str, old: bytes | None, new: bytes, mode: int = 0o644) -> str:
     """One file's section of a Git patch with three lines of context; ``old`` None creates the file."""
+    if not path or "\0" in path or any(part in ("", ".", "..") for part in path.split("/")):
+        raise EditError("PATCH_ENCODING_FAILED")  # only normal paths below the root
     if old == new:
         return ""
     a, b = quoted(f"a/{path}"), quoted(f"b/{path}")

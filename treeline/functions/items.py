@@ -132,7 +132,7 @@ def words(name: str) -> list[str]:
     name = name.removeprefix("r#")
     if not name.isascii():
         return []
-    parts = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)).split("_")
+    parts = re.split("[^A-Za-z0-9]+", re.sub(r"([A-Z])([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z])(?=[A-Z])", r"\1_", name)))
     return [p.lower() for p in parts if p]
 
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.operators.scratch import settled
+
 
 def running_sum(rows: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
     """``rows`` with the running sum of ``value`` along ``order``.
 
     Rows are range-partitioned on the order, summed inside each range, and shifted
     by the sum of the ranges before it; only one row per range meets in one task.
+    The ranges are settled first, so sums and shifts see the same cuts and the rows
+    are made once.
     """
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.withColumn("_value", value).repartitionByRange(width, *order).withColumn("_range", F.spark_partition_id())
+    ranged = settled(rows.withColumn("_value", value).repartitionByRange(width, *order).withColumn("_range", F.spark_partition_id()))
     within = ranged.withColumn(out, F.sum("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     totals = ranged.groupBy("_range").agg(F.sum("_value").alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -340,9 +340,9 @@ def banner_sections(t):
 def balanced_split(t):
     """The first boundary that minimises |prefix - suffix|."""
     cents = t("part").select("p_brand", "p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
-    own = Window.partitionBy("p_brand")
-    prefix = F.sum("cents").over(own.orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0))
-    off = cents.select("p_brand", "p_partkey", F.abs(2 * prefix - F.sum("cents").over(own)).alias("off"))
+    summed = ordering.running_sum(cents, ["p_brand", "p_partkey"], F.col("cents"), "reached")  # along all brands, so a brand may span ranges
+    brands = summed.groupBy("p_brand").agg(F.min(F.col("reached") - F.col("cents")).alias("base"), F.sum("cents").alias("total"))
+    off = summed.join(brands, "p_brand").select("p_brand", "p_partkey", F.abs(2 * (F.col("reached") - F.col("base")) - F.col("total")).alias("off"))
     return off.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("off", "p_partkey")).alias("boundary"), F.min("off").alias("imbalance"))
 
 
@@ -387,6 +387,19 @@ def common_prefix(t):
     return ends.select("host", F.when(F.least(F.size("lo"), F.size("hi")) > 0, same).otherwise(0).alias("common_segments"))
 
 
+@query("""
+    SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'get,http,part' || p_size || 'body' WHEN 1 THEN 'utf8decode,x' || p_size WHEN 2 THEN 'read,v' || p_size || 'header'
+           WHEN 3 THEN 'io,error' || p_size WHEN 4 THEN '' ELSE 'a' || p_size || 'b,c,d' END AS words FROM part""")
+def name_words(t):
+    """A1: words of names with humps, acronyms, digits and separators; names that are not ASCII have none."""
+    size = F.col("p_size").cast("string")
+    shapes = F.array(*(F.concat(F.lit(a), size, F.lit(b)) for a, b in (("getHTTPPart", "body"), ("utf8Decode_x", ""), ("read__v", "Header"), ("r#IOError", ""), ("größe", "X"), ("a", "b_C_d"))))
+    name = F.regexp_replace(F.element_at(shapes, (F.col("p_partkey") % 6 + 1).cast("int")), "^r#", "")
+    humps = F.regexp_replace(F.regexp_replace(name, "([a-z])(?=[A-Z])", "$1_"), "([A-Z])([A-Z][a-z])", "$1_$2")
+    parts = F.array_remove(F.split(F.lower(humps), "[^a-z0-9]+"), "")
+    return t("part").select("p_partkey", F.array_join(F.when(F.octet_length(name) == F.char_length(name), parts).otherwise(F.array().cast("array<string>")), ",").alias("words"))
+
+
 @query("""
     WITH w AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a FROM part)
     SELECT array_to_string(a[1:i], ' ') AS prefix, count(*) AS members FROM w, unnest(range(1, len(a) + 1)) u(i) WHERE length(array_to_string(a[1:i], ' ')) >= 3 GROUP BY 1 HAVING count(*) >= 2""")

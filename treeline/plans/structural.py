@@ -36,8 +36,8 @@ _MATCH_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.
 #: A file with more matches stops a search: it gives one row that says so.
 MAX_CANDIDATES = 100_000
 CANDIDATE_LIMIT = "candidate_match_limit"
-#: Estimated bytes for each core below which files are spread over all cores before they are parsed.
-SPREAD_BELOW = 32 << 20
+#: Estimated bytes of sources for each task that parses them.
+TASK_BYTES = 8 << 20
 
 
 class Lines:
@@ -83,10 +83,10 @@ def _arrow(files: DataFrame, columns: list[str], rule: Callable[..., list[tuple]
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    """Few files lie in few partitions: deal them over all cores, since parsing costs far more than moving them."""
+    """Deal files anew at every size, since parsing costs far more than moving them: at least a task for every core, and one for each TASK_BYTES."""
     cores = files.sparkSession.sparkContext.defaultParallelism
     size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return files.repartition(cores) if size < SPREAD_BELOW * cores else files
+    return files.repartition(max(cores, -(-size // TASK_BYTES)) if size < 1 << 50 else cores)  # an unknown size counts as huge
 
 
 def _split(schema: str) -> list[str]:
@@ -347,7 +347,7 @@ def module_chain(files: DataFrame, crate_root: str) -> DataFrame:
         return [(path, n, *_items.child_module_paths(path, n, path == crate_root)) for n in _items.module_declarations(rust_tree.parse(source), source) if n]
 
     s = pa.string()
-    declared = _arrow(files, ["path", "source"], rule, [s, s, s, s], "parent string, name string, beside string, inside string")
+    declared = settled(_arrow(files, ["path", "source"], rule, [s, s, s, s], "parent string, name string, beside string, inside string"))  # one parse for all levels
     have = files.select("path")
     a = declared.join(have.select(F.col("path").alias("beside"), F.lit(True).alias("has_beside")), "beside", "left")
     b = a.join(have.select(F.col("path").alias("inside"), F.lit(True).alias("has_inside")), "inside", "left")
