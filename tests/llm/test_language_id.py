@@ -54,3 +54,43 @@ def test_every_language_is_learned(spark):
     named = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
     assert {lang for _, lang in sample} == named and len(named) > 64
     assert li.train(sample, steps=2).labels == sorted(named)
+
+
+def _by_the_byte(net, text):
+    """One text, one byte after the other, in plain Python numbers."""
+    hidden, labels = net.state[0].shape[1], len(net.labels)
+
+    def step(table, state, h, byte):
+        g = [float(table[r, byte]) for r in range(3 * hidden)]
+        r = [sum(float(state[k, j]) * h[j] for j in range(hidden)) for k in range(3 * hidden)]
+        gates = [min(1.0, max(0.0, 0.2 * (g[k] + r[k]) + 0.5)) for k in range(2 * hidden)]
+        c = [g[2 * hidden + k] + gates[hidden + k] * r[2 * hidden + k] for k in range(hidden)]
+        c = [x / (1 + abs(x)) for x in c]
+        return [gates[k] * h[k] + (1 - gates[k]) * c[k] for k in range(hidden)]
+
+    total = np.zeros(labels)
+    for at in range(0, len(text), li.SEGMENT):
+        part = text[at : at + li.SEGMENT]
+        told = []
+        for side, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
+            h, seen = [0.0] * hidden, {}
+            for t in order:
+                h = step(net.table[side], net.state[side], h, part[t])
+                seen[t] = net.out[side].astype(float) @ np.array(h)
+            told.append(seen)
+        for t in range(len(part)):
+            p = np.exp(told[0][t] + told[1][t] + net.bias[:, 0])
+            total += p / p.sum()
+    return total / len(text) if text else np.full(labels, 1 / labels)
+
+
+def test_inference_against_a_loop_over_bytes():
+    net = li.new_network(["a", "b", "c"], 5, seed=9)
+    net.bias += np.array([[0.2], [-0.1], [0.0]], np.float32)
+    draw = np.random.default_rng(1)
+    texts = [draw.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 2, 60, li.SEGMENT - 1, li.SEGMENT, li.SEGMENT + 1, 3 * li.SEGMENT, 1000)]
+    got = li.document_probabilities(net, [*texts, *texts[:3]])
+    want = np.array([_by_the_byte(net, t) for t in [*texts, *texts[:3]]])
+    assert np.abs(got - want).max() < 1e-5
+    together = li.document_probabilities(net, texts * 700)  # more segments than advance together
+    assert np.abs(together - np.tile(want[: len(texts)], (700, 1))).max() < 1e-5
