@@ -71,6 +71,20 @@ def test_discovery_stops_at_boundaries_and_limits(spark, tmp_path):
             worktree.glob_regex(bad)
 
 
+def test_discovery_is_one_snapshot(spark, tmp_path):
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "a.rs").write_bytes(b"fn a() {}\n")
+    (tmp_path / "b.rs").write_bytes(b"\0")
+    files = worktree.discover(spark, str(tmp_path))
+    first, before = worktree.snapshot_id(files, str(tmp_path)), sorted((r.path, r.source, r.reason) for r in files.collect())
+    (tmp_path / "a.rs").write_bytes(b"fn changed() {}\n")
+    (tmp_path / "b.rs").unlink()
+    assert worktree.snapshot_id(files, str(tmp_path)) == first and sorted((r.path, r.source, r.reason) for r in files.collect()) == before
+    assert worktree.snapshot_id(worktree.discover(spark, str(tmp_path)), str(tmp_path)) != first
+    capped = worktree.survey(spark, str(tmp_path), max_source_bytes=5)
+    assert capped.truncation == ["max_source_bytes: narrow paths/globs"] and capped.files.count() == 0
+
+
 def test_new_paths_and_manifest(tmp_path):
     for name, raw in {".git/HEAD": b"", ".gitignore": b"gen/\n*.out.rs\n!keep.out.rs\n", "src/a.rs": b"", "src/.gitignore": b"/local.rs\n", "dep/.git": b"", "plain": b""}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

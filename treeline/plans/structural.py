@@ -213,8 +213,7 @@ def search_page(
     """
     bound, scope = worktree.limits(**given), scope or worktree.Scope()
     found = worktree.survey(spark, root, scope, **given)
-    files = settled(found.files)
-    found.files = files
+    files = found.files
     coverage = found.coverage()
     snapshot = worktree.snapshot_id(files, root, scope) if coverage["eligible_scan_complete"] else None
     request = {"root": root, "pattern": pattern, "query": query, "paths": scope.paths, "globs": scope.globs, "limits": bound, "response_bytes": response_bytes}

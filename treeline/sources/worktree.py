@@ -280,8 +280,10 @@ def _stable_read(root: str, path: str, most: int) -> tuple[bytes | None, int, in
 
 
 def survey(spark: SparkSession, root: str, scope: Scope | None = None, **given: int) -> Discovery:
-    """Discover a worktree: the driver lists names, executors read the bytes.
+    """Discover a worktree: the driver lists names, executors read the bytes, once.
 
+    The files are one snapshot: their table is written to the shared folder as they are
+    read, so later actions see the same bytes whatever happens on the disk.
     Files beyond ``max_files`` in path order, and eligible ones from where their
     bytes exceed ``max_source_bytes``, are not in the result; both end the scan early
     and are named in ``truncation``.
@@ -319,11 +321,9 @@ def survey(spark: SparkSession, root: str, scope: Scope | None = None, **given:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in FILES.split(", ")])
 
     parts = max(1, min(len(rows) // 64 + 1, 4 * spark.sparkContext.defaultParallelism))
-    found = listed.repartition(parts).mapInArrow(read, FILES)
-    # lengths as they were listed bound the bytes from above: only where these exceed the cap must files be summed
-    if sum(r[2] or 0 for r in rows if r[3] is None) > bound["max_source_bytes"]:
-        found = settled(found)
-        eligible = found.where("reason is null")
+    found = settled(listed.repartition(parts).mapInArrow(read, FILES))  # one reading of the disk for all that follows
+    eligible = found.where("reason is null")
+    if (eligible.agg(F.sum("length")).first()[0] or 0) > bound["max_source_bytes"]:
         beyond = running_sum(eligible.select("path", "length"), ["path"], F.col("length"), "running").where(F.col("running") > bound["max_source_bytes"]).agg(F.min("path").alias("path")).first()["path"]
         if beyond is not None:
             cut_short.append("max_source_bytes: narrow paths/globs")
