@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,34 @@ def latest_before(rows: DataFrame, partition: list[str], order: list[str], marke
     """Each row with ``value`` of the latest row at or before it that ``marker`` holds for (as-of, one sort, no join)."""
     along = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(out, F.last(F.when(marker, F.col(value)), ignorenulls=True).over(along))
+
+
+def innermost(points: DataFrame, scopes: DataFrame, partition: list[str], point: str, order: list[Column], value: str, out: str) -> DataFrame:
+    """``points`` with ``value`` of the innermost of the nested half-open ``scopes`` (at, until) around ``point``, null where there is none.
+
+    Scopes of a partition must nest or be apart. Equal starts open by falling ``until``,
+    then by ``order``; the one opened last is the innermost. Empty scopes hold nothing,
+    and points whose key has a null meet none. One running sum gives the depth of every
+    event; the last scope opened at a point's depth is the one around it, so the work is
+    one sort by partition and one by depth, whatever the number of scopes or points of a key.
+    """
+    kept = scopes.where(F.col("at") < F.col("until"))
+    held = points.withColumn("_point", F.struct(*points.columns))
+    typed = {f.name: f.dataType for f in scopes.schema.fields}
+    empty = F.lit(None).cast(typed[value])
+    nothing = F.lit(None).cast(held.schema["_point"].dataType)
+    rank = F.row_number().over(Window.partitionBy(*partition).orderBy(F.col("at"), F.col("until").desc(), *order))
+    opens = kept.withColumn("_turn", rank).select(*partition, F.col("at").alias("_at"), F.lit(1).alias("_kind"), "_turn", F.lit(1).alias("_step"), F.col(value).alias("_value"), nothing.alias("_point"))
+    closes = kept.select(*partition, F.col("until").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).alias("_turn"), F.lit(-1).alias("_step"), empty.alias("_value"), nothing.alias("_point"))
+    asks = held.select(*partition, F.col(point).alias("_at"), F.lit(2).alias("_kind"), F.lit(0).alias("_turn"), F.lit(0).alias("_step"), empty.alias("_value"), "_point")
+    along = ["_at", "_kind", "_turn"]
+    before = (Window.unboundedPreceding, 0)
+    events = opens.unionByName(closes).unionByName(asks)
+    events = events.withColumn("_depth", F.sum("_step").over(Window.partitionBy(*partition).orderBy(*along).rowsBetween(*before)))
+    # a scope that closes leaves a depth that it must not be looked up by
+    lookup = Window.partitionBy(*partition, "_depth").orderBy(*along).rowsBetween(*before)
+    events = events.where("_kind > 0").withColumn("_met", F.last(F.when(F.col("_kind") == 1, F.struct(F.col("_value").alias("v"))), ignorenulls=True).over(lookup))
+    known = F.lit(True)
+    for name in partition:
+        known = known & F.col(name).isNotNull()
+    return events.where("_kind = 2").select("_point.*", F.when((F.col("_depth") > 0) & known, F.col("_met.v")).alias(out))
