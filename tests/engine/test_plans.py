@@ -182,13 +182,13 @@ def test_search_pages_and_replacement(spark, repository):
 
 def test_queries_agree_with_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
-    from treeline.plans import ownership_queries, relational, scope_queries, structural_queries, twig_queries
+    from treeline.plans import origin_queries, ownership_queries, relational, scope_queries, structural_queries, twig_queries
 
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    own = relational.QUERIES | structural_queries.QUERIES | twig_queries.QUERIES | ownership_queries.QUERIES | scope_queries.QUERIES
+    own = relational.QUERIES | structural_queries.QUERIES | twig_queries.QUERIES | ownership_queries.QUERIES | scope_queries.QUERIES | origin_queries.QUERIES
     for name, run in own.items():
         got = run(spark, sf).toPandas()
         want = db.execute(entry.oracle_sql()[name]).df()

@@ -40,6 +40,21 @@ def is_trivia(node: Node) -> bool:
     return node.kind in COMMENTS or node.kind in ATTRIBUTES
 
 
+def marker(owner: Node | None) -> tuple[int, int] | None:
+    """The first written leaf of an owner, by which it is known again; nothing of a whole file."""
+    if owner is None or owner.kind == "source_file":
+        return None if owner is None else (0, 0)
+    stack = [owner]
+    while stack:
+        node = stack.pop()
+        if is_trivia(node):
+            continue
+        if not node.children and node.end > node.start:
+            return node.start, node.end
+        stack += reversed(node.children)
+    return None
+
+
 def inventory(tree: Node, source: bytes) -> list[Trivia]:
     """Every comment and attribute with its classification, in source order."""
     out = []

@@ -21,6 +21,7 @@ from treeline.functions import items as _items
 from treeline.functions import cursors, rust_patterns, rust_tree, tree_queries, trivia
 from treeline.operators import graphs, ordering
 from treeline.operators.scratch import settled
+from treeline.plans import origins
 from treeline.sources import worktree
 
 SLICE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
@@ -293,19 +294,19 @@ def nodes(files: DataFrame) -> DataFrame:
     return _arrow(files, ["path", "source"], rule, [s, i, i, i, i, s, s, b, b, b, i, i], NODES)
 
 
-TRIVIA = "path string, start_byte int, end_byte int, kind string, classification string, reason string, protected boolean, owner_kind string, owner_start int, owner_end int"
+TRIVIA = "path string, start_byte int, end_byte int, kind string, classification string, reason string, protected boolean, owner_kind string, owner_start int, owner_end int, marker_start int, marker_end int"
 
 
 def trivia_table(files: DataFrame) -> DataFrame:
-    """Comments and attributes with class, reason and owner."""
+    """Comments and attributes with class, reason, owner and the owner's marker (its first leaf)."""
 
     def rule(path, source):
         source = bytes(source)
         found = trivia.inventory(rust_tree.parse(source), source)
-        return [(path, t.start, t.end, t.kind, t.classification, t.reason, t.protected, t.owner and t.owner.kind, t.owner and t.owner.start, t.owner and t.owner.end) for t in found]
+        return [(path, t.start, t.end, t.kind, t.classification, t.reason, t.protected, t.owner and t.owner.kind, t.owner and t.owner.start, t.owner and t.owner.end, *(trivia.marker(t.owner) or (None, None))) for t in found]
 
     i, s = pa.int32(), pa.string()
-    return _arrow(files, ["path", "source"], rule, [s, i, i, s, s, s, pa.bool_(), s, i, i], TRIVIA)
+    return _arrow(files, ["path", "source"], rule, [s, i, i, s, s, s, pa.bool_(), s, i, i, i, i], TRIVIA)
 
 
 ITEMS = "path string, item_ordinal int, kind string, name string, visibility_key string, start_byte int, end_byte int, bytes int, lines int, eligible boolean, reasons array<string>, impl_start int"
@@ -361,6 +362,15 @@ def module_chain(files: DataFrame, crate_root: str) -> DataFrame:
 
 PLAN = "path string, applicable boolean, blockers array<string>, matches int, edits array<struct<start:long,end:long,original:string,replacement:string>>, new_source binary, patch string"
 _EDIT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("original", pa.string()), ("replacement", pa.string())])
+_KEPT = pa.struct([("edit", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("at", pa.int64())])
+_HELD = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("protected", pa.bool_()), ("owner_kind", pa.string()), ("marker_start", pa.int32()), ("marker_end", pa.int32())])
+_HELD_SQL = "array<struct<start:int,end:int,kind:string,protected:boolean,owner_kind:string,marker_start:int,marker_end:int>>"
+_PROOF = f"{PLAN}, size long, kept array<struct<edit:int,start:long,end:long,at:long>>, before {_HELD_SQL}, after {_HELD_SQL}"
+
+
+def _held(found: list[trivia.Trivia]) -> list[dict]:
+    rows = ((t, trivia.marker(t.owner) or (None, None)) for t in found)
+    return [{"start": t.start, "end": t.end, "kind": t.kind, "protected": t.protected, "owner_kind": t.owner and t.owner.kind, "marker_start": a, "marker_end": b} for t, (a, b) in rows]
 
 
 def replace(files: DataFrame, pattern: str, replacement: str, selection: DataFrame | None = None) -> DataFrame:
@@ -369,7 +379,10 @@ def replace(files: DataFrame, pattern: str, replacement: str, selection: DataFra
     ``selection`` (path, start_byte, end_byte, expected_text) narrows the matches;
     entries that meet none are what :func:`stale_selection` returns. Comments inside
     a match that no copied capture keeps, overlapping edits and syntax errors before
-    or after block the file. A plan applies only if no file is blocked.
+    or after block the file, and so does a comment or attribute that isn't found again
+    where its bytes went, or is protected and belongs to something else there
+    (``origins.verify``). A plan applies only if no file is blocked. The plan is
+    settled, since the proof reads it more than once.
     """
     compiled = rust_patterns.compile_pattern(pattern)
     template = rust_patterns.compile_template(replacement, compiled.variables)
@@ -385,7 +398,7 @@ def replace(files: DataFrame, pattern: str, replacement: str, selection: DataFra
         if not found:
             return []
         blockers = ["PREEXISTING_SYNTAX_ERROR"] if tree.broken else []
-        made, comments = [], trivia.inventory(tree, source)
+        made, comments, copied = [], trivia.inventory(tree, source), []
         for node, bound in found:
             kept = [(ns[0].start, ns[0].end) for name, ns in bound.items() if name in used]
             lost = [t for t in comments if node.start <= t.start and t.end <= node.end and not any(a <= t.start and t.end <= b for a, b in kept)]
@@ -393,20 +406,29 @@ def replace(files: DataFrame, pattern: str, replacement: str, selection: DataFra
                 blockers.append("UNRETAINED_TRIVIA")
             new = template.expand({name: ns[0].text(source) for name, ns in bound.items()})
             if new != node.text(source):
+                at = 0
+                for named, part in template.parts:
+                    if named:
+                        first = bound[part.decode()][0]
+                        copied.append({"edit": len(made), "start": first.start, "end": first.end, "at": at})
+                    at += first.end - first.start if named else len(part)
                 made.append(_edits.Edit(node.start, node.end, node.text(source), new))
-        new_source, patch = None, None
+        new_source, patch, after = None, None, []
         try:
             new_source = _edits.reconstruct(source, made)
-            if not tree.broken and rust_tree.parse(new_source).broken:
+            proposed = rust_tree.parse(new_source)
+            if not tree.broken and proposed.broken:
                 blockers.append("NEW_SYNTAX_ERROR")
+            after = trivia.inventory(proposed, new_source)
             patch = _edits.diff_section(path, source, new_source, mode or 0o644)
         except _edits.EditError as e:
             blockers.append(e.code)
         ok = not blockers
         shown = [{"start": e.start, "end": e.end, "original": e.original.decode(), "replacement": e.replacement.decode()} for e in made]
-        return [(path, ok, sorted(set(blockers)), len(found), shown if ok else None, new_source if ok else None, patch if ok else None)]
+        plain = (path, ok, sorted(set(blockers)), len(found), shown if ok else None, new_source if ok else None, patch if ok else None)
+        return [(*plain, *((len(source), copied, _held(comments), _held(after)) if ok else (None,) * 4))]
 
-    types = [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.list_(_EDIT), pa.binary(), pa.string()]
+    types = [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.list_(_EDIT), pa.binary(), pa.string(), pa.int64(), pa.list_(_KEPT), pa.list_(_HELD), pa.list_(_HELD)]
     wanted = "array<struct<start_byte:long,end_byte:long,expected_text:string>>"
     files = _holding(files, compiled)
     mode = F.col("mode") if "mode" in files.columns else F.lit(None).cast("int").alias("mode")
@@ -415,7 +437,7 @@ def replace(files: DataFrame, pattern: str, replacement: str, selection: DataFra
     else:  # at most max_matches anchors, so one file's are few
         anchors = selection.groupBy("path").agg(F.collect_list(F.struct(F.col("start_byte").cast("long").alias("start_byte"), F.col("end_byte").cast("long").alias("end_byte"), "expected_text")).alias("chosen"))
         rows = files.select("path", "source", mode).join(anchors, "path")
-    return _arrow(rows, ["path", "source", "mode", "chosen"], rule, types, PLAN)
+    return origins.proved(settled(_arrow(rows, ["path", "source", "mode", "chosen"], rule, types, _PROOF)))
 
 
 def stale_selection(selection: DataFrame, matches: DataFrame) -> DataFrame:
