@@ -47,3 +47,18 @@ def test_labelled_reach_stops_where_it_may_not_pass(spark):
     through = spark.createDataFrame([(lab, f"{k:03}", (lab, k) not in {("x", 3), ("y", 4)}) for lab in "xyz" for k in range(1, 10)], "label string, node string, passable boolean")
     got = {(r.label, int(r.node)) for r in graphs.labelled_reach(edges, roots, through).collect()}
     assert got == {*(("x", k) for k in (1, 2, 3)), *(("y", k) for k in (6, 2, 3, 1, 4)), ("z", 5)}
+
+
+def test_a_walk_sends_only_levels_that_it_counted(spark, monkeypatch):
+    """Files of a level say nothing of its rows: with a threshold that all files meet, large levels are shuffled all the same."""
+    pairs = [(k, k + 1) for k in range(5)]
+    few, many = spark.createDataFrame([("x", "000")], "label string, node string"), _edges(spark, pairs).withColumnRenamed("a", "node")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plan = lambda n: graphs._beside(few, n, many, ["node"])._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan(graphs.FEW + 1) and "Broadcast" in plan(graphs.FEW)
+        monkeypatch.setattr(graphs, "FEW", 0)
+        assert {(r.label, int(r.node)) for r in graphs.labelled_reach(_edges(spark, pairs), few).collect()} == {("x", k) for k in range(6)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -27,28 +27,45 @@ def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
         found = both
 
 
+#: Rows of a level up to which it is sent to the other side of a join, instead of both being shuffled.
+FEW = 100_000
+
+
+def _beside(few: DataFrame, n: int, many: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``few`` (``n`` of them) joined with ``many``; a side is sent whole only by its counted rows.
+
+    Levels are small as Parquet and large as rows, so the size of their files must not make a broadcast.
+    """
+    return many.hint("merge").join(few, on) if n > FEW else many.join(F.broadcast(few), on)
+
+
 def labelled_reach(edges: DataFrame, roots: DataFrame, through: DataFrame | None = None) -> DataFrame:
     """(label, node) reachable from ``roots`` (label, node) over ``edges`` (a, b), all labels at once, roots included.
 
     ``through`` (label, node, passable) says where a walk goes on: a node that isn't
     passable for a label is reached but not left. Roots are always left. Each round is
-    one join of the newest pairs with the edges; both are shuffled on the node.
+    one join of the newest pairs with the edges; large levels are shuffled on the node,
+    small ones sent to the edges. ``edges`` is read once a round and best settled.
     """
-    found = settled(roots.select("label", "node").distinct().withColumn("round", F.lit(0)))
-    for turn in itertools.count(1):
-        newest = found.where(F.col("round") == turn - 1).drop("round")
+    onward = edges.select(F.col("a").alias("node"), "b")
+    level = settled(roots.select("label", "node").distinct())
+    levels, n, turn = [level], level.count(), 0
+    read = level.sparkSession.read.schema(level.schema)
+    while n:
+        turn += 1
         if through is not None and turn > 1:
-            newest = newest.join(through.where("passable").select("label", "node"), ["label", "node"])
-        ahead = newest.join(edges.select(F.col("a").alias("node"), "b"), "node").select("label", F.col("b").alias("node")).distinct()
-        level = settled(ahead.join(found, ["label", "node"], "left_anti").withColumn("round", F.lit(turn)))
-        if level.isEmpty():
-            dropped(level)
-            out = found.drop("round")
-            out._settled_at = found._settled_at
-            return out
-        both = settled(found.unionByName(level))
-        dropped(found, level)
-        found = both
+            level = _beside(level, n, through.where("passable").select("label", "node"), ["label", "node"]).distinct()
+        ahead = settled(_beside(level, n, onward, ["node"]).select("label", F.col("b").alias("node")).distinct())
+        m = ahead.count()
+        found = read.parquet(*(x._settled_at for x in levels))
+        known = _beside(ahead, m, found, ["label", "node"])
+        level = settled(ahead.join(known.hint("merge"), ["label", "node"], "left_anti"))
+        levels.append(level)
+        n = level.count()
+        dropped(ahead)
+    out = settled(read.parquet(*(x._settled_at for x in levels)))
+    dropped(*levels)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

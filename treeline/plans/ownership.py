@@ -114,16 +114,17 @@ def companions(edges: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFr
     something beyond the core's reach writes it, else ``observed_exclusive``. All cores
     walk at once; the result depends on no order.
     """
-    edges = edges.where("a <> b")
-    plain = edges.select("a", "b").distinct()
+    # read once a round, so made once; all sides of a join here grow with the graph, so none is broadcast
+    edges = settled(edges.where("a <> b").groupBy("a", "b").agg(F.bool_or("uncertain").alias("uncertain")))
+    plain = edges.select("a", "b")
     roots = members.select(F.col("core").alias("label"), "node")
     reached = graphs.labelled_reach(plain, roots)
-    beyond = reached.join(roots, ["label", "node"], "left_anti")
-    sources = beyond.join(edges.select(F.col("b").alias("node"), "a", "uncertain"), "node")
+    beyond = reached.join(roots.hint("merge"), ["label", "node"], "left_anti")
+    sources = beyond.join(edges.select(F.col("b").alias("node"), "a", "uncertain").hint("merge"), "node")
     inside = reached.select("label", F.col("node").alias("a"), F.lit(True).alias("inside"))
-    judged = sources.join(inside, ["label", "a"], "left").groupBy("label", "node")
+    judged = sources.join(inside.hint("merge"), ["label", "a"], "left").groupBy("label", "node")
     judged = judged.agg(F.bool_or("inside").alias("met"), F.bool_or(F.col("inside") & F.col("uncertain")).alias("uncertain"), F.bool_or(F.col("inside").isNull()).alias("shared"))
-    told = judged.join(nodes, "node")
+    told = judged.join(nodes.hint("merge"), "node")
     names = {"exposed": "public_or_exposed_boundary", "imported": "import_boundary", "unsupported": "unsupported_context", "uncertain": "uncertain_identity", "shared": "observed_shared_node"}
     reasons = F.array_sort(F.filter(F.array(*(F.when(F.col(c), F.lit(r)) for c, r in names.items())), lambda r: r.isNotNull()))
     undetermined = F.coalesce("uncertain", F.lit(False)) | F.col("unsupported")
@@ -131,8 +132,8 @@ def companions(edges: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFr
     told = settled(told.select("label", "node", reasons.alias("reasons"), label.alias("classification"), (F.size(reasons) == 0).alias("passable")))
     passing = told.select("label", "node", "passable").unionByName(roots.withColumn("passable", F.lit(True)))
     walked = graphs.labelled_reach(plain, roots, passing)
-    out = settled(told.join(walked, ["label", "node"], "left_semi").select(F.col("label").alias("core"), "node", "reasons", "classification"))
-    dropped(reached, walked, told)
+    out = settled(told.join(walked.hint("merge"), ["label", "node"], "left_semi").select(F.col("label").alias("core"), "node", "reasons", "classification"))
+    dropped(edges, reached, walked, told)
     return out
 
 

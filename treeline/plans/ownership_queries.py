@@ -68,7 +68,7 @@ def companion_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     here = parts.select("k")
     steps = parts.select(F.col("k").alias("a"), F.explode(F.array(F.col("k") * 2, F.col("k") * 2 + 1)).alias("b")).withColumn("uncertain", (F.col("a") + F.col("b")) % 13 == 0)
     steps = steps.unionByName(parts.where("k % 5 = 0").select(F.col("k").alias("a"), (F.col("k") + 7).alias("b"), F.lit(False).alias("uncertain"))).distinct()
-    steps = steps.join(here.select(F.col("k").alias("b")), "b")
+    steps = steps.join(here.select(F.col("k").alias("b")).hint("merge"), "b")  # as many parts as steps
     nodes = parts.select(F.col("k").alias("node"), (F.col("p_size") == 40).alias("exposed"), (F.col("p_size") == 41).alias("imported"), (F.col("p_size") == 42).alias("unsupported"))
     members = parts.where("p_size < 3").select(F.col("p_brand").alias("core"), F.col("k").alias("node"))
     found = ownership.companions(steps, nodes, members)
