@@ -5,7 +5,7 @@ import pytest
 from treeline.functions import edits as plain
 from treeline.functions import rust_tree, trivia
 from treeline.operators.scratch import settled
-from treeline.plans import origins, structural
+from treeline.plans import origin_queries, origins, structural
 
 EDITS = "path string, edit int, start long, end long, size long"
 KEPT = "path string, edit int, start long, end long, at long"
@@ -95,3 +95,9 @@ def test_moves_between_files_keep_all_trivia_exactly_once(spark):
     assert ("a", 0, "origin_ambiguous") in check({**new, "a": old["a"]}, [*pieces, ("a", 0, 15, "a", 0)])
     assert check({**new, "b": new["b"] + b"// new\n"}, pieces) == {("b", len(new["b"]), "trivia_unexpected")}
     assert ("b", 0, "owner_moved") in check({"a": old["b"] + new["a"], "b": old["a"][:15]}, [("a", 0, 15, "b", 0), ("a", 15, len(old["a"]), "a", 19), ("b", 0, 19, "a", 0)])
+
+
+def test_an_order_is_dealt_once_for_each_reading_of_its_lines(spark):
+    """Pieces, ranges and lookups stay where the order's lines were dealt to; only the readings of the table are shuffled."""
+    plan = origin_queries.origin_map(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("FileScan parquet") == 3

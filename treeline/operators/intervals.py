@@ -38,17 +38,20 @@ def innermost(points: DataFrame, scopes: DataFrame, partition: list[str], point:
     one sort by partition and one by depth, whatever the number of scopes or points of a key.
     """
     kept = scopes.where(F.col("at") < F.col("until"))
-    held = points.withColumn("_point", F.struct(*points.columns))
+    rest = [c for c in points.columns if c not in partition]
+    held = points.withColumn("_point", F.struct(F.lit(True).alias("_asked"), *rest))
     typed = {f.name: f.dataType for f in scopes.schema.fields}
     empty = F.lit(None).cast(typed[value])
     nothing = F.lit(None).cast(held.schema["_point"].dataType)
+    event = lambda at, kind, turn, step, value: F.struct(F.col(at).alias("_at"), F.lit(kind).alias("_kind"), turn.alias("_turn"), F.lit(step).alias("_step"), value.alias("_value"))
     rank = F.row_number().over(Window.partitionBy(*partition).orderBy(F.col("at"), F.col("until").desc(), *order))
-    opens = kept.withColumn("_turn", rank).select(*partition, F.col("at").alias("_at"), F.lit(1).alias("_kind"), "_turn", F.lit(1).alias("_step"), F.col(value).alias("_value"), nothing.alias("_point"))
-    closes = kept.select(*partition, F.col("until").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).alias("_turn"), F.lit(-1).alias("_step"), empty.alias("_value"), nothing.alias("_point"))
+    # both ends of a scope come from one row, and keys keep their columns: what is dealt by the key before is not dealt again
+    ends = F.array(event("at", 1, F.col("_turn"), 1, F.col(value)), event("until", 0, F.lit(0), -1, empty))
+    sides = kept.withColumn("_turn", rank).select(*partition, F.explode(ends).alias("_e")).select(*partition, "_e.*", nothing.alias("_point"))
     asks = held.select(*partition, F.col(point).alias("_at"), F.lit(2).alias("_kind"), F.lit(0).alias("_turn"), F.lit(0).alias("_step"), empty.alias("_value"), "_point")
     along = ["_at", "_kind", "_turn"]
     before = (Window.unboundedPreceding, 0)
-    events = opens.unionByName(closes).unionByName(asks)
+    events = sides.unionByName(asks)
     events = events.withColumn("_depth", F.sum("_step").over(Window.partitionBy(*partition).orderBy(*along).rowsBetween(*before)))
     # a scope that closes leaves a depth that it must not be looked up by
     lookup = Window.partitionBy(*partition, "_depth").orderBy(*along).rowsBetween(*before)
@@ -56,4 +59,5 @@ def innermost(points: DataFrame, scopes: DataFrame, partition: list[str], point:
     known = F.lit(True)
     for name in partition:
         known = known & F.col(name).isNotNull()
-    return events.where("_kind = 2").select("_point.*", F.when((F.col("_depth") > 0) & known, F.col("_met.v")).alias(out))
+    own = [F.col(c) if c in partition else F.col("_point")[c].alias(c) for c in points.columns]
+    return events.where("_kind = 2").select(*own, F.when((F.col("_depth") > 0) & known, F.col("_met.v")).alias(out))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.plans import origins, structural
@@ -48,17 +48,19 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM p JOIN e USING (path) GROUP BY p.path, p.s, p.e HAVING NOT bool_or(e.a < p.e AND p.s < e.b)""")
 def origin_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: where ranges of an order's bytes go when each of its lines replaces some; ranges that an edit cuts go nowhere."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_partkey") % 70).alias("size"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").repartition("l_orderkey")  # all that follows stays with its order
+    lines = lines.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_partkey") % 70).alias("size"))
     lines = lines.groupBy("path", "n").agg(F.min("q").alias("q"), F.min("size").alias("size"))  # edits of a file must be apart
-    spans = lines.select("path", "n", (F.col("n") * 200).alias("start"), (F.col("n") * 200 + F.col("q")).alias("end"), "size")
-    first = lines.groupBy("path").agg(F.sort_array(F.collect_list("n")).alias("held"))
-    edits = spans.join(first, "path").withColumn("edit", (F.array_position("held", F.col("n")) - 1).cast("int")).select("path", "edit", "start", "end", "size")
-    sizes = lines.groupBy("path").agg(F.lit(2000).cast("long").alias("size"))
+    edit = F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1
+    edits = lines.select("path", edit.alias("edit"), (F.col("n") * 200).alias("start"), (F.col("n") * 200 + F.col("q")).alias("end"), "size")
+    sizes = edits.where("edit = 0").select("path", F.lit(2000).cast("long").alias("size"))
     pieces = origins.copies(sizes, edits, edits.select("path", "edit", "start", "end", F.lit(0).cast("long").alias("at")).limit(0))
-    asked = spans.select("path", (F.col("start") + 90).alias("s"), (F.col("start") + 100).alias("e")).unionByName(spans.select("path", (F.col("end") - 3).alias("s"), (F.col("end") + 3).alias("e")))
-    asked = asked.unionByName(spans.select("path", F.lit(0).cast("long").alias("s"), F.lit(5).cast("long").alias("e")).distinct())
+    ranges = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    head = F.when(F.col("edit") == 0, ranges(F.lit(0).cast("long"), F.lit(5).cast("long")))
+    each = F.array(ranges(F.col("start") + 90, F.col("start") + 100), ranges(F.col("end") - 3, F.col("end") + 3), head)
+    asked = edits.select("path", F.explode(F.array_compact(each)).alias("r")).select("path", "r.*")
     found = origins.mapped(asked, pieces, "s", "e", "places").where(F.size("places") > 0)
-    return found.select(F.col("path").cast("long").alias("path"), F.col("s").alias("range_start"), F.col("places")[0]["start"].alias("went")).distinct()
+    return found.select("path", F.col("s").alias("range_start"), F.col("places")[0]["start"].alias("went"))
 
 
 def _text(value: str) -> str:
